@@ -133,7 +133,7 @@ def nudged_cents(x: Column) -> Column:
 
 def fixed(x: Column, digits: int = 2) -> Column:
     """Decimal text with a fixed number of digits; null stays null (FORMAT_STRING would print it)."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", exact_round(x, digits)))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def money(x: Column) -> Column:

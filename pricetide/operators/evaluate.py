@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import blank, day10, day_of, exact_round, fixed, lookup, money, text, truthy, unit_cost
+from pricetide.functions.core import blank, cut_lineage, day10, day_of, exact_round, fixed, lookup, money, text, truthy, unit_cost
 from pricetide.functions.promo import loyalty, point_value_sample, promo_of
 from pricetide.functions.text import ad_id, is_placeholder
 from pricetide.operators.episodes import MAX_GAP_DAYS, history_rows
@@ -44,17 +44,13 @@ def unit_price_of(price: str = "advertised_price") -> Column:
     return F.coalesce(F.col("unit_price"), unit_cost(F.col(price), F.col("unit_size")))
 
 
-def category_past(s: DataFrame, targets: DataFrame) -> DataFrame:
+def category_past(hist: DataFrame, targets: DataFrame) -> DataFrame:
     """Minimum, sum and count of unit prices per (cat, unit_type) before each target day.
 
     Products without a category join every category their name mentions as a word: the n-grams of the
     name are equi-joined with the categories asked for, so nothing is compared pairwise.
     """
-    priced = s.filter(F.col("advertised_price").isNotNull()).select(
-        "product_id", "canonical_name", F.lower("category").alias("cat"), "unit_type",
-        F.coalesce(day_of(F.col("valid_from")), F.lit("0001-01-01").cast("date")).alias("day"),
-        unit_price_of().alias("up"),
-    ).filter(F.col("up").isNotNull() & F.col("unit_type").isNotNull())
+    priced = hist.filter(F.col("up").isNotNull() & F.col("unit_type").isNotNull())
     wanted = targets.select("cat", "unit_type", "day").distinct()
     stats = [F.min("up").alias("lo"), F.sum("up").alias("total"), F.count("*").alias("n")]
     known = priced.filter(F.col("cat").isNotNull()).groupBy("cat", "unit_type", "day").agg(*stats)
@@ -97,20 +93,14 @@ def flyer_category_minimum(deals: DataFrame) -> DataFrame:
     )
 
 
-def with_category_benchmark(deals: DataFrame, s: DataFrame) -> DataFrame:
+def with_category_benchmark(deals: DataFrame, hist: DataFrame, asked: DataFrame) -> DataFrame:
     """Adds ``cat_min`` and ``cat_avg``; the circular's own minimum counts as one extra sample."""
-    asks = (blank(F.col("category")).isNotNull() & F.col("deal_unit_price").isNotNull()
-            & blank(F.col("unit_type")).isNotNull())
-    t = deals.withColumns({
-        "cat": F.when(asks, F.lower("category")),
-        "unit_lc": F.when(asks, F.lower("unit_type")),
-    })
-    past = category_past(s, t.filter(asks))
+    past = category_past(hist, asked.filter(F.col("cat").isNotNull()))
     own = flyer_category_minimum(deals)
     n = F.coalesce("cat_n", F.lit(0)) + F.col("flyer_cat_min").isNotNull().cast("int")
     total = F.coalesce("cat_sum", F.lit(0.0)) + F.coalesce("flyer_cat_min", F.lit(0.0))
     return (
-        t.join(past, ["cat", "unit_type", "day"], "left")
+        deals.join(past, ["cat", "unit_type", "day"], "left")
         .join(own, ["flyer_id", "cat", "unit_lc"], "left")
         .withColumns({"cat_min": F.least("cat_lo", "flyer_cat_min"),
                       "cat_avg": F.round(total / F.nullif(n, F.lit(0)), 9)})
@@ -119,41 +109,68 @@ def with_category_benchmark(deals: DataFrame, s: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ history scopes
-def with_past(deals: DataFrame, s: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
-    """Adds ``past``: the statistics of the first history scope that knows the deal, else null."""
-    s = s.withColumn("banner", F.lower(F.trim(text(F.col("merchant")))))
-    t = deals.withColumns({
+def slim_history(s: DataFrame) -> DataFrame:
+    """Priced observations without their long texts: all that benchmarks and history scopes read."""
+    names = ["product_id", "canonical_name", "ad_title", "unit_type"]
+    keyed = s.withColumns({
         "banner": F.lower(F.trim(text(F.col("merchant")))),
-        "parent": F.when(~is_placeholder(F.col("ad_title")), blank(F.trim(F.col("ad_title")))),
-        "any_banner": (F.trim(text(F.col("merchant"))) == "") | (
-            truthy(F.col("unit_size")).isNotNull() & blank(F.col("unit_type")).isNotNull()),
+        "cat": F.lower("category"),
+        "up": unit_price_of(),
+    })
+    return history_rows(keyed, [*names, "banner", "cat", "up"])
+
+
+def with_lookup_keys(deals: DataFrame) -> DataFrame:
+    """Adds what a deal is looked up by: banner, parent ad, commodity and unit."""
+    c = F.col
+    asks = (blank(c("category")).isNotNull() & c("deal_unit_price").isNotNull() & blank(c("unit_type")).isNotNull())
+    banner = F.lower(F.trim(text(c("merchant"))))
+    return deals.withColumns({
+        "banner": banner,
+        "parent": F.when(~is_placeholder(c("ad_title")), blank(F.trim(c("ad_title")))),
+        "any_banner": (banner == "") | (
+            truthy(c("unit_size")).isNotNull() & blank(c("unit_type")).isNotNull()),
+        "cat": F.when(asks, F.lower("category")),
+        "unit_lc": F.when(asks, F.lower("unit_type")),
     })
+
+
+LOOKUP = ["product_id", "banner", "parent", "any_banner", "cat", "unit_type", "day"]
+
+
+def with_past(deals: DataFrame, hist: DataFrame, asked: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
+    """Adds ``past``: the statistics of the first history scope that knows the deal, else null.
+
+    Each scope's answer (one narrow row per key and day) is written out before the next scope asks for what
+    is still open; otherwise every scope would carry, and re-run, the plans of all earlier ones.
+    """
     own_keys, all_keys, ad_keys = ["product_id", "banner"], ["product_id"], ["parent", "banner"]
-    asked = t.select("product_id", "banner", "parent", "any_banner", "day").distinct()
-    own = past_stats(history_rows(s, own_keys), asked, own_keys, max_gap_days)
-    open_1 = asked.join(own.select(*own_keys, "day"), [*own_keys, "day"], "left_anti")
+    line = ["day", "end_day", "seq", "price", "trusted", "outlier"]
+    first = asked.select("product_id", "banner", "parent", "any_banner", "day").distinct()
+    rows_1 = hist.select(*own_keys, *line).join(first.select("product_id").distinct(), "product_id", "left_semi")
+    own = cut_lineage(past_stats(rows_1, first, own_keys, max_gap_days))
+    open_1 = cut_lineage(first.join(own.select(*own_keys, "day"), [*own_keys, "day"], "left_anti"))
 
     ask_2 = open_1.filter("any_banner").select("product_id", "day").distinct()
-    rows_2 = history_rows(s, all_keys).join(ask_2.select("product_id").distinct(), "product_id", "left_semi")
-    wide = past_stats(rows_2, ask_2, all_keys, max_gap_days)
+    rows_2 = hist.select(*all_keys, *line).join(ask_2.select("product_id").distinct(), "product_id", "left_semi")
+    wide = cut_lineage(past_stats(rows_2, ask_2, all_keys, max_gap_days))
     found_2 = wide.select("product_id", "day").withColumn("any_banner", F.lit(True))
     open_2 = open_1.join(found_2, ["product_id", "day", "any_banner"], "left_anti")
 
     ask_3 = open_2.filter(F.col("parent").isNotNull()).select("parent", "banner", "day").distinct()
     parents = ask_3.select("parent", F.col("banner").alias("asked_banner")).distinct()
-    priced = s.filter(F.col("advertised_price").isNotNull()).drop("banner")
-    by_title = priced.join(parents, priced["ad_title"] == parents["parent"])
-    by_name = priced.filter(~F.coalesce(F.col("ad_title") == F.col("canonical_name"), F.lit(False))).join(
+    by_title = hist.join(parents, hist["ad_title"] == parents["parent"])
+    by_name = hist.filter(~F.coalesce(F.col("ad_title") == F.col("canonical_name"), F.lit(False))).join(
         parents, F.col("canonical_name") == parents["parent"])
-    listed = by_title.unionByName(by_name).filter(
-        F.contains(F.lower(text(F.col("merchant"))), F.col("asked_banner"))).withColumnRenamed("asked_banner", "banner")
-    ad = past_stats(history_rows(listed, ad_keys), ask_3, ad_keys, max_gap_days)
+    rows_3 = by_title.unionByName(by_name).filter(F.contains("banner", "asked_banner")).select(
+        "parent", F.col("asked_banner").alias("banner"), *line)
+    ad = cut_lineage(past_stats(rows_3, ask_3, ad_keys, max_gap_days))
 
     def tagged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         return df.select(*keys, "day", F.struct(*STATS).alias(name))
 
     joined = (
-        t.join(tagged(own, own_keys, "s_own"), [*own_keys, "day"], "left")
+        deals.join(tagged(own, own_keys, "s_own"), [*own_keys, "day"], "left")
         .join(tagged(wide, all_keys, "s_wide"), [*all_keys, "day"], "left")
         .join(tagged(ad, ad_keys, "s_ad"), [*ad_keys, "day"], "left")
     )
@@ -224,19 +241,28 @@ def evaluate(c: Catalog, flyer_ids: list[int] | DataFrame | None = None, front_p
         obs = obs.filter(F.col("flyer_id").isin(list(flyer_ids)))
     if front_page_only:
         obs = obs.filter(F.col("is_front_page"))
-    return evaluate_deals(star(Catalog(obs, c.products, c.flyers)), s, max_gap_days)
+    return evaluate_deals(star(Catalog(obs, c.products, c.flyers)), s, max_gap_days, bulk=flyer_ids is None)
+
 
+def evaluate_deals(deals: DataFrame, history: DataFrame, max_gap_days: int = MAX_GAP_DAYS,
+                   bulk: bool = True) -> DataFrame:
+    """Evaluate a table of star rows against a (larger) table of star rows.
 
-def evaluate_deals(deals: DataFrame, history: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
-    """Evaluate a table of star rows against a (larger) table of star rows."""
-    deals = deals.withColumns({
+    In bulk the slim history is written once to the checkpoint folder, because every scope reads it; for a
+    few circulars each scope instead narrows the source by a semi join and nothing is copied.
+    """
+    t = with_lookup_keys(deals.withColumns({
         "day": F.coalesce(day_of(F.col("valid_from")), F.lit(FAR_DAY).cast("date")),
         "deal_unit_price": unit_price_of(),
-    })
-    t = deals.join(dynamic_point_value(deals), "flyer_id", "left")
-    t = t.withColumn("point_value", F.coalesce("flyer_point_value", loyalty(F.col("merchant"), F.lit(""))["point_value"]))
-    t = with_category_benchmark(t, history)
-    t = with_past(t, history, max_gap_days)
+    }))
+    hist = slim_history(history)
+    hist = cut_lineage(hist) if bulk else hist
+    asked = cut_lineage(t.select(*LOOKUP).distinct())
+    points = dynamic_point_value(deals)
+    t = with_category_benchmark(t, hist, asked)
+    t = with_past(t, hist, asked, max_gap_days)
+    t = t.join(points, "flyer_id", "left").withColumn(
+        "point_value", F.coalesce("flyer_point_value", loyalty(F.col("merchant"), F.lit(""))["point_value"]))
     return classify(t, max_gap_days)
 
 
