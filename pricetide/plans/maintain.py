@@ -95,7 +95,7 @@ def superseded_flyers(flyers: DataFrame, live: DataFrame) -> DataFrame:
     Rows meet per week they touch, so the interval test is an equi-join on (week) plus a residual.
     """
     def weeks(prefix: str) -> Column:
-        lo, hi = F.to_date(f"{prefix}_from"), F.to_date(f"{prefix}_to")
+        lo, hi = F.try_to_date(f"{prefix}_from"), F.try_to_date(f"{prefix}_to")
         return F.explode(F.sequence(F.date_trunc("week", lo).cast("date"), F.greatest(
             F.date_trunc("week", hi), F.date_trunc("week", lo)).cast("date"), F.expr("interval 7 days")))
 
