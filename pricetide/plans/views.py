@@ -125,3 +125,69 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("flipp_api").alias("source_type"),
         F.concat(c("week").cast("string"), F.lit(" 06:00:00")).alias("recorded_at"),
     )
+
+
+BADGES = [
+    "POINTS_FREEBIE", "NEW_ALL_TIME_LOW", "MATCHES_ATL", "POINTS_DEAL", "POINTS_REWARD", "SPEND_SAVE", "PERCENT_OFF",
+    "BEAT_AVERAGE", "CYCLE_REFRESH", "FIRST_SEEN", "POINTS_REDEMPTION", "STANDARD_DEAL", "PRICE_HIKE", "SEE_AD",
+    "STORE_COUPON",
+]
+
+
+def catalog(spark: SparkSession, sf_dir: str):
+    from pricetide.operators.history import Catalog
+
+    return Catalog(observations(spark, sf_dir), products(spark, sf_dir), flyers(spark, sf_dir))
+
+
+def feed_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated-looking deals with badges drawn from the keys: input for grouping and feed operators."""
+    c = F.col
+    t = _tiles(spark, sf_dir)
+    p = products(spark, sf_dir).select("product_id", "canonical_name", "brand", "category", "unit_size", "unit_type")
+    price = F.when(~((c("l_linenumber") == 7) & (c("l_quantity") % 5 == 0)), c("cents") / 100.0)
+    raw = c("l_orderkey") * 10 + c("l_linenumber")
+    tile = c("l_suppkey") % 5
+    return t.join(p, t["l_partkey"] == p["product_id"]).select(
+        (raw * 1048576 + c("l_partkey")).alias("deal_id"), "flyer_id", "product_id", "canonical_name", "brand", "category",
+        "merchant", price.alias("current_price"), "unit_size", "unit_type",
+        (c("cents") / 100.0 / c("unit_size")).alias("unit_price"), c("l_linenumber").alias("page_number"),
+        (c("l_linenumber") == 1).alias("is_front_page"),
+        (c("list_cents") / 200.0).alias("historical_min"), (c("list_cents") * 3 / 400.0).alias("historical_avg"),
+        F.element_at(F.array(*(F.lit(b) for b in BADGES)), (c("l_orderkey") % 15 + 1).cast("int")).alias("badge"),
+        F.when(c("l_orderkey") % 15 == 1, "New All-Time Low!").otherwise("Past sale range").alias("summary_reason"),
+        F.when(c("l_orderkey") % 97 == 0, "meal_deal").when(c("l_orderkey") % 41 == 0, "must_buy").otherwise(
+            "standard").alias("promo_type"),
+        F.when(c("l_orderkey") % 53 == 0, "BUY 1 GET 1 FREE").alias("promo_detail"),
+        F.lit(1).alias("qualifying_qty"), (c("list_cents") / 100.0).alias("base_price"), raw.alias("raw_deal_id"),
+        tile.cast("string").alias("ad_id"), F.lit(None).cast("string").alias("ad_title"),
+        F.when(tile == 1, F.concat(c("p_name"), F.lit(" or more"))).otherwise(c("p_name")).alias("raw_title"),
+        F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("double").alias("coupon_discount"),
+        F.when(c("l_orderkey") % 2 == 0, c("cents") / 100.0 / c("unit_size")).alias("category_min_unit_price"),
+        ((c("l_linenumber") == 3) & (c("l_tax") > 0.04)).alias("is_category_best"),
+    )
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return p.filter(F.col("p_partkey") % 5 != 0).select(
+        F.concat(F.lit("pid_"), F.col("p_partkey").cast("string")).alias("product_key"),
+        F.element_at(F.array(*(F.lit(r) for r in ("love", "deal_only", "giveaway", "hide"))),
+                     (F.col("p_partkey") % 4 + 1).cast("int")).alias("rating"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and items of every circular with x positions; items lie on, between and outside the pages."""
+    t = _tiles(spark, sf_dir)
+    pages = t.select("flyer_id").distinct().withColumn("page_number", F.explode(F.array(*(F.lit(i) for i in range(1, 6))))).select(
+        "flyer_id", "page_number", ((F.col("page_number") - 1) * 100.0).alias("left"),
+        (F.col("page_number") * 100.0 - 10).alias("right"))
+    items = t.select(
+        "flyer_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_partkey").alias("part"),
+        F.col("p_name").alias("name"), ((F.col("l_partkey") % 53) * 10.0).alias("left"),
+        F.when(F.col("l_linenumber") != 4, (F.col("l_partkey") % 53) * 10.0 + F.col("l_quantity")).otherwise(0.0).alias("right"),
+        (F.col("l_linenumber") % 3 != 0).alias("is_priced"),
+        F.concat(F.col("week").cast("string"), F.lit("T00:00:00")).alias("valid_from"),
+        F.concat(F.date_add("week", F.when(F.col("l_partkey") % 53 < 12, 60).otherwise(6)).cast("string"),
+                 F.lit("T23:59:59")).alias("valid_to"))
+    return pages, items
