@@ -79,21 +79,31 @@ numbered AS (SELECT *, sum(fresh) OVER {w} AS ep FROM marked)
 def _past(keys: str) -> str:
     """Past of every (key, day) by a plain self join of all rows with all earlier rows of the key."""
     return EPISODES + "," + _islands(keys) + f""",
-asked AS (SELECT DISTINCT {keys}, week AS at FROM obs),
-before AS (SELECT n.*, at FROM numbered n JOIN asked USING ({keys}) WHERE day < at),
-ep AS (SELECT {keys}, at, ep, arg_min(price, (day, seq)) AS price, arg_max(week_end, (day, seq)) AS e_end,
+asked AS (SELECT DISTINCT {keys}, week AS qd FROM obs),
+before AS (SELECT n.*, qd FROM numbered n JOIN asked USING ({keys}) WHERE day < qd),
+ep AS (SELECT {keys}, qd, ep, arg_min(price, (day, seq)) AS price, arg_max(week_end, (day, seq)) AS e_end,
               bool_or(trusted) AS trusted, bool_or(outlier) AS outlier FROM before GROUP BY ALL),
-base AS (SELECT *, bool_and(outlier) OVER (PARTITION BY {keys}, at) AS none_left FROM ep),
-weighed AS (SELECT *, pow(0.5, greatest(date_diff('day', e_end, at), 0) / 90.0) * CASE WHEN trusted THEN 1 ELSE 0.5 END AS w
+base AS (SELECT *, bool_and(outlier) OVER (PARTITION BY {keys}, qd) AS none_left FROM ep),
+weighed AS (SELECT *, pow(0.5, greatest(date_diff('day', e_end, qd), 0) / 90.0) * CASE WHEN trusted THEN 1 ELSE 0.5 END AS w
             FROM base WHERE NOT outlier OR none_left),
-b AS (SELECT {keys}, at, min(price) AS b_min, max(price) AS b_max, round(sum(price * w) / sum(w), 9) AS b_avg
+b AS (SELECT {keys}, qd, min(price) AS b_min, max(price) AS b_max, round(sum(price * w) / sum(w), 9) AS b_avg
       FROM weighed GROUP BY ALL),
-o AS (SELECT {keys}, at, count(*) AS n_past, min(price) AS h_min, max(price) AS h_max,
+o AS (SELECT {keys}, qd, count(*) AS n_past, min(price) AS h_min, max(price) AS h_max,
              arg_max(price, (day, seq)) AS last_price, arg_max(week_end, (day, seq)) AS last_end FROM before GROUP BY ALL),
-past AS (SELECT * FROM o JOIN b USING ({keys}, at))
+past AS (SELECT * FROM o JOIN b USING ({keys}, qd))
 """
 
 
+def exact_round(x: str, digits: int) -> str:
+    """IEEE rounding of column ``x``: half-to-even on the binary value, through the exact product error."""
+    c, unit = 2 * 10**digits, 10**digits
+    hi = f"({x} * 134217729::DOUBLE - ({x} * 134217729::DOUBLE - {x}))"
+    err = f"(({hi} * {c} - {x} * {c}) + ({x} - {hi}) * {c})"
+    k = f"(({x} * {c} - 1) / 2)"
+    return (f"CASE WHEN ({x} * {c}) % 2 = 1 THEN (CASE WHEN {err} > 0 THEN {k} + 1 WHEN {err} < 0 THEN {k} ELSE {k} + {k} % 2 END) / {unit} "
+            f"ELSE floor(({x} * {c} + 1) / 2) / {unit} END")
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
@@ -168,17 +178,17 @@ def oracle_sql() -> dict[str, str]:
       bool_or(trusted) AS is_trusted, bool_or(outlier) AS is_outlier FROM numbered GROUP BY product_id, ep"""
     sql["promo_episodes"] = episodes
     sql["episodes_fold"] = episodes
-    past_cols = """CAST(at AS VARCHAR) AS day, n_past, h_min, h_max, b_min, b_max, round(b_avg, 6) AS b_avg, last_price, CAST(last_end AS VARCHAR) AS last_end FROM past"""
+    past_cols = """CAST(qd AS VARCHAR) AS day, n_past, h_min, h_max, b_min, b_max, round(b_avg, 6) AS b_avg, last_price, CAST(last_end AS VARCHAR) AS last_end FROM past"""
     sql["decayed_average"] = _with(t, _past("product_id, merchant")) + " SELECT product_id, merchant, " + past_cols
     sql["cross_banner_past"] = _with(t, _past("product_id")) + " SELECT product_id, " + past_cols
     unit = "up AS (SELECT *, advertised_price / unit_size AS u FROM star WHERE advertised_price IS NOT NULL AND unit_type IS NOT NULL)"
     sql["category_benchmark"] = _with(t, unit) + """, cats AS (SELECT DISTINCT lower(category) AS cat FROM prod WHERE category IS NOT NULL),
       filed AS (SELECT lower(category) AS cat, unit_type, week, u FROM up WHERE category IS NOT NULL
                 UNION ALL SELECT cat, unit_type, week, u FROM up JOIN cats ON category IS NULL AND contains(' ' || lower(canonical_name) || ' ', ' ' || cat || ' ')),
-      asked AS (SELECT DISTINCT lower(category) AS cat, unit_type, week AS at FROM star WHERE category IS NOT NULL AND unit_type IS NOT NULL AND advertised_price IS NOT NULL)
-      SELECT cat, unit_type, CAST(at AS VARCHAR) AS day, count(u) AS cat_n, round(min(u), 2) AS cat_lo, round(sum(u), 1) AS cat_sum
-      FROM asked LEFT JOIN filed USING (cat, unit_type) WHERE week IS NULL OR week < at GROUP BY ALL"""
-    sql["flyer_category_min"] = _with(t, unit) + """ SELECT flyer_id, lower(category) AS cat, round(min(u), 3) AS flyer_min FROM up WHERE category IS NOT NULL GROUP BY ALL"""
+      asked AS (SELECT DISTINCT lower(category) AS cat, unit_type, week AS qd FROM star WHERE category IS NOT NULL AND unit_type IS NOT NULL AND advertised_price IS NOT NULL)
+      SELECT cat, unit_type, CAST(qd AS VARCHAR) AS day, count(u) AS cat_n, CAST(floor(min(u) * 1000 + 1e-6) AS BIGINT) AS cat_milli, CAST(floor(sum(u) + 1e-4) AS BIGINT) AS cat_sum
+      FROM asked LEFT JOIN filed USING (cat, unit_type) WHERE week IS NULL OR week < qd GROUP BY ALL"""
+    sql["flyer_category_min"] = _with(t, unit) + """ SELECT flyer_id, lower(category) AS cat, CAST(floor(min(u) * 1000 + 1e-6) AS BIGINT) AS flyer_milli FROM up WHERE category IS NOT NULL GROUP BY ALL"""
     sql["promo_extract"] = _with(t) + """, k AS (SELECT deal_id, kind, l_linenumber AS n, cents / 100.0 AS price FROM obs)
       SELECT deal_id, CASE kind WHEN 0 THEN 'bogo' WHEN 1 THEN 'must_buy' WHEN 2 THEN 'points_redemption' WHEN 3 THEN 'points_bonus'
           WHEN 4 THEN 'spend_save' WHEN 5 THEN 'percent_off' WHEN 6 THEN 'points_bonus' WHEN 8 THEN 'digital_coupon' WHEN 9 THEN 'digital_coupon'
@@ -198,7 +208,8 @@ def oracle_sql() -> dict[str, str]:
         WHEN 4 THEN CASE WHEN n * 4 > 5 THEN CAST(floor(base * (n * 4 - 5) / (n * 4.0) + 0.5) AS BIGINT) ELSE base END
         WHEN 5 THEN (2 * base * (100 - 5 * n) + 100) // 200 WHEN 8 THEN base - n * 100 - 25 WHEN 9 THEN cents WHEN 10 THEN base - n * 100 END AS effective_cents
       FROM k WHERE kind IN (0, 1, 2, 3, 4, 5, 8, 9, 10)"""
-    sql["dynamic_point_value"] = _with(t) + """ SELECT flyer_id, round(avg((l_linenumber + 0.5) / (l_linenumber * 50)), 4) AS point_value FROM obs WHERE kind = 2 GROUP BY 1"""
+    sql["dynamic_point_value"] = _with(t) + f""" SELECT flyer_id, {exact_round('v', 4)} AS point_value FROM (
+      SELECT flyer_id, round(avg((l_linenumber + 0.5::DOUBLE) / (l_linenumber * 50)), 12) AS v FROM obs WHERE kind = 2 GROUP BY 1)"""
     sql["points_tiers"] = _with(t) + """, k AS (SELECT deal_id, l_linenumber * 50 AS pts, (l_linenumber + 0.5) / (l_linenumber * 50) AS y FROM obs WHERE kind = 2)
       SELECT deal_id, CASE WHEN y >= 0.10 THEN 'POINTS_FREEBIE' WHEN y >= 0.0274 * 1.3 AND y >= 0.03 THEN 'POINTS_DEAL' ELSE 'POINTS_REDEMPTION' END AS tier FROM k"""
     f = (TILES, FEED)
@@ -210,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
           WHEN bno = 6 THEN 7 WHEN bno = 7 THEN 8 WHEN bno = 8 THEN 9 WHEN bno = 11 THEN 10 WHEN bno = 9 THEN 11 WHEN bno = 12 THEN 12 WHEN bno = 13 THEN 13
           ELSE 20 END AS prio FROM items) GROUP BY flyer_id, group_key"""
     sql["modal_units"] = _with(*f) + """, u AS (SELECT flyer_id, group_key, unit_type, count(*) AS k, min(unit_price) AS lo, max(unit_price) AS hi FROM items WHERE unit_type IS NOT NULL GROUP BY ALL)
-      SELECT flyer_id, group_key, unit_type, round(lo, 6) AS lo, round(hi, 6) AS hi FROM u"""
+      SELECT flyer_id, group_key, unit_type, CAST(floor(lo * 1000 + 1e-6) AS BIGINT) AS lo, CAST(floor(hi * 1000 + 1e-6) AS BIGINT) AS hi FROM u"""
     sql["chip_filters"] = _with(*f) + " SELECT " + ", ".join(
         f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in CHIPS.items()) + " FROM rated"
     sql["featured_score"] = _with(*f) + f" SELECT deal_id, {SCORE} AS score FROM rated"

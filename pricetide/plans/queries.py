@@ -23,6 +23,11 @@ from pricetide.sources import circulars as C
 TODAY = "2001-12-20"
 
 
+def milli(x) -> F.Column:
+    """Thousandths, cut: free of the rounding ties on which engines disagree."""
+    return F.floor((F.col(x) if isinstance(x, str) else x) * 1000 + 1e-6)
+
+
 def _star(s: SparkSession, d: str) -> DataFrame:
     return H.star(W.catalog(s, d))
 
@@ -130,12 +135,12 @@ def category_benchmark(s, d):
     t = EV.with_lookup_keys(st.withColumns({"day": day_of(F.col("valid_from")), "deal_unit_price": F.col("unit_price")}))
     past = EV.category_past(EV.slim_history(st), t.filter(F.col("cat").isNotNull()))
     return past.filter(F.col("cat_n") > 0).select("cat", "unit_type", F.col("day").cast("string").alias("day"), "cat_n",
-                                                  F.round("cat_lo", 2).alias("cat_lo"), F.round("cat_sum", 1).alias("cat_sum"))
+                                                  milli("cat_lo").alias("cat_milli"), F.floor(F.col("cat_sum") + 1e-4).alias("cat_sum"))
 
 
 def flyer_category_min(s, d):
     st = _star(s, d).withColumn("unit_price", F.col("advertised_price") / F.col("unit_size"))
-    return EV.flyer_category_minimum(st).select("flyer_id", "cat", F.round("flyer_cat_min", 3).alias("flyer_min"))
+    return EV.flyer_category_minimum(st).select("flyer_id", "cat", milli("flyer_cat_min").alias("flyer_milli"))
 
 
 def deal_evaluation(s, d):
@@ -190,8 +195,8 @@ def representatives(s, d):
 
 def modal_units(s, d):
     i = G.group_items(_feed(s, d)).filter(F.col("unit_type").isNotNull())
-    return i.groupBy("flyer_id", "group_key").agg(F.min("unit_type").alias("unit_type"), F.round(F.min("unit_price"), 6).alias("lo"),
-                                                  F.round(F.max("unit_price"), 6).alias("hi"))
+    return i.groupBy("flyer_id", "group_key").agg(F.min("unit_type").alias("unit_type"), milli(F.min("unit_price")).alias("lo"),
+                                                  milli(F.max("unit_price")).alias("hi"))
 
 
 def ad_groups(s, d):
