@@ -83,7 +83,7 @@ def sub_each(col: Column, pattern: str, rewrite: Callable[[Column], Column]) ->
         found = F.transform(F.regexp_extract_all(whole, regex, F.lit(0)), rewrite)
         return F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")
 
-    return F.when(col.rlike(ci(pattern)), let(col, rebuild)).otherwise(col)
+    return let(col, lambda c: F.when(c.rlike(ci(pattern)), rebuild(c)).otherwise(c))
 
 
 def first_rule(col: Column, rules: Sequence[tuple[str, str]]) -> Column:

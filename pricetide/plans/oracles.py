@@ -124,7 +124,10 @@ SCORE = """30 + CASE WHEN bno = 0 OR current_price = 0 THEN 500 WHEN bno = 1 THE
                                       OR promo_detail IS NOT NULL THEN 150 ELSE -50 END
       WHEN 'giveaway' THEN CASE WHEN bno = 0 OR current_price = 0 OR current_price <= 0.25 THEN 200 ELSE -200 END ELSE 0 END"""
 
-DEPT = """CASE WHEN category IS NULL THEN 'Other' ELSE category END"""
+_BLOB = "concat(canonical_name, ' ', coalesce(brand, ''), ' ', coalesce(raw_title, ''), ' ')"
+DEPT = ("CASE " + " ".join(
+    f"WHEN regexp_matches({_BLOB}, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{d}'" for p, d in V.DEPARTMENT_TEXT_RULES)
+    + " WHEN category IS NULL THEN 'Other' ELSE category END")
 
 SPLIT = """
 flags AS (SELECT flyer_id, group_key, count(*) AS n,
@@ -272,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
     sql["shelf_price_ladder"] = _with(t) + """, pr AS (SELECT *, coalesce(base_price, advertised_price) AS hp FROM star WHERE base_price > 0 OR advertised_price > 0),
       bp AS (SELECT product_id, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1), bn AS (SELECT canonical_name, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1),
       un AS (SELECT s.deal_id, s.flyer_id, s.page_number, last_shelf_price, coalesce(bp.p, bn.p) AS own, coalesce(brand, array_to_string(list_filter(str_split(
-               regexp_replace(s.canonical_name, '\\b\\d+ oz.*', ''), ' '), x -> x <> '')[1:2], ' ')) AS term
+               regexp_replace(s.canonical_name, '\\b\\d+ oz.*', ''), ' '), lambda x: x <> '')[1:2], ' ')) AS term
              FROM star s LEFT JOIN bp USING (product_id) LEFT JOIN bn ON bn.canonical_name = s.canonical_name WHERE advertised_price IS NULL),
       tm AS (SELECT flyer_id, term, arg_min(last_shelf_price, (page_number, deal_id)) FILTER (WHERE last_shelf_price > 0) AS a, arg_min(own, (page_number, deal_id)) FILTER (WHERE own IS NOT NULL) AS b FROM un GROUP BY ALL)
       SELECT deal_id, term, coalesce(a, b) AS shelf_price FROM un JOIN tm USING (flyer_id, term)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import promo as P
 from pricetide.functions import text as X
-from pricetide.functions.core import day_of
+from pricetide.functions.core import day_of, let
 from pricetide.operators import episodes as EP
 from pricetide.operators import evaluate as EV
 from pricetide.operators import feed as FD
@@ -157,9 +157,10 @@ def promo_extract(s, d):
 
 
 def effective_price(s, d):
-    o = P.with_promo(W.observations(s, d), ["promo_detail"]).filter(F.col("promo").isNotNull())
+    o = W.observations(s, d).filter(F.col("promo_detail").isNotNull())
     base = W._read(s, d, "part").select(F.col("p_partkey").alias("product_id"), (F.round(F.col("p_retailprice") * 100) / 100.0).alias("list"))
-    o = o.join(base, "product_id").withColumn("e", P.effective_price(F.col("promo"), F.col("list"))).filter(F.col("e").isNotNull())
+    o = o.join(base, "product_id").withColumn("e", let(
+        P.promo_of([F.col("promo_detail")]), lambda p: P.effective_price(p, F.col("list")))).filter(F.col("e").isNotNull())
     return o.select("deal_id", F.round(F.col("e") * 100).cast("bigint").alias("effective_cents"))
 
 

@@ -595,3 +595,101 @@ ALCOHOL_QUERY_WORDS = [
 ]
 ALCOHOL_CATEGORY_WORDS = ["wine", "beer", "liquor", "spirits", "alcohol"]
 ALCOHOL_CATEGORIES = ["wine", "beer", "wine & spirits", "liquor", "spirits"]
+
+# ---- Fixed values: title splitting
+TOKEN_UNIT = (
+    r"\b(?:Half\s+Gallon|(?:\d+(?:\.\d+)?|\.\d+)(?:\s*-\s*(?:\d+(?:\.\d+)?|\.\d+))?\s*"
+    r"(?:oz|ounce|lb|pound|ct|count|pk|pack|qt|quart|pt|pint|gal|gallon|ltr|liter|ml)\.?)\b"
+)
+CHOICE_COLORS = "Red|Green|Yellow|Zucchini|Black|White|Seedless|Baking|Sweet|Russet"
+CHOICE_COLOR_NOUNS = r"Grapes?|Squash|Potato(?:es)?|Apple(?:s)?|Pear(?:s)?|Onion(?:s)?|Pepper(?:s)?"
+CHOICE_STYLES = "Shredded|Chunk|Sliced|Block|String|Grated|Crumbled|Whole|Diced|Crushed|Salted|Unsalted"
+CHOICE_STYLE_NOUNS = (
+    r"Cheese|Cheddar|Mozzarella|Swiss|Provolone|Baby\s+Bella\s+Mushrooms|Mushrooms|Tomato(?:es)?|Butter|Potato(?:es)?"
+)
+CHOICE_PACKAGED = "Pancakes|Waffles|Bars|Treats|Burgers|Pizzas"
+CHOICE_PACKAGED_LEAD = "Frozen|Protein|Organic|Natural|Fresh"
+CHOICE_CUTS = (
+    "Breasts|Thighs|Drumsticks|Wings|Tenders|Tenderloins|Pork Chops|Pork Loin Chops|Pork Spare Ribs|Whole Chickens"
+)
+CONTAINER_WORDS = ["tray", "trays", "platter", "platters", "bowl", "bowls", "basket", "baskets"]
+BEEF_GRADES = (
+    r"USDA\s+Choice(?:\s+Beef)?|USDA\s+Prime(?:\s+Beef)?|USDA\s+Select(?:\s+Beef)?|Certified\s+Angus\s+Beef|"
+    r"Chairman's\s+Reserve(?:\s+Beef)?"
+)
+BEEF_CUTS = [
+    r"Chuck\s+Shoulder\s+Roast(?:\s+Bone-in)?", r"Shoulder\s+Roast(?:\s+Bone-in)?",
+    r"Beef\s+Short\s+Ribs?(?:\s+Bone-in)?", r"Short\s+Ribs?(?:\s+Bone-in)?", r"Bottom\s+Round(?:\s+Roast)?",
+    r"Top\s+Round(?:\s+Roast)?", r"Eye\s+of\s+Round(?:\s+Roast)?", r"Sirloin\s+Tip(?:\s+Roast)?", r"Chuck(?:\s+Roast)?",
+    r"Rump(?:\s+Roast)?", r"Tri-Tip(?:\s+Roast)?", r"Ribeye(?:\s+Steak)?", r"Strip\s+Steak", r"T-Bone(?:\s+Steak)?",
+]
+GROWN_NEXT_BRANDS = (
+    r"Dole|Bolthouse|NatureSweet|Fresh\s+Express|Taylor\s+Farms|Our\s+Brand|Earthbound\s+Farm"
+)
+SALAD_WORD = r"(?!or\b|and\b|Salad\b|Blend\b|Kit\b|Bowl\b)[A-Za-z0-9'&]+"
+SALAD_NOUN = (
+    r"(?:Salad\s+(?:Blends?|Kits?|Bowls?)(?:\s+or\s+(?:Salad\s+)?(?:Blends?|Kits?|Bowls?))?|"
+    r"(?:Salad\s+)?(?:Blends?|Kits?|Bowls?)\s+or\s+(?:Salad\s+)?(?:Blends?|Kits?|Bowls?)|Salad\s+(?:Blends?|Kits?|Bowls?))"
+)
+PREP_NOUN = (
+    r"(?:Baby\s+Bella\s+|White\s+|Portabella\s+|Button\s+)?(?:parfaits?|mushrooms?|crusts?|tortillas?)"
+)
+PLAIN_WORD = r"(?!or\b|and\b)[A-Za-z0-9'\-]+"
+SIZE_TAIL = (
+    r"(?:\s+((?:(?:\d+(?:\.\d+)?|\.\d+)(?:\s*-\s*(?:\d+(?:\.\d+)?|\.\d+))?)\s*"
+    r"(?:oz|ounce|lb|pound|ct|count|pk|pack|qt|pt|gal)\.?))?"
+)
+PRODUCE_LIST_NOUNS = "Apples|Potatoes|Grapes|Pears|Citrus|Squash|Tomatoes|Onions|Peppers"
+PRODUCE_LIST_HEADS = "Apples|Potatoes|Grapes|Pears|Citrus|Squash"
+COUPON_PRODUCT_WORDS = [
+    "chips", "crackers", "bread", "milk", "cheese", "soup", "cereal", "meat", "beef", "chicken", "pork", "fruit", "berries",
+    "apples", "coffee", "water", "soda", "detergent", "paper", "oil", "sauce", "pasta", "butter", "yogurt", "pizza",
+    "ice cream",
+]
+CAFE_PAIRING = r"\b(?:grande\s+handcrafted\s+drink|handcrafted\s+drink)\b"
+CAFE_NAME = "Starbucks Grande Drink & Breakfast or Lunch Food Pairing"
+BARE_COUNT = (
+    r"^(?:\d+(?:\.\d+)?|\.\d+)\s*(?:ct\.?|count|oz\.?|ounce|lb\.?|pound|pk\.?|pack)(?:\s+minis)?\.?$"
+)
+BULK_CLAUSE = (
+    r"\bSold in (?:a|the)?\s*(\d+(?:\.\d+)?)\s*(lb|oz|ct|count)\.?\s*(?:bag|package|pkg|box|container)?\s+for\s+"
+    r"\$(\d+(?:\.\d+)?)\b"
+)
+COLLAGE_STAPLES = [
+    "kraft", "maruchan", "michelina", "idahoan", "bowl", "crest", "banquet", "snack pack", "chef boyardee", "ragu",
+]
+COLLAGE_NAMES = [
+    ("kraft", "Kraft Macaroni & Cheese", "Kraft"), ("maruchan", "Maruchan Yakisoba or Ramen", "Maruchan"),
+    ("michelina's", "Michelina's Entree", "Michelina's"), ("idahoan", "Idahoan Mashed Potatoes", "Idahoan"),
+    ("bowl", "Maruchan Ramen Bowl", "Maruchan"), ("crest", "Crest Toothpaste", "Crest"),
+    ("banquet", "Banquet Pot Pies", "Banquet"), ("snack pack", "Snack Pack Pudding", "Snack Pack"),
+    ("chef boyardee", "Chef Boyardee Canned Pasta", "Chef Boyardee"), ("ragu", "Ragu Pasta Sauce", "Ragu"),
+]
+PORK_NOT_FRESH = [
+    "seasoning", "sauce", "marinade", "rice", "beans", "dog food", "treat", "roll", "rolls", "soup", "bratwurst", "hot dog",
+]
+BERRY_PROCESSED = [
+    "tea", "ice cream", "mix", "brownie", "candy", "chocolate", "gummies", "water", "bar",
+]
+FRESH_STORE_LABELS = ["Signature SELECT", "Signature Farms", "Our Brand", "Giant", "Giant Brand"]
+NOT_SHELL_EGGS = (
+    r"\b(white|whites|salad|bites|liquid|noodles?|rolls?|waffles?|omelets?|quiche|deli|sub|sandwich|sandwiches|wrap|wraps|"
+    r"potato\s+salad|pasta\s+salad|food\s+color|dye|pickled|frittatas?|loaf|dog\s+food|cat\s+food|pet|treats?|skillet|bowl|"
+    r"creamer|butter)\b"
+)
+SHELL_EGGS = r"\b(?<!['’])eggs?\b(?!['’])"
+EGG_GRADES = r"\b(large|extra\s+large|jumbo|medium)\b"
+FRESH_FLESH = [
+    "catfish", "salmon", "tilapia", "cod", "fillet", "chicken", "beef", "pork", "steak", "roast", "loin chop",
+]
+CUT_WORDS = [
+    "ground beef", "ground turkey", "boneless", "skinless", "bone-in", "fresh", "whole", "center cut", "loin chop", "pork chop",
+    "ribeye", "sirloin", "t-bone", "filet mignon", "flank steak", "drumsticks", "tenders", "cutlets", "roast", "steak", "chuck",
+    "round", "ribs", "short rib", "brisket",
+]
+CUT_ANIMALS = [
+    "chicken", "beef", "pork", "turkey", "salmon", "tilapia", "cod", "catfish", "fillet", "shrimp",
+]
+PER_POUND_TEXT = (
+    r"(?:per\s+lb|sold\s+by\s+the\s+lb|/\s*lb|\$?\d+(?:\.\d+)?\s*/?\s*lb\b|lb\s+member\s+price)"
+)
