@@ -99,13 +99,25 @@ def first_rule(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return let(col, chain)
 
 
+def sql_literal(x: object) -> str:
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else str(x)
+
+
 def lookup(col: Column, pairs: Sequence[tuple], default: Column | None = None) -> Column:
-    """Constant table lookup as one literal map."""
-    flat = [F.lit(x) for pair in pairs for x in pair]
-    found = F.try_element_at(F.create_map(*flat), col)
+    """Constant table lookup as one literal map (null keys find nothing)."""
+    table = F.expr("map(" + ", ".join(sql_literal(x) for pair in pairs for x in pair) + ")")
+    found = F.try_element_at(table, col)
     return found if default is None else F.coalesce(found, default)
 
 
+def one_of(col: Column, values: Sequence[str]) -> Column:
+    """Membership in a constant list; false for null."""
+    listed = F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
+    return F.coalesce(F.array_contains(listed, col), F.lit(False))
+
+
 def exact_round(x: Column, digits: int) -> Column:
     """Round the *binary* value half-to-even, as IEEE-aware languages do (2.675 -> 2.67).
 

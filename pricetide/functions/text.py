@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide import vocab as V
 from pricetide.functions.core import (
-    blank, cap, ci, escape, exact_round, first_rule, has, has_any, hit, lookup, num, squash, strip_marks, text,
+    blank, cap, ci, escape, exact_round, first_rule, has, has_any, hit, lookup, num, one_of, squash, strip_marks, text,
     word_any,
 )
 
@@ -116,16 +116,16 @@ def shopper_department(stored: Column, category: Column, name: Column, brand: Co
 
 
 def is_placeholder(col: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(col)).isin(V.PLACEHOLDER_NAMES), F.lit(False))
+    return one_of(F.lower(F.trim(col)), V.PLACEHOLDER_NAMES)
 
 
 def is_alcohol(category: Column, name: Column, brand: Column) -> Column:
     """Alcoholic beverage by category, then brand and keyword unless an excluded word occurs."""
     blob = F.lower(F.trim(F.concat_ws(" ", text(brand), text(name))))
     brands = V.WINE_BRANDS + V.BEER_SELTZER_BRANDS
-    return F.coalesce(F.lower(category).isin(V.ALCOHOL_CATEGORIES), F.lit(False)) | (
+    return one_of(F.lower(category), V.ALCOHOL_CATEGORIES) | (
         ~hit(blob, V.NOT_ALCOHOL_WORDS)
-        & (F.coalesce(F.lower(brand).isin(brands), F.lit(False)) | word_any(blob, brands)
+        & (one_of(F.lower(brand), brands) | word_any(blob, brands)
            | hit(blob, V.ALCOHOL_WORDS))
     )
 
@@ -134,7 +134,7 @@ def is_banner(title: Column) -> Column:
     """Department banner: exact title, or a title that starts with a banner longer than 8 characters."""
     low = F.lower(F.trim(title))
     starts = "^(?:" + "|".join(escape(b) for b in V.DEPARTMENT_BANNERS if len(b) > 8) + ")"
-    return F.coalesce(low.isin(V.DEPARTMENT_BANNERS) | low.rlike(starts), F.lit(False))
+    return F.coalesce(one_of(low, V.DEPARTMENT_BANNERS) | low.rlike(starts), F.lit(False))
 
 
 # ------------------------------------------------------------------ keys

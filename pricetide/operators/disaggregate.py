@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pricetide import vocab as V
 from pricetide.functions.core import (
-    blank, cap, ci, escape, has, has_any, hit, let, lookup, money, num, squash, strip_marks, text, truthy, unit_cost,
+    blank, cap, ci, cut_lineage, escape, has, has_any, hit, let, lookup, money, num, one_of, squash, strip_marks, text, truthy, unit_cost,
 )
 from pricetide.functions.promo import bundle_text, effective_price, promo_of
 from pricetide.functions.text import (
@@ -162,7 +162,7 @@ def pork_name(s: Column) -> Column:
             .when(has(x, "baby back") & has(x, "rib"), "Pork Baby Back Ribs").when(has_any(x, ["spare rib", "sparerib"]), "Pork Spare Ribs")
         )
 
-    label = F.when(~F.coalesce(b.isin(V.FRESH_STORE_LABELS), F.lit(False)), b)
+    label = F.when(~one_of(b, V.FRESH_STORE_LABELS), b)
     return F.when(fresh, _named(F.coalesce(let(F.trim(bare), cut), c), label)).otherwise(s)
 
 
@@ -182,7 +182,7 @@ def ground_meat_name(s: Column) -> Column:
     special = F.coalesce(b.isin("Schweid & Sons", "Rastelli's"), F.lit(False)) | has_any(c, ["schweid", "rastelli", "wagyu", "meatloaf mix"])
     patties = F.when(low.rlike(r"\b(patties|burgers?)\b"), " Patties").otherwise("")
     beef = F.concat(F.coalesce(F.concat(beef_pct, F.lit("% Lean ")), F.lit("")), F.lit("Ground Beef"), patties)
-    beef_brand = F.when(~F.coalesce(b.isin([*V.FRESH_STORE_LABELS, "USDA Prime", "USDA Choice"]), F.lit(False)), b)
+    beef_brand = F.when(~one_of(b, [*V.FRESH_STORE_LABELS, "USDA Prime", "USDA Choice"]), b)
     bird_pct = lean("85|90|93|99", [("99/1", "1% fat", "99"), ("93/7", "7% fat", "93"), ("85/15", "15% fat", "85")])
     bird = F.concat(
         F.when(blank(b).isNotNull() & ~b.isin(V.FRESH_STORE_LABELS), F.concat(b, F.lit(" "))).otherwise(""),
@@ -273,7 +273,7 @@ def sold_by_pound(s: Column, full_text: Column) -> Column:
     miscounted = has_any(c, V.FRESH_FLESH) & ~hit(c, r"\b(?:portions?|patt(?:y|ies)|cakes?|skewers?|nuggets?)\b") & F.coalesce(
         s["unit"] == "ct", F.lit(False)) & hit(full_text, r"\b(?:lb\s+member\s+price|/\s*lb|per\s+lb)\b")
     cut = ~portion & has_any(c, V.CUT_WORDS) & has_any(c, V.CUT_ANIMALS)
-    loose = F.coalesce(s["b"].isin(V.DELI_BRANDS), F.lit(False)) | hit(full_text, V.PER_POUND_TEXT) | cut | hit(
+    loose = one_of(s["b"], V.DELI_BRANDS) | hit(full_text, V.PER_POUND_TEXT) | cut | hit(
         F.trim(c), r"^(?:organic\s+)?bananas?$")
     berries = has_any(c, ["raspberries", "blackberries", "blueberries", "strawberries"])
     shell = [("6 oz", 6.0, "oz"), ("12 oz", 12.0, "oz"), ("1 lb", 1.0, "lb"), ("2 lb", 2.0, "lb"), ("pint", 1.0, "pt")]
@@ -364,10 +364,10 @@ def _goods_rows(t: DataFrame, national: list[str]) -> DataFrame:
     lead = "^(?:" + "|".join(escape(b) for b in sorted(STORE, key=len, reverse=True)) + r")\s+"
     r = r.withColumns({
         "canonical": F.when(has_national, F.trim(F.regexp_replace(named, ci(lead), ""))).otherwise(named),
-        "brand": F.when(has_national & F.coalesce(c("brand").isin(STORE), F.lit(False)), c("national")).otherwise(c("brand")),
+        "brand": F.when(has_national & one_of(c("brand"), STORE), c("national")).otherwise(c("brand")),
     })
     prepend = (~c("collage") & blank(c("brand")).isNotNull() & ~F.contains(F.lower("canonical"), F.lower("brand"))
-               & ~F.coalesce(c("initial").isin(STORE), F.lit(False)) & ~(F.coalesce(c("brand").isin(STORE), F.lit(False)) & has_national))
+               & ~one_of(c("initial"), STORE) & ~(one_of(c("brand"), STORE) & has_national))
     collage_key = F.when(c("collage"), F.lower(F.trim("sub")))
     r = r.withColumns({
         "canonical": F.coalesce(lookup(collage_key, [(k, n) for k, n, _ in V.COLLAGE_NAMES]),
@@ -440,7 +440,7 @@ def renormalize(s: DataFrame, national_brands: Sequence[str] = V.NATIONAL_BRANDS
         c("image_url").alias("cutout_image_url"), none.alias("clean_image_url"))
     old = s.select(c("deal_id").alias("old_id"), c("raw_deal_id").alias("tile"), c("canonical_name").alias("o_name"), c("brand").alias("o_brand"),
                    c("unit_price").alias("o_unit"), c("category").alias("o_cat"), *(c(k).alias("o_" + k) for k in keep))
-    deals = disaggregate(tiles, national_brands).withColumnRenamed("raw_deal_id", "old_id")
+    deals = cut_lineage(disaggregate(tiles, national_brands)).withColumnRenamed("raw_deal_id", "old_id")
     sizes = deals.groupBy("old_id").agg(F.count("*").alias("parts"))
     j = deals.join(sizes, "old_id").join(old, "old_id")
     changed = (~c("canonical_name").eqNullSafe(c("o_name")) | ~c("brand").eqNullSafe(c("o_brand"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions.core import blank, day10, day_of, like_ci, truthy, unit_cost
+from pricetide.functions.core import blank, day10, day_of, like_ci, truthy, unit_cost, one_of
 from pricetide.functions.text import history_group
 from pricetide import vocab as V
 
@@ -159,7 +159,7 @@ def grouped_timeline(s: DataFrame, query: str | None = None, merchant: str | Non
         F.array_sort(F.collect_set(truthy(F.col("page_number")))).alias("pages"),
         F.min_by("promo_detail", F.when(blank(F.col("promo_detail")).isNotNull(), seq)).alias("promo_detail"),
         F.min(F.coalesce("is_trusted", F.lit(True))).alias("is_trusted"),
-        F.max(F.coalesce(F.col("promo_type").isin(V.OUTLIER_PROMOS), F.lit(False))).alias("is_doorbuster"),
+        F.max(one_of(F.col("promo_type"), V.OUTLIER_PROMOS)).alias("is_doorbuster"),
         F.array_sort(F.collect_set("canonical_name")).alias("varieties"),
         F.count("*").alias("observations"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import cap, ci, escape, has, hit, let, lookup, squash, strip_marks, sub_each, text
+from pricetide.functions.core import cap, ci, escape, has, hit, let, lookup, squash, strip_marks, sub_each, text, one_of
 
 ALL_BRANDS = V.STORE_BRANDS + [b for b in V.NATIONAL_BRANDS if b not in V.STORE_BRANDS]
 HEAD = "|".join(V.HEAD_NOUN_PATTERNS)
@@ -31,7 +31,7 @@ def _say(*pieces: Column | str) -> Column:
 
 def is_head_word(w: Column) -> Column:
     low = F.btrim(F.lower(w), F.lit(" ,.-"))
-    return low.isin(V.HEAD_NOUN_WORDS) | (low.endswith("s") & F.substring(low, F.lit(1), F.length(low) - 1).isin(V.HEAD_NOUN_WORDS))
+    return one_of(low, V.HEAD_NOUN_WORDS) | (low.endswith("s") & one_of(F.substring(low, F.lit(1), F.length(low) - 1), V.HEAD_NOUN_WORDS))
 
 
 def _ends_in_head(x: Column) -> Column:
@@ -182,7 +182,7 @@ def _share_head(parts: Column) -> Column:
 def _plain_split(chunk: Column) -> Column:
     parts = F.split(chunk, ci(_OR))
     last_word = F.btrim(F.lower(F.try_element_at(_words(F.try_element_at(parts, F.lit(-1))), F.lit(-1))), F.lit(" "))
-    combo = (F.size(parts) > 1) & last_word.isin(V.CONTAINER_WORDS) & ~F.exists(_words(F.get(parts, F.lit(0))), is_head_word)
+    combo = (F.size(parts) > 1) & one_of(last_word, V.CONTAINER_WORDS) & ~F.exists(_words(F.get(parts, F.lit(0))), is_head_word)
     kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
     spread = let(kept, lambda k: F.when(F.size(k) > 1, F.filter(
         F.transform(_share_head(k), _tidy), lambda p: p != "")).otherwise(F.array(chunk)))
@@ -383,8 +383,8 @@ def _brand_sizes(title: Column) -> Column:
 
     def rewrite(m: Column) -> Column:
         a, b, sz = (F.trim(text(cap(m, p, i))) for i in (1, 2, 3))
-        food = F.exists(F.concat(_words(a), _words(b)), lambda w: F.lower(w).isin(V.FOOD_KEYWORDS))
-        ok = ((F.lower(a).isin(known) | F.lower(b).isin(known)) & ~food & (F.size(_words(a)) <= 2) & (F.size(_words(b)) <= 2)
+        food = F.exists(F.concat(_words(a), _words(b)), lambda w: one_of(F.lower(w), V.FOOD_KEYWORDS))
+        ok = ((one_of(F.lower(a), known) | one_of(F.lower(b), known)) & ~food & (F.size(_words(a)) <= 2) & (F.size(_words(b)) <= 2)
               & ~hit(a, V.UNIT_PATTERN) & (F.length(a) > 2) & (F.length(b) > 2))
         return F.when(ok, F.concat(a, F.lit(" "), sz, F.lit(", "), b, F.lit(" "), sz)).otherwise(m)
 

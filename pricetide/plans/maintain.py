@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import blank, day10, let, like_ci, truthy, unit_cost
+from pricetide.functions.core import blank, cut_lineage, day10, let, like_ci, truthy, unit_cost
 from pricetide.functions.promo import PROMO_TYPE, effective_price, promo_of
 from pricetide.functions.text import is_placeholder, search_term
 from pricetide.operators.history import Catalog, star
@@ -115,10 +115,10 @@ def superseded_flyers(flyers: DataFrame, live: DataFrame) -> DataFrame:
 
 def resync(c: Catalog, flyer: DataFrame, deals: DataFrame, order: Column) -> Catalog:
     """Idempotent re-ingestion of circulars: supersede overlaps, drop old rows, insert the new ones."""
-    flyers = upsert_flyers(c.flyers, flyer)
-    purged = delete_flyers(Catalog(c.observations, c.products, flyers), superseded_flyers(flyers, flyer))
-    kept = delete_flyers(purged, flyer)
-    products = upsert_products(kept.products, deals, order)
+    old = superseded_flyers(upsert_flyers(c.flyers, flyer), flyer)
+    gone = cut_lineage(old.unionByName(flyer.select("flyer_id")).distinct())
+    kept = delete_flyers(c, gone)
+    products = cut_lineage(upsert_products(kept.products, deals, order))
     return Catalog(upsert_observations(kept.observations, deals, products, order), products,
                    upsert_flyers(kept.flyers, flyer))
 

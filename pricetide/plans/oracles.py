@@ -286,4 +286,27 @@ def oracle_sql() -> dict[str, str]:
     sql["unit_info"] = _with(t) + """ SELECT product_id, CASE WHEN canonical_name LIKE '% oz' THEN unit_size END AS size, CASE WHEN canonical_name LIKE '% oz' THEN 'oz' END AS unit FROM prod"""
     sql["episode_sessions"] = """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events),
       n AS (SELECT *, sum(s) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS g FROM e) SELECT user_id AS product_id, count(DISTINCT (event_type, g)) AS sessions FROM n GROUP BY 1"""
+    b4 = "['Progresso','Knorr','Lipton','Swanson'][p_partkey % 4 + 1]"
+    b3 = "['Barilla','Kraft','Quaker'][p_partkey % 3 + 1]"
+    cents = "CAST(round(p_retailprice * 100) AS BIGINT) AS cents, 'standard' AS promo_type"
+    sql["disaggregate"] = f"""
+      SELECT p_partkey AS raw_deal_id, {b4} || ' Soup ' || (p_size + 1) || ' oz' AS canonical_name, {b4} AS brand, p_size + 1.0 AS unit_size, 'oz' AS unit_type, 'Soup' AS category, {cents} FROM part WHERE p_partkey % 3 = 0
+      UNION ALL SELECT p_partkey, {b3} || ' Pasta 16 oz', {b3}, 16.0, 'oz', 'Pasta', {cents} FROM part WHERE p_partkey % 3 = 0
+      UNION ALL SELECT p_partkey, 'Lucerne ' || v || ' Cheese ' || CASE WHEN p_size = 7 THEN '6-8 oz' ELSE (p_size + 1) || ' oz' END, 'Lucerne', CASE WHEN p_size = 7 THEN 7.0 ELSE p_size + 1.0 END, 'oz', v || ' Cheese', {cents}
+        FROM part, (VALUES ('Chunk'), ('Shredded'), ('Sliced')) t(v) WHERE p_partkey % 3 = 1
+      UNION ALL SELECT p_partkey, v || ' ' || (p_size + 1) || ' oz', v, p_size + 1.0, 'oz', NULL, {cents} FROM part, (VALUES ('Doritos'), ('Tostitos')) t(v) WHERE p_partkey % 3 = 2"""
+    sql["title_tokens"] = """SELECT p_partkey AS item_id, kind, n FROM part, (VALUES (0, 'B', 2), (0, 'H', 2), (0, 'U', 2), (0, 'C', 2), (0, 'W', 2),
+        (1, 'B', 1), (1, 'W', 3), (1, 'C', 1), (1, 'O', 1), (1, 'H', 1), (1, 'U', 1), (2, 'B', 2), (2, 'C', 1), (2, 'U', 1)) t(m, kind, n) WHERE p_partkey % 3 = m"""
+    sql["clean_titles"] = _with(t) + " SELECT product_id, canonical_name AS title FROM prod"
+    sql["categories"] = """SELECT category, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 3 WHEN 0 THEN ['Soup', 'Pasta', NULL] WHEN 1 THEN [NULL, 'Sliced Cheese'] ELSE [NULL, NULL] END) AS category FROM part) GROUP BY 1"""
+    words = " ".join(f"WHEN regexp_matches(low, '\\b{k}\\b') THEN '{d}'" for k, d in V.DEPARTMENT_KEYWORDS)
+    sql["document_departments"] = f"""SELECT * FROM (SELECT doc_id, CASE {words} END AS department FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE department IS NOT NULL"""
+    sql["alcohol_flags"] = _with(*f) + " SELECT count(*) FILTER (WHERE product_id % 11 = 0) AS alcohol FROM feed"
+    sql["loyalty_program"] = _with(t) + """ SELECT flyer_id, CASE WHEN flyer_id % 10 = 0 OR merchant = 'ASIA' THEN 'for U' ELSE 'Giant Choice' END AS program FROM flyer"""
+    sql["json_ingest"] = _with(t, placed) + " SELECT flyer_id, page_number, count(*) AS n, count(*) AS priced FROM placed GROUP BY ALL"
+    sql["report_filters"] = _with(*f) + " SELECT badge, count(*) AS n FROM feed WHERE bno <> 13 GROUP BY 1"
+    sql["product_preferences"] = _with(*f) + """ SELECT 'pid_' || product_id AS product_key, canonical_name AS name, rating FROM prod LEFT JOIN rate USING (product_id)
+      WHERE product_id <> 0 AND canonical_name LIKE '%ring%' AND product_id IN (SELECT product_id FROM feed)
+      UNION ALL SELECT 'name_' || substr(regexp_replace(lower(canonical_name), '[^a-z0-9]', '_', 'g'), 1, 50), canonical_name, NULL FROM prod
+      WHERE product_id = 0 AND canonical_name LIKE '%ring%' AND product_id IN (SELECT product_id FROM feed)"""
     return sql

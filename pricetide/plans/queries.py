@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pricetide.functions import promo as P
 from pricetide.functions import text as X
 from pricetide.functions.core import day_of, let
+from pricetide.operators import disaggregate as DG
 from pricetide.operators import episodes as EP
 from pricetide.operators import evaluate as EV
 from pricetide.operators import feed as FD
 from pricetide.operators import grouping as G
 from pricetide.operators import history as H
 from pricetide.operators import past as PS
+from pricetide.operators import titles as TI
 from pricetide.plans import maintain as M
 from pricetide.plans import views as W
 from pricetide.sources import circulars as C
@@ -356,6 +358,96 @@ def unit_info(s, d):
         "product_id", F.col("u.size").alias("size"), F.col("u.unit").alias("unit"))
 
 
+def disaggregate(s, d):
+    """Compound titles of every part split into normalised deals."""
+    out = DG.disaggregate(W.compound_items(s, d))
+    return out.select("raw_deal_id", "canonical_name", "brand", "unit_size", "unit_type", "category",
+                      F.round(F.col("advertised_price") * 100).cast("bigint").alias("cents"), "promo_type")
+
+
+def title_tokens(s, d):
+    """Token kinds of every compound title."""
+    t = W.compound_items(s, d).withColumn("tok", F.explode(TI.tokenize(X.normalize_text(F.col("name")))))
+    return t.groupBy("item_id", F.col("tok.t").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def clean_titles(s, d):
+    """Sales notes stripped from every product title."""
+    p = W.products(s, d)
+    noisy = F.concat(F.col("canonical_name"), F.lit("., Select Varieties Limit 2 - 2/ $5.00"))
+    return p.select("product_id", X.clean_sales_notes(X.normalize_text(noisy)).alias("title"))
+
+
+def categories(s, d):
+    """Commodity category of every advertised title."""
+    t = W.compound_items(s, d).select("item_id", F.explode(F.split("name", ", ")).alias("t"))
+    return t.select("item_id", X.infer_category(F.col("t")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def document_departments(s, d):
+    """Department keywords in whole documents."""
+    return W._read(s, d, "documents").select("doc_id", X.infer_department(F.col("text")).alias("department")).filter(
+        F.col("department").isNotNull())
+
+
+def alcohol_flags(s, d):
+    f = W.feed_deals(s, d)
+    name = F.when(F.col("product_id") % 11 == 0, F.concat("canonical_name", F.lit(" merlot"))).when(
+        F.col("product_id") % 7 == 0, F.concat("canonical_name", F.lit(" beer sauce"))).otherwise(F.col("canonical_name"))
+    return f.agg(F.count_if(X.is_alcohol(F.col("category"), name, F.col("brand"))).alias("alcohol"))
+
+
+def loyalty_program(s, d):
+    f = W.flyers(s, d)
+    who = F.when(F.col("merchant") == "ASIA", F.lit("Tom Thumb")).when(F.col("merchant") == "EUROPE", "Giant Food Stores").otherwise(
+        F.col("merchant"))
+    words = F.when(F.col("flyer_id") % 10 == 0, F.lit("earn points for U")).otherwise("")
+    return f.select("flyer_id", P.loyalty(who, words)["program"].alias("program"))
+
+
+def json_ingest(s, d):
+    """Payload text parsed, items placed on pages, prices read tolerantly."""
+    from pricetide import schemas as S
+
+    raw = W.raw_payloads(s, d).select(F.from_json("value", S.PAYLOAD).alias("v")).select("v.*")
+    pages = C.pages_of(raw).dropDuplicates(["flyer_id", "page_number"])
+    placed = C.assign_pages(C.items_of(raw), pages)
+    return placed.groupBy("flyer_id", "page_number").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
+
+
+def meal_deal_merge(s, d):
+    """Items of every circular after tiles that repeat a meal deal are folded into it."""
+    i = G.absorb_meal_deals(G.group_items(_feed(s, d)))
+    return i.groupBy("flyer_id", "group_key").agg(F.count("*").alias("n"))
+
+
+def report_filters(s, d):
+    """Default weekly report over all circulars."""
+    return FD.filtered_report(_feed(s, d)).groupBy("badge").agg(F.count("*").alias("n"))
+
+
+def points_value(s, d):
+    return FD.points_value(_feed(s, d)).filter(F.col("pts").isNotNull() | (F.col("yield_tag") != "")).select(
+        "deal_id", "pts", "saved_value", "yield_tag")
+
+
+def viewer_search(s, d):
+    items = FD.viewer_items(_feed(s, d))
+    return FD.viewer_search(items, FD.viewer_groups(items), G.group_titles(items), "ring economy").select("flyer_id", "group_key", "title")
+
+
+def product_preferences(s, d):
+    u = FD.unique_products(_feed(s, d))
+    return FD.product_preferences(u, W.ratings(s, d), query="ring", sort="rated_first").select("product_key", "name", "rating")
+
+
+def export_rows(s, d):
+    from pricetide.sources import export as E
+
+    f = _feed(s, d).withColumn("diff_pct_vs_avg", F.lit(0.0))
+    return E.export_rows(f)
+
+
 def episode_sessions(s, d):
     """Gap-only episodes over the event stream table, read as a batch."""
     e = W._read(s, d, "events").select(F.col("user_id").alias("product_id"), "event_type", "ts")
@@ -372,6 +464,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         department_facets, token_search, digest_sections, deal_ranking, history_callout, viewer_flags, badge_labels, compact_tags,
         history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations,
         merge_products, trust_marks, shelf_price_ladder, enriched_prices, free_stacks, coupon_upsert, unit_info, episode_sessions,
+        disaggregate, title_tokens, clean_titles, categories, document_departments, alcohol_flags, loyalty_program, json_ingest,
+        meal_deal_merge, report_filters, points_value, viewer_search, product_preferences, export_rows,
     ]
     return {f.__name__: f for f in fns}
 

@@ -191,3 +191,36 @@ def payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.date_add("week", F.when(F.col("l_partkey") % 53 < 12, 60).otherwise(6)).cast("string"),
                  F.lit("T23:59:59")).alias("valid_to"))
     return pages, items
+
+
+TITLE_BRANDS = ["Progresso", "Knorr", "Lipton", "Swanson"]
+TITLE_PASTA = ["Barilla", "Kraft", "Quaker"]
+
+
+def compound_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tile per part whose title names two or three products with their own or a shared size."""
+    p = _read(spark, sf_dir, "part")
+    c = F.col
+    pick = lambda names: F.element_at(F.array(*(F.lit(n) for n in names)), (c("p_partkey") % len(names) + 1).cast("int"))
+    size = (c("p_size") + 1).cast("string")
+    two = F.concat(pick(TITLE_BRANDS), F.lit("® Soup "), size, F.lit(" oz., "), pick(TITLE_PASTA), F.lit(" Pasta 16 oz., Select Varieties"))
+    three = F.concat(F.lit("Lucerne Chunk, Shredded or Sliced Cheese "), size, F.lit(" oz"))
+    pair = F.concat(F.lit("Doritos, Tostitos "), size, F.lit(" oz."))
+    none, nod = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return p.select(
+        c("p_partkey").alias("item_id"), F.lit(1).cast("bigint").alias("flyer_id"),
+        F.when(c("p_partkey") % 3 == 0, two).when(c("p_partkey") % 3 == 1, three).otherwise(pair).alias("name"),
+        (F.round(c("p_retailprice") * 100) / 100.0).alias("price"), nod.alias("original_price"), none.alias("pre_price_text"),
+        none.alias("post_price_text"), none.alias("description"), none.alias("brand"), F.lit(2).alias("page_number"),
+        F.lit(False).alias("is_front_page"), none.alias("cutout_image_url"), none.alias("clean_image_url"))
+
+
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circulars' pages and items as JSON payload text, one document per circular and item block."""
+    pages, items = payloads(spark, sf_dir)
+    block = items.withColumn("block", F.col("part") % 16)
+    docs = block.groupBy("flyer_id", "block").agg(F.collect_list(F.struct(
+        F.col("item_id").alias("id"), "name", F.format_string("%.2f", F.col("left") / 7).alias("price"), "left", "right", "valid_from",
+        "valid_to")).alias("items"))
+    pg = pages.groupBy("flyer_id").agg(F.collect_list(F.struct(F.col("page_number").alias("page"), "left", "right")).alias("pages"))
+    return docs.join(pg, "flyer_id").select(F.to_json(F.struct("flyer_id", "pages", "items")).alias("value"))
