@@ -301,6 +301,7 @@ def oracle_sql() -> dict[str, str]:
     sql["categories"] = """SELECT category, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 3 WHEN 0 THEN ['Soup', 'Pasta', NULL] WHEN 1 THEN [NULL, 'Sliced Cheese'] ELSE [NULL, NULL] END) AS category FROM part) GROUP BY 1"""
     words = " ".join(f"WHEN regexp_matches(low, '\\b{k}\\b') THEN '{d}'" for k, d in V.DEPARTMENT_KEYWORDS)
     sql["document_departments"] = f"""SELECT * FROM (SELECT doc_id, CASE {words} END AS department FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE department IS NOT NULL"""
+    sql["points_value"] = _with(t) + """ SELECT deal_id, l_linenumber * 50 AS pts, l_linenumber + 0.5 AS saved_value FROM obs WHERE kind = 2"""
     sql["alcohol_flags"] = _with(*f) + " SELECT count(*) FILTER (WHERE product_id % 11 = 0) AS alcohol FROM feed"
     sql["loyalty_program"] = _with(t) + """ SELECT flyer_id, CASE WHEN flyer_id % 10 = 0 OR merchant = 'ASIA' THEN 'for U' ELSE 'Giant Choice' END AS program FROM flyer"""
     sql["json_ingest"] = _with(t, placed) + " SELECT flyer_id, page_number, count(*) AS n, count(*) AS priced FROM placed GROUP BY ALL"

@@ -427,8 +427,11 @@ def report_filters(s, d):
 
 
 def points_value(s, d):
-    return FD.points_value(_feed(s, d)).filter(F.col("pts").isNotNull() | (F.col("yield_tag") != "")).select(
-        "deal_id", "pts", "saved_value", "yield_tag")
+    """Points, saved value and display tag of redemption offers."""
+    order, line = F.floor(F.col("raw_deal_id") / 10), F.col("raw_deal_id") % 10
+    offers = _feed(s, d).filter(order % 16 == 2).withColumn("promo_detail", F.concat(
+        F.lit("FREE when you redeem "), (line * 50).cast("string"), F.lit(" CHOICE points SAVE UP TO $"), line.cast("string"), F.lit(".50")))
+    return FD.points_value(offers).select("deal_id", "pts", "saved_value")
 
 
 def viewer_search(s, d):
