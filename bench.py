@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         registry[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus), "shuffle_partitions": int(cpus)}))
     spark.stop()

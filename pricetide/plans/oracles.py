@@ -299,7 +299,8 @@ def oracle_sql() -> dict[str, str]:
         (1, 'B', 1), (1, 'W', 3), (1, 'C', 1), (1, 'O', 1), (1, 'H', 1), (1, 'U', 1), (2, 'B', 2), (2, 'C', 1), (2, 'U', 1)) t(m, kind, n) WHERE p_partkey % 3 = m"""
     sql["clean_titles"] = _with(t) + " SELECT product_id, canonical_name AS title FROM prod"
     sql["categories"] = """SELECT category, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 3 WHEN 0 THEN ['Soup', 'Pasta', NULL] WHEN 1 THEN [NULL, 'Sliced Cheese'] ELSE [NULL, NULL] END) AS category FROM part) GROUP BY 1"""
-    words = " ".join(f"WHEN regexp_matches(low, '\\b{k}\\b') THEN '{d}'" for k, d in V.DEPARTMENT_KEYWORDS)
+    edge_l, edge_r = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+    words = " ".join(f"WHEN regexp_matches(low, '{edge_l}{k}{edge_r}') THEN '{d}'" for k, d in V.DEPARTMENT_KEYWORDS)
     sql["document_departments"] = f"""SELECT * FROM (SELECT doc_id, CASE {words} END AS department FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE department IS NOT NULL"""
     sql["points_value"] = _with(t) + """ SELECT deal_id, l_linenumber * 50 AS pts, l_linenumber + 0.5 AS saved_value FROM obs WHERE kind = 2"""
     sql["alcohol_flags"] = _with(*f) + " SELECT count(*) FILTER (WHERE product_id % 11 = 0) AS alcohol FROM feed"

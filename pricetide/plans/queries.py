@@ -152,7 +152,7 @@ def deal_evaluation(s, d):
 
 # ------------------------------------------------------------------ promotions
 def promo_extract(s, d):
-    o = P.with_promo(W.observations(s, d), ["promo_detail"]).filter(F.col("promo").isNotNull())
+    o = P.with_promo(W.observations(s, d).filter(F.col("promo_detail").isNotNull()), ["promo_detail"])
     return o.select("deal_id", *(F.col(f"promo.{f}").alias(f) for f in (
         "promo_type", "qualifying_qty", "stated_unit_price", "coupon_price", "coupon_discount", "points_cost", "points_saved_val",
         "points_bonus", "points_multiplier", "spend_threshold", "est_reward_val", "est_net_price")))

@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.functions.core import unit_cost
+from pricetide.functions.core import spread, unit_cost
 
 PROMO_KINDS = 16
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("lineitem", "part", "documents") else df
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
