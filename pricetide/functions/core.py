@@ -70,6 +70,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def only_some(value: Column) -> Column:
+    """Generator form of "compute, then keep the row if not null".
+
+    A filter on a computed column is pushed below its projection and computes it a second time; exploding a
+    list of at most one element drops the same rows after a single evaluation.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def sub_each(col: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace every match by an expression of the matched text.
 

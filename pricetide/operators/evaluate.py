@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import blank, cut_lineage, day10, day_of, exact_round, fixed, let, lookup, money, text, truthy, unit_cost
+from pricetide.functions.core import blank, cut_lineage, day10, day_of, exact_round, fixed, let, lookup, money, only_some, text, truthy, unit_cost
 from pricetide.functions.promo import loyalty, point_value_sample, promo_of
 from pricetide.functions.text import ad_id, is_placeholder
 from pricetide.operators.episodes import MAX_GAP_DAYS, history_rows
@@ -31,8 +31,7 @@ def dynamic_point_value(deals: DataFrame, min_points: int = 50, exclude: tuple[i
     words = F.concat_ws(" ", "raw_title", "promo_detail", "canonical_name")
     return (
         deals.filter(F.lower(words).contains("point"))
-        .withColumn("sample", let(promo, lambda p: point_value_sample(p, min_points, exclude)))
-        .filter(F.col("sample").isNotNull())
+        .withColumn("sample", only_some(let(promo, lambda p: point_value_sample(p, min_points, exclude))))
         .groupBy("flyer_id")
         .agg(exact_round(F.round(F.avg("sample"), 12), 4).alias("flyer_point_value"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import blank, cut_lineage, day10, let, like_ci, truthy, unit_cost
+from pricetide.functions.core import blank, cut_lineage, day10, let, like_ci, only_some, truthy, unit_cost
 from pricetide.functions.promo import PROMO_TYPE, effective_price, promo_of
 from pricetide.functions.text import is_placeholder, search_term
 from pricetide.operators.history import Catalog, star
@@ -193,9 +193,8 @@ def enrich_prices(unpriced: DataFrame) -> DataFrame:
          "qualifying_qty": F.coalesce(truthy(F.col("qualifying_qty")), F.lit(2))}.get(
             f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PROMO_TYPE.fields))
     known = F.coalesce(p, F.when(F.col("promo_type") == "bogo", plain_bogo))
-    # bound locally: a pushed-down filter would otherwise repeat the promotion parser per struct field
     out = unpriced.filter(F.col("shelf_price") > 0).withColumn(
-        "effective", let(known, lambda k: effective_price(k, F.col("shelf_price")))).filter(F.col("effective").isNotNull())
+        "effective", only_some(let(known, lambda k: effective_price(k, F.col("shelf_price")))))
     return out.select("deal_id", F.col("effective").alias("advertised_price"),
                       unit_cost(truthy(F.col("effective")), F.col("unit_size")).alias("unit_price"),
                       F.col("shelf_price").alias("base_price"))

@@ -184,6 +184,13 @@ def oracle_sql() -> dict[str, str]:
     past_cols = """CAST(qd AS VARCHAR) AS day, n_past, h_min, h_max, b_min, b_max, round(b_avg, 6) AS b_avg, last_price, CAST(last_end AS VARCHAR) AS last_end FROM past"""
     sql["decayed_average"] = _with(t, _past("product_id, merchant")) + " SELECT product_id, merchant, " + past_cols
     sql["cross_banner_past"] = _with(t, _past("product_id")) + " SELECT product_id, " + past_cols
+    sql["historical_badges"] = _with(t, _past("product_id, merchant")) + """ SELECT deal_id, CASE
+        WHEN abs(p - last_price) < 0.005 AND date_diff('day', last_end, week) BETWEEN 0 AND 10 THEN CASE WHEN p <= h_min AND h_max - h_min >= 0.05 THEN 'MATCHES_ATL' ELSE 'CYCLE_REFRESH' END
+        WHEN p < h_min - 0.005 THEN 'NEW_ALL_TIME_LOW' WHEN abs(p - h_min) <= 0.005 THEN CASE WHEN h_max - h_min >= 0.05 THEN 'MATCHES_ATL' ELSE 'CYCLE_REFRESH' END
+        WHEN p <= b_avg * 0.85::DOUBLE THEN 'BEAT_AVERAGE' WHEN p <= b_avg OR abs(p - b_min) < 0.05 THEN 'CYCLE_REFRESH'
+        WHEN p > b_avg * 1.15::DOUBLE OR p > b_max THEN 'PRICE_HIKE' ELSE 'STANDARD_DEAL' END AS badge
+      FROM (SELECT *, advertised_price AS p FROM obs WHERE advertised_price IS NOT NULL) o
+      JOIN past ON past.product_id = o.product_id AND past.merchant = o.merchant AND past.qd = o.week"""
     unit = "up AS (SELECT *, advertised_price / unit_size AS u FROM star WHERE advertised_price IS NOT NULL AND unit_type IS NOT NULL)"
     sql["category_benchmark"] = _with(t, unit) + """, cats AS (SELECT DISTINCT lower(category) AS cat FROM prod WHERE category IS NOT NULL),
       filed AS (SELECT lower(category) AS cat, unit_type, week, u FROM up WHERE category IS NOT NULL

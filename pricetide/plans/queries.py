@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import promo as P
 from pricetide.functions import text as X
-from pricetide.functions.core import day_of, let
+from pricetide.functions.core import day_of, let, only_some
 from pricetide.operators import disaggregate as DG
 from pricetide.operators import episodes as EP
 from pricetide.operators import evaluate as EV
@@ -150,6 +150,16 @@ def deal_evaluation(s, d):
     return EV.evaluate(W.catalog(s, d))
 
 
+def historical_badges(s, d):
+    """Badges from episodes, decayed average and past range within the same merchant."""
+    st = _star(s, d).filter(F.col("advertised_price").isNotNull()).withColumn("day", day_of(F.col("valid_from")))
+    keys = ["product_id", "merchant"]
+    past = PS.past_stats(EP.history_rows(st, keys), st.select(*keys, "day"), keys)
+    h = F.struct(*EV.STATS)
+    j = st.select("deal_id", *keys, "day", "advertised_price").join(past.select(*keys, "day", h.alias("past")), [*keys, "day"])
+    return j.select("deal_id", EV.historical_badge(F.col("advertised_price"), F.col("past"), F.col("day"), F.lit(False)).alias("badge"))
+
+
 # ------------------------------------------------------------------ promotions
 def promo_extract(s, d):
     o = P.with_promo(W.observations(s, d).filter(F.col("promo_detail").isNotNull()), ["promo_detail"])
@@ -161,8 +171,8 @@ def promo_extract(s, d):
 def effective_price(s, d):
     o = W.observations(s, d).filter(F.col("promo_detail").isNotNull())
     base = W._read(s, d, "part").select(F.col("p_partkey").alias("product_id"), (F.round(F.col("p_retailprice") * 100) / 100.0).alias("list"))
-    o = o.join(base, "product_id").withColumn("e", let(
-        P.promo_of([F.col("promo_detail")]), lambda p: P.effective_price(p, F.col("list")))).filter(F.col("e").isNotNull())
+    o = o.join(base, "product_id").withColumn("e", only_some(let(
+        P.promo_of([F.col("promo_detail")]), lambda p: P.effective_price(p, F.col("list")))))
     return o.select("deal_id", F.round(F.col("e") * 100).cast("bigint").alias("effective_cents"))
 
 
@@ -181,15 +191,15 @@ def points_tiers(s, d):
 
 # ------------------------------------------------------------------ groups and feed
 def group_items(s, d):
-    return G.group_items(_feed(s, d)).select("flyer_id", "group_key", "deal_id", "canonical_name")
+    return G.group_items(W.feed_deals(s, d)).select("flyer_id", "group_key", "deal_id", "canonical_name")
 
 
 def group_split(s, d):
-    return G.split_flags(G.group_items(_feed(s, d))).select("flyer_id", "group_key", "n", "split")
+    return G.split_flags(G.group_items(W.feed_deals(s, d))).select("flyer_id", "group_key", "n", "split")
 
 
 def representatives(s, d):
-    i = G.group_items(_feed(s, d)).withColumn("priority", G.deal_priority())
+    i = G.group_items(W.feed_deals(s, d)).withColumn("priority", G.deal_priority())
     return i.groupBy("flyer_id", "group_key").agg(
         F.count("*").alias("n_items"), F.min("current_price").alias("min_price"), F.max("current_price").alias("max_price"),
         F.max("is_front_page").alias("is_front_page"),
@@ -197,14 +207,14 @@ def representatives(s, d):
 
 
 def modal_units(s, d):
-    i = G.group_items(_feed(s, d)).filter(F.col("unit_type").isNotNull())
+    i = G.group_items(W.feed_deals(s, d)).filter(F.col("unit_type").isNotNull())
     return i.groupBy("flyer_id", "group_key").agg(F.min("unit_type").alias("unit_type"), milli(F.min("unit_price")).alias("lo"),
                                                   milli(F.max("unit_price")).alias("hi"))
 
 
 def ad_groups(s, d):
     """Displayed ad groups with titles, ranges and representatives."""
-    return G.group_deals(_feed(s, d)).drop("pages", "brands")
+    return G.group_deals(W.feed_deals(s, d)).drop("pages", "brands")
 
 
 def chip_filters(s, d):
@@ -417,7 +427,7 @@ def json_ingest(s, d):
 
 def meal_deal_merge(s, d):
     """Items of every circular after tiles that repeat a meal deal are folded into it."""
-    i = G.absorb_meal_deals(G.group_items(_feed(s, d)))
+    i = G.absorb_meal_deals(G.group_items(W.feed_deals(s, d)))
     return i.groupBy("flyer_id", "group_key").agg(F.count("*").alias("n"))
 
 
@@ -462,7 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [
         star_history, history_trusted_ilike, flyer_deals_front, search_products_top50, latest_flyer, sync_needed, history_min_max,
         price_badges, promo_episodes, episodes_fold, decayed_average, cross_banner_past, category_benchmark, flyer_category_min,
-        deal_evaluation, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
+        deal_evaluation, historical_badges, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
         representatives, modal_units, ad_groups, chip_filters, featured_score, unique_products, ratings_counts, stats_banner,
         department_facets, token_search, digest_sections, deal_ranking, history_callout, viewer_flags, badge_labels, compact_tags,
         history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations,
