@@ -98,7 +98,7 @@ def test_episode_rules(spark):
     assert got[3] == "CYCLE_REFRESH" and got[last] == "MATCHES_ATL"
 
 
-def _reference_past(rows, day):
+def _direct_past(rows, day):
     """Plain restatement of the past of one key, for comparison."""
     past = sorted((r for r in rows if r["day"] < day), key=lambda r: (r["day"], r["seq"]))
     if not past:
@@ -135,7 +135,7 @@ def test_prefix_statistics_equal_direct_computation(spark):
                                "key int, day date, end_day date, seq bigint, price double, trusted boolean, outlier boolean")
     got = {(r.key, r.day): r for r in past_stats(df, df.select("key", "day"), ["key"]).collect()}
     for key, day in {(r["key"], r["day"]) for r in rows}:
-        want = _reference_past([r for r in rows if r["key"] == key], day)
+        want = _direct_past([r for r in rows if r["key"] == key], day)
         if want is None:
             assert (key, day) not in got
             continue
