@@ -567,7 +567,6 @@ TITLE_KEYWORDS = [
     "Candy", "Dip", "Pasta", "Rice", "Ice Cream", "Coffee", "Cheese", "Spices", "Yogurt", "Snacks", "Sauce",
     "Chicken", "Beef", "Pork", "Fish", "Seafood", "Bacon",
 ]
-WEB_TITLE_KEYWORDS = ["Salad Blends or Kits", "Salad Kits", "Salad Blends", "Salad Kit", "Salad"] + TITLE_KEYWORDS
 TITLE_PACKS = ["12 pk", "6 pk", "8 pk", "15 ct", "Family Size", "Party Size", "1 Liter", "2 Liter"]
 TITLE_SMALL_WORDS = ["or", "and", "in", "of", "with", "a", "an", "the"]
 TITLE_SEAFOOD = (
@@ -575,10 +574,6 @@ TITLE_SEAFOOD = (
 )
 TITLE_FILLET = r"\b(?:fillet|filet)s?\b"
 TITLE_NOT_SEAFOOD = r"pork|beef|chicken|turkey|steak|chop|loin|chip|pretzel|snack"
-WEB_NOT_FILLET = r"\b(?:pork|beef|chicken|turkey|steak|chop|loin|chips?|pretzels?|snacks?)\b"
-WEB_NOT_SEAFOOD = r"\b(?:chips?|pretzels?|snacks?|crackers?|cookies?|candy)\b"
-WEB_CHIP_WORDS = r"potato chips|tortilla chips|pretzels"
-WEB_CHIP_BRANDS = ["Cape Cod", "Snyder's of Hanover", "Late July", "Utz", "Herr's"]
 TITLE_MEAL_DEAL = "Weekly Meal Deal"
 TITLE_HOLIDAY = "Giant Holiday Free Turkey (up to 20 lbs) or Stouffer's / Tofurky Roast"
 TITLE_BAKING = "Duncan Hines & PAM • Cake Mixes, Frosting & Baking Spray"
@@ -586,7 +581,6 @@ TITLE_VITAMINS = "Nature's Promise & CareOne • Vitamins & Supplements"
 TITLE_FLORAL = "Floral • Carnations & Mums (Colors May Vary)"
 TITLE_SNACK_BREAD = "Martin's Snacks & Nature's Own • Chips, Popcorn & Bread"
 TITLE_FISH = "Fresh & Frozen Seafood Fillets"
-TITLE_CHIPS = "Potato Chips, Pretzels & Tortilla Chips"
 
 # ---- Fixed values: queries that switch the alcohol filter off
 ALCOHOL_QUERY_WORDS = [
