@@ -41,6 +41,8 @@ class Counts:
         self.frequent, self.cache = frequent, {}
 
     def encode(self, unit: str) -> int:
+        if unit == MARK:
+            return 1
         if unit[0] == MARK:
             return len(self.pieces.encode(unit[1:], num_threads=1))
         return len(self.pieces.encode("\n" + unit, num_threads=1)) - 2  # the mark put before any text, and the line feed
