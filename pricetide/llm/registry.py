@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import mixing, tokens
+from pricetide.llm import mixing, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pareto_mix": mixing.op2_pareto_mix,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_warc_archives": warc.op5_warc_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": mixing.OP2_SQL}
+    return {"op2_pareto_mix": mixing.OP2_SQL, "op5_warc_archives": warc.OP5_SQL}

@@ -70,7 +70,7 @@ class Counts:
 def frequent_lengths(docs: DataFrame, model: str = MODEL, entries: int = ENTRIES, sample: int = SAMPLE) -> dict[str, int]:
     """The most frequent pre-tokens of a bounded sample with their token counts; it decides speed alone, never a result."""
     rows = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(rows, 1)))).select("text")
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 48)) < int((1 << 48) * min(1.0, sample / max(rows, 1)))).select("text")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
