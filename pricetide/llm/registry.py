@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import mixing, tokens, toxicity, warc
+from pricetide.llm import mixing, quality, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pareto_mix": mixing.op2_pareto_mix,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_warc_archives": warc.op5_warc_archives,
+        "op7_pu_quality": quality.op7_pu_quality,
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
     }
 

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import fold, table
+from pricetide.llm.common import fold, labelled, sampled, table
 
 #: Words of a window, words from one window to the next.
 WINDOW, STRIDE = 24, 23
@@ -145,23 +145,6 @@ def fit(rows: list[tuple[int | None, str | None, int]]) -> Model:
     return Model(plain, both, rising_shares([distances.largest(t) for _, t, _ in rest], [x for *_, x in rest]))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, train: Column, of: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of about of[label] training documents for each label; labels has doc_id and label, one row each."""
-    mine = labels.where(train)
-    counts = {row.label: row["count"] for row in mine.groupBy("label").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40))
-    few = None
-    for label, wanted in of.items():
-        part = mine.where((F.col("label") == label) & (place < int((1 << 40) * min(1.0, wanted / max(1, counts.get(label, 0)))))).limit(2 * wanted)
-        few = part if few is None else few.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most twice the sample's rows
-
-
-def labelled(labels: DataFrame, column: str) -> DataFrame:
-    """One row of doc_id and label (0 or 1) for each labelled id."""
-    return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, largest distance and score of each row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.shares))
