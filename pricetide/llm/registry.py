@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import mixing, quality, tokens, toxicity, warc
+from pricetide.llm import language, mixing, quality, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_archives": warc.op5_warc_archives,
         "op7_pu_quality": quality.op7_pu_quality,
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
+        "op10_rank_order_language": language.op10_rank_order_language,
     }
 
 
