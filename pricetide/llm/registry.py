@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import language, mixing, quality, tokens, toxicity, warc
+from pricetide.llm import language, mixing, perplexity, quality, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_perplexity_rules": perplexity.op1_perplexity_rules,
         "op2_pareto_mix": mixing.op2_pareto_mix,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_warc_archives": warc.op5_warc_archives,
