@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import language, mixing, perplexity, quality, tokens, toxicity, warc
+from pricetide.llm import decontaminate, language, mixing, perplexity, quality, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pareto_mix": mixing.op2_pareto_mix,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_warc_archives": warc.op5_warc_archives,
+        "op6_bm25_decontamination": decontaminate.op6_bm25_decontamination,
         "op7_pu_quality": quality.op7_pu_quality,
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
         "op10_rank_order_language": language.op10_rank_order_language,
