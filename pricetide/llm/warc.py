@@ -1,14 +1,15 @@
 """Deterministic sharded WARC archives of web pages, and their reader.
 
-Pages become gzip members in map tasks. Shards are ranges of page_id: sizes summed over at most CELLS equal ranges give boundaries that
-depend on the data alone, so the same pages give the same files, byte for byte. A shard is sorted by page_id and digest and rolls to its
-next file when one has ROLL_BYTES. Files are written by Spark's text writer, whose tasks commit under temporary names: every member ends
+Shards are ranges of page_id: sizes summed over at most CELLS equal ranges (a table of fixed size, sent to all tasks) give boundaries that
+depend on the data alone, so the same pages give the same files, byte for byte. Pages become gzip members in map tasks and are shuffled
+once, to their shard. A shard is sorted by page_id and digest and rolls to its next file when one has ROLL_BYTES; short marks sorted before
+their page tell which pages are revisits. Files are written by Spark's text writer, whose tasks commit under temporary names: every member ends
 in a zero byte (an empty member follows one that doesn't), which is the writer's line end. The driver then moves files to their names and
 writes the manifest last; readers take only what a manifest lists, so an interrupted write is never seen.
 
 Of pages with equal payloads of LEAST_BYTES or more, that with the smallest page_id is a response and the others revisit it. Join keys are
 digests, whose smallest page ids are combined before the shuffle; a payload that a third of the pages share is a skewed key of a plain
-left join, which adaptive execution splits.
+join of ids and digests, which adaptive execution splits.
 
 Defined results: a null html is an empty payload; a null page_id sorts first, comes back as null, and is never referred to; pages with the
 smallest id of their payload are all responses when that id repeats; a null url gets a urn; no pages give no files and no rows.
@@ -21,14 +22,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import checkpoint_folder, cut, table
 
 ROLL_BYTES = 32 << 20
+#: Payload bytes of a shard.
+SHARD_BYTES = 96 << 20
 LEAST_BYTES = 100
 #: Equal ranges of page_id over which sizes are summed to place shard boundaries.
 CELLS = 1 << 16
@@ -66,25 +69,63 @@ def page_fields(page_id: int | None, url: str | None, digest: str, size: int) ->
     }
 
 
-def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, digest, payload) with the page's response record as packed."""
-    for batch in batches:
-        ids, urls, digests, payloads = (x.to_pylist() for x in batch.columns)
-        packed = [member(record("response", page_fields(i, u, d, len(p)), HTTP + p)) for i, u, d, p in zip(ids, urls, digests, payloads, strict=True)]
-        sizes = pa.array(map(len, payloads), pa.int64())
-        lengths = pa.array(map(len, packed), pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, lengths, pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "size", "length", "packed"])
+class Shards:
+    """Shards of page ids, from sizes summed over equal ranges of ids; a null id is before all others."""
+
+    def __init__(self, sizes: DataFrame, shard_bytes: int, cells: int = CELLS):
+        low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+        self.low, self.step = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // cells))
+        cell = F.coalesce(F.floor((F.col("page_id") - self.low) / self.step) + 1, F.lit(0)).cast("int")
+        sums = np.zeros(cells + 2, np.int64)
+        for row in sizes.groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes")).collect():  # at most cells + 1 rows
+            sums[row.cell] = row.bytes
+        self.shard = (np.cumsum(sums) - sums) // shard_bytes
+
+    def of(self, page_id: int | None) -> int:
+        return int(self.shard[0 if page_id is None else (page_id - self.low) // self.step + 1])
+
+
+PACKED = "shard int, page_id long, url string, digest string, size long, first long, packed binary"
+
+
+def packer(shards: Shards):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(page_id, url, digest, payload) with the page's response record as packed."""
+        for batch in batches:
+            ids, urls, digests, payloads = (x.to_pylist() for x in batch.columns)
+            packed = [member(record("response", page_fields(i, u, d, len(p)), HTTP + p)) for i, u, d, p in zip(ids, urls, digests, payloads, strict=True)]
+            own = pa.array([shards.of(i) for i in ids], pa.int32())
+            sizes = pa.array(map(len, payloads), pa.int64())
+            yield pa.RecordBatch.from_arrays([own, *batch.columns[:3], sizes, pa.nulls(len(ids), pa.int64()), pa.array(packed, pa.binary())], names=["shard", "page_id", "url", "digest", "size", "first", "packed"])
+
+    return pack
+
+
+def marker(shards: Shards):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(page_id, digest, first) as rows like those of packer, without a record."""
+        for batch in batches:
+            n = batch.num_rows
+            own = pa.array([shards.of(i) for i in batch.column(0).to_pylist()], pa.int32())
+            columns = [own, batch.column(0), pa.nulls(n, pa.string()), batch.column(1), pa.nulls(n, pa.int64()), batch.column(2), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "page_id", "url", "digest", "size", "first", "packed"])
+
+    return mark
 
 
 def filer(roll: int):
     """Gives rows of sorted shards their files; a file begins with a warcinfo record."""
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, used, seq = None, 0, 0, 0
+        shard, number, used, seq, marked, refers = None, 0, 0, 0, None, None
         for batch in batches:
             files, seqs, members = [], [], []
             for of, page_id, url, digest, size, first, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if first is not None:
+                if packed is None:
+                    marked, refers = (page_id, digest), first
+                    continue
+                if marked == (page_id, digest):
+                    first = refers
                     fields = page_fields(page_id, url, digest, size) | {"WARC-Refers-To": record_id(first, digest), "WARC-Profile": PROFILE, "X-Refers-To-Page-Id": first}
                     packed = member(record("revisit", fields, HTTP))
                 if of != shard:
@@ -105,29 +146,17 @@ def filer(roll: int):
     return filed
 
 
-def with_shards(rows: DataFrame, roll: int, cells: int = CELLS) -> DataFrame:
-    """Adds shard to (page_id, length, ...): consecutive ranges of page_id of about roll compressed bytes."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    cell = F.coalesce(F.floor((F.col("page_id") - (low or 0)) / step), F.lit(-1)).cast("long")
-    sums = rows.groupBy(cell.alias("cell")).agg(F.sum("length").alias("bytes"))
-    before = F.sum("bytes").over(W.orderBy("cell")) - F.col("bytes")
-    shards = sums.select(F.col("cell").alias("of"), F.floor(before / roll).cast("int").alias("shard"))
-    return rows.withColumn("cell", cell).join(shards, F.col("cell") == F.col("of")).drop("cell", "of")
-
-
-def write_archives(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> str:
+def write_archives(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
     """Writes (page_id, url, html) as archives below folder and returns the manifest's path."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), payload.cast("binary").alias("payload"))
-    packed = rows.mapInArrow(compressed, "page_id long, url string, digest string, size long, length long, packed binary")
-    packed = cut(packed)
-    firsts = packed.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
-    revisits = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    marked = with_shards(packed, roll).join(firsts.select("digest", "least"), "digest", "left")
-    marked = marked.select("shard", "page_id", "url", "digest", "size", F.when(revisits, F.col("least")).alias("first"), F.when(~revisits, F.col("packed")).alias("packed"))
-    ordered = marked.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    narrow = cut(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
+    firsts = narrow.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    marks = narrow.join(firsts.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first")
+    shards = Shards(narrow, shard_bytes)
+    both = rows.mapInArrow(packer(shards), PACKED).unionByName(marks.mapInArrow(marker(shards), PACKED))
+    ordered = both.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", F.col("packed").isNotNull(), "url")
     filed = ordered.mapInArrow(filer(roll), "file string, seq long, member binary").sortWithinPartitions("file", "seq")
     staged, final = f"{folder}/staged", f"{folder}/archives"
     filed.select("file", F.col("member").cast("string").alias("member")).write.option("lineSep", "\0").partitionBy("file").text(staged)
