@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import decontaminate, language, mixing, perplexity, quality, tokens, toxicity, warc
+from pricetide.llm import decontaminate, language, mixing, perplexity, quality, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_perplexity_rules": perplexity.op1_perplexity_rules,
         "op2_pareto_mix": mixing.op2_pareto_mix,
+        "op3_super_kmer_dedup": substrings.op3_super_kmer_dedup,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_warc_archives": warc.op5_warc_archives,
         "op6_bm25_decontamination": decontaminate.op6_bm25_decontamination,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": mixing.OP2_SQL, "op5_warc_archives": warc.OP5_SQL}
+    return {"op2_pareto_mix": mixing.OP2_SQL, "op3_super_kmer_dedup": substrings.OP3_SQL, "op5_warc_archives": warc.OP5_SQL}
