@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import decontaminate, language, mixing, perplexity, quality, substrings, tokens, toxicity, warc
+from pricetide.llm import decontaminate, jaccard, language, mixing, perplexity, quality, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bm25_decontamination": decontaminate.op6_bm25_decontamination,
         "op7_pu_quality": quality.op7_pu_quality,
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
+        "op9_adaptive_jaccard": jaccard.op9_adaptive_jaccard,
         "op10_rank_order_language": language.op10_rank_order_language,
     }
 
