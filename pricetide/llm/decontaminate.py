@@ -189,16 +189,37 @@ class Index:
         return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
-def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and item whose question and answer stand in one of its passages; docs (doc_id, text), items (item_id, text)."""
-    spark = docs.sparkSession
+def item_parts(items: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Items with text, in parts of about part_bytes."""
     rows = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // part_bytes)
-    found = [spark.createDataFrame([], FOUND)] if not parts else []
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
+        yield [(r.item_id, r.text) for r in own.collect()]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of docs in which no test item stands, with all their columns."""
+    place = docs.columns.index("text")
+    for part in item_parts(items, part_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, verify = Index(shared.value), {}
+            for batch in batches:
+                yield batch.filter(pa.array([not (index.items and index.matches(t, verify, least, overlap)) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
+
+
+def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES, least: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """One row per document and item whose question and answer stand in one of its passages; docs (doc_id, text), items (item_id, text)."""
+    spark = docs.sparkSession
+    found = []
+    for part in item_parts(items, part_bytes):
+        shared = spark.sparkContext.broadcast(part)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, verify = Index(shared.value), {}
@@ -208,7 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES, least
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 
         found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, FOUND))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
 
 
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

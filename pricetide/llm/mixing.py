@@ -100,6 +100,14 @@ def mix(docs: DataFrame) -> DataFrame:
     return pareto_take(sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with their columns, size, source_size, target and taken words; rows with one id share the most."""
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
+    taken = taken.agg(F.max_by(F.struct("size", "source_size", "target", "taken"), "taken").alias("__mix"))
+    clear = docs.drop("size", "source_size", "target", "taken")
+    return clear.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*clear.columns, "__mix.*")
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 

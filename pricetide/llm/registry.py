@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pricetide.llm import decontaminate, jaccard, language, mixing, perplexity, quality, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_perplexity_rules": perplexity.op1_perplexity_rules,
         "op2_pareto_mix": mixing.op2_pareto_mix,
         "op3_super_kmer_dedup": substrings.op3_super_kmer_dedup,

@@ -256,37 +256,64 @@ def repeated_spans(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def kept_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shortened(text: str | None, spans: list | None) -> tuple[str | None, int, int, str]:
+    """Text without the words of spans, numbers of words and of removed words, and digest of the kept words."""
+    words = WORDS.findall(text or "")
+    if not spans:
+        return text, len(words), 0, hashlib.sha256(" ".join(words).encode()).hexdigest()
+    drop = np.zeros(len(words) + 1, np.int64)
+    for s in spans:
+        drop[s["first"]] += 1
+        drop[s["last"] + 1] -= 1
+    gone = (np.cumsum(drop)[:-1] > 0).tolist()
+    at, parts = 0, []
+    for found, g in zip(WORDS.finditer(text), gone, strict=True):
+        parts.append("" if g else text[at : found.end()])
+        at = found.end()
+    digest = hashlib.sha256(" ".join(w for w, g in zip(words, gone, strict=True) if not g).encode()).hexdigest()
+    return ("".join(parts) + text[at:]).strip(), len(words), sum(gone), digest
+
+
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) with counts, the kept words' digest and the text without the removed words."""
     for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = WORDS.findall(text or "")
-            if not spans:
-                rows.append((len(words), 0, hashlib.sha256(" ".join(words).encode()).hexdigest(), text))
-                continue
-            drop = np.zeros(len(words) + 1, np.int64)
-            for s in spans:
-                drop[s["first"]] += 1
-                drop[s["last"] + 1] -= 1
-            gone = np.cumsum(drop)[:-1] > 0
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            at, parts = 0, []
-            for found, g in zip(WORDS.finditer(text), gone.tolist(), strict=True):
-                parts.append("" if g else text[at : found.end()])
-                at = found.end()
-            rows.append((len(words), int(gone.sum()), hashlib.sha256(" ".join(kept).encode()).hexdigest(), ("".join(parts) + text[at:]).strip()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        rows = [shortened(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()), (0, pa.string()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+def with_spans(docs: DataFrame, k: int, heavy: int, bucket_bytes: int) -> DataFrame:
+    """docs and __spans, the spans of words that go."""
+    own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    spans = repeated_spans(own.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), "text"), k, heavy, bucket_bytes)
+    spans = spans.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    return own.join(spans, ["__doc", "__key"], "left").select(*docs.columns, "__spans")
+
+
+def without_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """docs with texts cut (and n_chars counted again where a text changed); rows that lose their last word go."""
+    place, schema = docs.columns.index("text"), docs.schema
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shortened(*x) for x in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
+            columns[place] = pa.array([r[0] for r in rows], columns[place].type)
+            if chars is not None:
+                sizes = [len(r[0]) if r[2] else n for r, n in zip(rows, columns[chars].to_pylist(), strict=True)]
+                columns[chars] = pa.array(sizes, columns[chars].type)
+            whole = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield whole.filter(pa.array([r[2] == 0 or r[2] < r[1] for r in rows], pa.bool_()))
+
+    return with_spans(docs, k, heavy, bucket_bytes).mapInArrow(edited, schema)
+
+
 def remove_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of each row of (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    spans = repeated_spans(own, k, heavy, bucket_bytes)
-    return own.join(spans, ["doc", "key"], "left").select("doc_id", "text", "spans").mapInArrow(kept_parts, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    counted = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return with_spans(own, k, heavy, bucket_bytes).mapInArrow(counted_words, counted)
 
 
 def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

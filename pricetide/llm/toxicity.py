@@ -159,6 +159,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, distance long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, least: float = PREDICT) -> DataFrame:
+    """The rows of docs whose text scores below least, with all their columns."""
+    shared, place = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.shares)), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary, toxic, shares = shared.value
+        distances = Distances(ordinary, toxic)
+        for batch in batches:
+            yield batch.filter(pa.array([shares[min(distances.largest(x), LARGEST)] < least for x in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the training folds."""
     rows = sampled(docs, labelled(labels, "toxic"), fold(F.col("doc_id"), 3) != 1, {1: TOXIC, 0: ORDINARY})
