@@ -190,23 +190,13 @@ def truthy(x: Column) -> Column:
     return F.when(x != 0, x)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a source with fewer input splits than cores one partition per core.
-
-    Text operators are bound by CPU: a small file read as one split would run them in one task.  Sources with
-    enough splits, as on a cluster, pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Reliable checkpoint folder: the session's own setting, else one for a local test run."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -216,5 +206,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an intermediate result in the shared checkpoint folder."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()

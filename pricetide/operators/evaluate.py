@@ -139,14 +139,14 @@ LOOKUP = ["product_id", "banner", "parent", "any_banner", "cat", "unit_type", "d
 def with_past(deals: DataFrame, hist: DataFrame, asked: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
     """Adds ``past``: the statistics of the first history scope that knows the deal, else null.
 
-    Each scope's answer (one narrow row per key and day) is written out before the next scope asks for what
+    A deal without a merchant asks the whole history at once. Each scope's answer (one narrow row per key and day) is written out before the next scope asks for what
     is still open; otherwise every scope would carry, and re-run, the plans of all earlier ones.
     """
     own_keys, all_keys, ad_keys = ["product_id", "banner"], ["product_id"], ["parent", "banner"]
     line = ["day", "end_day", "seq", "price", "trusted", "outlier"]
     first = asked.select("product_id", "banner", "parent", "any_banner", "day").distinct()
     rows_1 = hist.select(*own_keys, *line).join(first.select("product_id").distinct(), "product_id", "left_semi")
-    own = cut_lineage(past_stats(rows_1, first, own_keys, max_gap_days))
+    own = cut_lineage(past_stats(rows_1, first.filter("banner <> ''"), own_keys, max_gap_days))
     open_1 = cut_lineage(first.join(own.select(*own_keys, "day"), [*own_keys, "day"], "left_anti"))
 
     ask_2 = open_1.filter("any_banner").select("product_id", "day").distinct()
@@ -239,22 +239,19 @@ def evaluate(c: Catalog, flyer_ids: list[int] | DataFrame | None = None, front_p
         obs = obs.filter(F.col("flyer_id").isin(list(flyer_ids)))
     if front_page_only:
         obs = obs.filter(F.col("is_front_page"))
-    return evaluate_deals(star(Catalog(obs, c.products, c.flyers)), s, max_gap_days, bulk=flyer_ids is None)
+    return evaluate_deals(star(Catalog(obs, c.products, c.flyers)), s, max_gap_days)
 
 
-def evaluate_deals(deals: DataFrame, history: DataFrame, max_gap_days: int = MAX_GAP_DAYS,
-                   bulk: bool = True) -> DataFrame:
+def evaluate_deals(deals: DataFrame, history: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
     """Evaluate a table of star rows against a (larger) table of star rows.
 
-    In bulk the slim history is written once to the checkpoint folder, because every scope reads it; for a
-    few circulars each scope instead narrows the source by a semi join and nothing is copied.
+    The slim history is written once to the checkpoint folder, because every scope reads it.
     """
     t = with_lookup_keys(deals.withColumns({
         "day": F.coalesce(day_of(F.col("valid_from")), F.lit(FAR_DAY).cast("date")),
         "deal_unit_price": unit_price_of(),
     }))
-    hist = slim_history(history)
-    hist = cut_lineage(hist) if bulk else hist
+    hist = cut_lineage(slim_history(history))
     asked = cut_lineage(t.select(*LOOKUP).distinct())
     points = dynamic_point_value(deals)
     t = with_category_benchmark(t, hist, asked)

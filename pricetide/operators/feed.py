@@ -242,7 +242,7 @@ def viewer_search(items: DataFrame, groups: DataFrame, titles: DataFrame, query:
 def unique_products(feed: DataFrame) -> DataFrame:
     """One row per product key: attributes of its first deal, price of its cheapest."""
     c = F.col
-    pos = F.struct(F.coalesce(c("page_number"), F.lit(0)), c("deal_id"))
+    pos = F.struct(*deal_order())
     return feed.groupBy("product_key").agg(
         F.min_by(F.struct("product_id", F.col("canonical_name").alias("name"), text(c("brand")).alias("brand"),
                           F.coalesce(blank(c("category")), F.lit("Other")).alias("category"), "department", "unit_type",

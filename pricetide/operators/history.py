@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions.core import blank, day10, day_of, like_ci, truthy, unit_cost, one_of
+from pricetide.functions.core import blank, day10, like_ci, truthy, unit_cost, one_of
 from pricetide.functions.text import history_group
 from pricetide import vocab as V
 
@@ -102,7 +102,7 @@ def ad_title_history(s: DataFrame, title: str, not_flyer: int | None = None, bef
     return rows.orderBy("valid_from", "deal_id")
 
 
-def search_products(c: Catalog, query: str, merchant: str | None = None, limit: int = 50) -> DataFrame:
+def search_products(c: Catalog, query: str, merchant: str | None = None, limit: int | None = 50) -> DataFrame:
     """Products whose name or brand contains the query, optionally only those a merchant advertised."""
     p = c.products.filter(like_ci(F.col("canonical_name"), query) | F.coalesce(
         like_ci(F.col("brand"), query), F.lit(False)))
@@ -110,13 +110,13 @@ def search_products(c: Catalog, query: str, merchant: str | None = None, limit:
         f = c.flyers.filter(like_ci(F.col("merchant"), merchant)).select("flyer_id")
         seen = c.observations.join(f, "flyer_id", "left_semi").select("product_id")
         p = p.join(seen, "product_id", "left_semi")
-    return p.select("product_id", "canonical_name", "brand", "unit_size", "unit_type").orderBy(
-        "canonical_name", "product_id").limit(limit)
+    found = p.select("product_id", "canonical_name", "brand", "unit_size", "unit_type")
+    return found if limit is None else found.orderBy("canonical_name", "product_id").limit(limit)
 
 
 def flat_history(c: Catalog, query: str, merchant: str | None = None, trusted_only: bool = False) -> DataFrame:
     """Per-product history lines of the products found by a search."""
-    found = search_products(c, query, merchant).select("product_id")
+    found = search_products(c, query, merchant, limit=None).select("product_id")
     return product_history(star(c), found, trusted_only, merchant)
 
 
@@ -177,7 +177,3 @@ def latest_flyer(c: Catalog, merchant: str | None = None, by_merchant: bool = Fa
     keys = ["merchant"] if by_merchant else []
     return joined.groupBy(*keys).agg(F.max_by("flyer_id", rank).alias("flyer_id"),
                                      F.max_by(F.coalesce("deal_count", F.lit(0)), rank).alias("deal_count"))
-
-
-def day_column(s: DataFrame) -> DataFrame:
-    return s.withColumn("day", day_of(F.col("valid_from")))

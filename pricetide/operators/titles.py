@@ -125,7 +125,7 @@ def split_clause(tokens: Column) -> Column:
         first, second = F.get(p, F.lit(0)), F.get(p, F.lit(1))
         share = (F.size(first) > 1) & (F.size(second) == 1)
         prefix = F.when(share, _text_of(F.slice(first, 1, F.size(first) - 1))).otherwise("")
-        rest = F.when(share, F.concat(F.array(F.slice(first, F.size(first), 1)), F.slice(p, 2, 1000))).otherwise(p)
+        rest = F.when(share, F.concat(F.array(F.slice(first, F.size(first), 1)), F.slice(p, 2, F.greatest(F.size(p), F.lit(0))))).otherwise(p)
         return F.when((F.size(p) >= 2) & F.forall(rest, lambda x: _any(x, "H")), F.transform(
             rest, lambda x: _say(prefix, _text_of(x), tail_units)))
 
@@ -174,7 +174,7 @@ def _share_head(parts: Column) -> Column:
     """Give the last part's head noun (and what follows it) to earlier parts that have none."""
     last = _words(F.try_element_at(parts, F.lit(-1)))
     at = F.array_position(F.transform(last, is_head_word), F.lit(True))
-    suffix = F.array_join(F.slice(last, F.greatest(at, F.lit(1)).cast("int"), 1000), " ")
+    suffix = F.array_join(F.slice(last, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(last), F.lit(0))), " ")
     return F.when(at == 0, parts).otherwise(F.transform(parts, lambda p, i: F.when(
         (i < F.size(parts) - 1) & ~F.exists(_words(p), is_head_word), F.concat_ws(" ", p, suffix)).otherwise(p)))
 
@@ -308,7 +308,7 @@ _VARIETY = rf"(?:{V.PLAIN_WORD}(?:\s+{V.PLAIN_WORD})?)"
 
 
 def _drop_lead(x: Column, lead: Column) -> Column:
-    return F.trim(F.substring(x, F.length(lead) + 1, F.lit(10000)))
+    return F.trim(F.substring(x, F.length(lead) + 1, F.length(x)))
 
 
 def _brand_split(pre: Column, a: Column, b: Column) -> Column:
@@ -350,7 +350,7 @@ def _shared_pair(title: Column) -> Column:
         extra = F.size(wa) - F.size(wb)
         return F.when((s["lead"] == "") & (extra > 0), F.struct(
             F.array_join(F.slice(wa, 1, F.greatest(extra, F.lit(0))), " ").alias("lead"),
-            F.array_join(F.slice(wa, F.greatest(extra, F.lit(0)) + 1, 1000), " ").alias("a"), s["tail"].alias("tail"))).otherwise(s)
+            F.array_join(F.slice(wa, F.greatest(extra, F.lit(0)) + 1, F.greatest(F.size(wa), F.lit(0))), " ").alias("a"), s["tail"].alias("tail"))).otherwise(s)
 
     def rewrite(m: Column) -> Column:
         pre, a, b, noun, size = (F.trim(text(cap(m, p, i))) for i in range(1, 6))

@@ -92,23 +92,22 @@ def delete_flyers(c: Catalog, flyer_ids: DataFrame) -> Catalog:
 def superseded_flyers(flyers: DataFrame, live: DataFrame) -> DataFrame:
     """Untrusted circulars of a merchant that overlap a live circular of it (days inclusive).
 
-    Rows meet per week they touch, so the interval test is an equi-join on (week) plus a residual.
+    Days are compared as text, so a missing one is an empty text, before every other.  A live merchant may be a
+    part of an old one's name: old names meet live ones through their substrings, an equi-join of short name lists.
     """
-    def weeks(prefix: str) -> Column:
-        lo, hi = F.try_to_date(f"{prefix}_from"), F.try_to_date(f"{prefix}_to")
-        return F.explode(F.sequence(F.date_trunc("week", lo).cast("date"), F.greatest(
-            F.date_trunc("week", hi), F.date_trunc("week", lo)).cast("date"), F.expr("interval 7 days")))
-
-    old = flyers.filter(~F.col("is_trusted")).select(
-        "flyer_id", F.lower("merchant").alias("m"), day10(F.col("valid_from")).alias("o_from"),
-        day10(F.col("valid_to")).alias("o_to")).withColumn("week", weeks("o"))
-    new = live.select(F.col("flyer_id").alias("live_id"), F.lower("merchant").alias("live_m"),
-                      day10(F.col("valid_from")).alias("l_from"), day10(F.col("valid_to")).alias("l_to")).withColumn(
-        "week", weeks("l"))
+    def span(prefix: str) -> list[Column]:
+        return [F.coalesce(day10(F.col(f"valid_{end}")), F.lit("")).alias(f"{prefix}_{end}") for end in ("from", "to")]
+
+    old = flyers.filter(~F.col("is_trusted")).select("flyer_id", F.lower("merchant").alias("m"), *span("o"))
+    new = live.select(F.col("flyer_id").alias("live_id"), F.lower("merchant").alias("live_m"), *span("l"))
+    size = F.length("m")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("m"), i, n))))
+    names = old.select("m").distinct().withColumn("live_m", F.explode(F.array_distinct(F.when(size > 0, parts).otherwise(F.array(F.lit(""))))))
+    names = names.join(new.select("live_m").distinct(), "live_m", "left_semi")
     return (
-        old.join(new, "week")
-        .filter(F.contains("m", "live_m") & (F.col("flyer_id") != F.col("live_id"))
-                & (F.col("o_to") >= F.col("l_from")) & (F.col("o_from") <= F.col("l_to")))
+        old.join(names, "m").join(new, "live_m")
+        .filter((F.col("flyer_id") != F.col("live_id")) & (F.col("o_to") >= F.col("l_from")) & (F.col("o_from") <= F.col("l_to")))
         .select("flyer_id").distinct()
     )
 
@@ -213,16 +212,25 @@ COUPON_VALUES = ["title", "description", "coupon_type", "discount_amount", "min_
 
 
 def upsert_coupons(coupons: DataFrame, new: DataFrame, order: Column) -> DataFrame:
-    """Merge by coupon key; rows without a key never conflict and are always inserted."""
+    """Merge by coupon key: listed values of known keys are overwritten, their other columns (id, account) stay.
+
+    Rows without a key never conflict and are always inserted; new rows get an id from their key and place.
+    """
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     rows = new.withColumns({
         "title": F.coalesce("title", F.lit("")), "coupon_type": F.coalesce("coupon_type", F.lit("STORE_COUPON")),
         "discount_amount": F.coalesce("discount_amount", F.lit(0.0)), "min_spend": F.coalesce("min_spend", F.lit(0.0)),
         "is_clipped": F.coalesce("is_clipped", F.lit(False)), "scraped_at": stamp, "__ord": order})
     keyed = last_per_key(rows.filter(F.col("coupon_key").isNotNull()), ["coupon_key"], F.col("__ord"))
-    kept = coupons.join(keyed.select("coupon_key"), "coupon_key", "left_anti")
-    return kept.unionByName(keyed.drop("__ord"), allowMissingColumns=True).unionByName(
-        rows.filter(F.col("coupon_key").isNull()).drop("__ord"), allowMissingColumns=True).select(*coupons.columns)
+    values = [*COUPON_VALUES, "scraped_at"]
+    fresh = keyed.select(F.col("coupon_key").alias("__key"), F.struct(*values).alias("__new"))
+    kept = coupons.join(fresh, F.col("coupon_key") == F.col("__key"), "left").select(*(
+        (F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) if c in values else F.col(c)).alias(c)
+        for c in coupons.columns))
+    inserts = keyed.join(coupons.select("coupon_key"), "coupon_key", "left_anti").unionByName(
+        rows.filter(F.col("coupon_key").isNull()))
+    inserts = inserts.withColumn("coupon_id", F.xxhash64("coupon_key", "title", "__ord").cast(coupons.schema["coupon_id"].dataType))
+    return kept.unionByName(inserts.drop("__ord"), allowMissingColumns=True).select(*coupons.columns)
 
 
 def clip_coupon(coupons: DataFrame, coupon_key: str) -> DataFrame:

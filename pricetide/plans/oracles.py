@@ -76,10 +76,10 @@ numbered AS (SELECT *, sum(fresh) OVER {w} AS ep FROM marked)
 """
 
 
-def _past(keys: str) -> str:
+def _past(keys: str, hist: str = EPISODES, asked: str = "obs") -> str:
     """Past of every (key, day) by a plain self join of all rows with all earlier rows of the key."""
-    return EPISODES + "," + _islands(keys) + f""",
-asked AS (SELECT DISTINCT {keys}, week AS qd FROM obs),
+    return hist + "," + _islands(keys) + f""",
+asked AS (SELECT DISTINCT {keys}, week AS qd FROM {asked}),
 before AS (SELECT n.*, qd FROM numbered n JOIN asked USING ({keys}) WHERE day < qd),
 ep AS (SELECT {keys}, qd, ep, arg_min(price, (day, seq)) AS price, arg_max(week_end, (day, seq)) AS e_end,
               bool_or(trusted) AS trusted, bool_or(outlier) AS outlier FROM before GROUP BY ALL),
@@ -104,6 +104,60 @@ def exact_round(x: str, digits: int) -> str:
             f"ELSE floor(({x} * {c} + 1) / 2) / {unit} END")
 
 
+AD_HIST = """
+hist AS (SELECT ad_title AS parent, merchant, week AS day, week_end, deal_id AS seq, advertised_price AS price, is_trusted AS trusted,
+                promo_type = 'doorbuster' AS outlier FROM obs WHERE advertised_price IS NOT NULL AND ad_title IS NOT NULL
+  UNION ALL SELECT canonical_name, merchant, week, week_end, deal_id, advertised_price, is_trusted, promo_type = 'doorbuster' FROM star
+         WHERE advertised_price IS NOT NULL AND ad_title IS DISTINCT FROM canonical_name AND canonical_name IN (SELECT p_name FROM part))
+"""
+
+#: Evaluation of every deal: scopes of the past, category benchmark, lanes, badges and prices in cents.
+EVALUATED = f"""
+own AS (WITH {_past("product_id, merchant")} SELECT * FROM past),
+wide AS (WITH {_past("product_id")} SELECT * FROM past),
+ad AS (WITH {_past("parent, merchant", AD_HIST, "(SELECT ad_title AS parent, merchant, week FROM obs WHERE ad_title IS NOT NULL)")} SELECT * FROM past),
+worth AS (SELECT flyer_id, {exact_round('v', 4)} AS pv FROM (
+  SELECT flyer_id, round(avg((l_linenumber + 0.5::DOUBLE) / (l_linenumber * 50)), 12) AS v FROM obs WHERE kind = 2 GROUP BY 1)),
+upr AS (SELECT *, advertised_price / unit_size AS u FROM star WHERE advertised_price IS NOT NULL AND unit_type IS NOT NULL),
+cats AS (SELECT DISTINCT lower(category) AS cat FROM prod WHERE category IS NOT NULL),
+filed AS (SELECT lower(category) AS cat, week, u FROM upr WHERE category IS NOT NULL
+  UNION ALL SELECT cat, week, u FROM upr JOIN cats ON category IS NULL AND contains(' ' || lower(canonical_name) || ' ', ' ' || cat || ' ')),
+bench AS (SELECT cat, qd, count(u) AS n, min(u) AS lo, sum(u) AS total FROM (SELECT DISTINCT lower(category) AS cat, week AS qd FROM upr WHERE category IS NOT NULL)
+  JOIN filed USING (cat) WHERE week < qd GROUP BY ALL),
+mine AS (SELECT flyer_id, lower(category) AS cat, min(u) AS lo FROM upr WHERE category IS NOT NULL AND l_orderkey % 3 <> 0 AND u > 0 GROUP BY ALL),
+lanes AS (
+  SELECT s.*, CAST(round(p_retailprice * 100) AS BIGINT) AS list_cents, l_linenumber AS ln, CAST(round(coalesce(pv, 0.0274::DOUBLE) * 10000) AS BIGINT) AS p4, coalesce(pv, 0.0274::DOUBLE) AS pv,
+    CASE WHEN own.n_past IS NOT NULL THEN own WHEN unit_type IS NOT NULL AND wide.n_past IS NOT NULL THEN {{'product_id': 0, 'merchant': '', 'qd': s.week, 'n_past': wide.n_past, 'h_min': wide.h_min,
+      'h_max': wide.h_max, 'last_price': wide.last_price, 'last_end': wide.last_end, 'b_min': wide.b_min, 'b_max': wide.b_max, 'b_avg': wide.b_avg}}
+      WHEN ad.n_past IS NOT NULL THEN {{'product_id': 0, 'merchant': '', 'qd': s.week, 'n_past': ad.n_past, 'h_min': ad.h_min, 'h_max': ad.h_max, 'last_price': ad.last_price, 'last_end': ad.last_end,
+      'b_min': ad.b_min, 'b_max': ad.b_max, 'b_avg': ad.b_avg}} END AS h,
+    CASE WHEN unit_type IS NOT NULL AND category IS NOT NULL AND advertised_price IS NOT NULL THEN advertised_price / unit_size END AS u,
+    least(bench.lo, mine.lo) AS cat_min, round((coalesce(bench.total, 0) + coalesce(mine.lo, 0)) / nullif(coalesce(bench.n, 0) + CASE WHEN mine.lo IS NULL THEN 0 ELSE 1 END, 0), 9) AS cat_avg
+  FROM star s JOIN part ON s.product_id = p_partkey LEFT JOIN worth USING (flyer_id)
+  LEFT JOIN own ON own.product_id = s.product_id AND own.merchant = s.merchant AND own.qd = s.week
+  LEFT JOIN wide ON wide.product_id = s.product_id AND wide.qd = s.week
+  LEFT JOIN ad ON ad.parent = s.ad_title AND ad.merchant = s.merchant AND ad.qd = s.week
+  LEFT JOIN bench ON bench.cat = lower(category) AND bench.qd = s.week LEFT JOIN mine ON mine.flyer_id = s.flyer_id AND mine.cat = lower(category)),
+laned AS (SELECT *, h.n_past AS n_past, advertised_price AS p, CASE WHEN kind = 2 THEN 'redeem' WHEN kind = 3 OR (kind = 6 AND coalesce(advertised_price, 0) <= 0) THEN 'bonus'
+  WHEN promo_type = 'store_coupon' THEN 'coupon' WHEN kind = 4 THEN 'spend' WHEN kind = 5 THEN 'percent' WHEN advertised_price IS NULL THEN 'unpriced'
+  WHEN h IS NULL THEN 'first' ELSE 'history' END AS lane FROM lanes),
+evaluated AS (SELECT *, CASE lane
+    WHEN 'redeem' THEN CASE WHEN (ln + 0.5::DOUBLE) / (ln * 50) >= 0.10 THEN 'POINTS_FREEBIE'
+      WHEN (ln + 0.5::DOUBLE) / (ln * 50) >= pv * 1.3::DOUBLE AND (ln + 0.5::DOUBLE) / (ln * 50) >= 0.03::DOUBLE THEN 'POINTS_DEAL' ELSE 'POINTS_REDEMPTION' END
+    WHEN 'bonus' THEN 'POINTS_REWARD' WHEN 'coupon' THEN 'STORE_COUPON' WHEN 'spend' THEN 'SPEND_SAVE' WHEN 'percent' THEN 'PERCENT_OFF' WHEN 'unpriced' THEN 'SEE_AD'
+    WHEN 'first' THEN CASE WHEN u IS NULL OR cat_min IS NULL THEN 'FIRST_SEEN' WHEN u <= cat_min + 0.005 THEN 'NEW_ALL_TIME_LOW' WHEN u <= cat_avg * 0.85::DOUBLE THEN 'BEAT_AVERAGE'
+      WHEN u <= cat_avg * 1.15::DOUBLE THEN 'STANDARD_DEAL' ELSE 'FIRST_SEEN' END
+    ELSE CASE WHEN abs(p - h.last_price) < 0.005 AND date_diff('day', h.last_end, week) BETWEEN 0 AND 10 THEN CASE WHEN p <= h.h_min AND h.h_max - h.h_min >= 0.05 THEN 'MATCHES_ATL' ELSE 'CYCLE_REFRESH' END
+        WHEN p < h.h_min - 0.005 THEN 'NEW_ALL_TIME_LOW' WHEN abs(p - h.h_min) <= 0.005 THEN CASE WHEN h.h_max - h.h_min >= 0.05 THEN 'MATCHES_ATL' ELSE 'CYCLE_REFRESH' END
+        WHEN p <= h.b_avg * 0.85::DOUBLE THEN 'BEAT_AVERAGE' WHEN p <= h.b_avg OR abs(p - h.b_min) < 0.05 THEN 'CYCLE_REFRESH'
+        WHEN p > h.b_avg * 1.15::DOUBLE OR p > h.b_max THEN 'PRICE_HIKE' ELSE 'STANDARD_DEAL' END END AS badge,
+  CASE lane WHEN 'redeem' THEN ln * 50 WHEN 'bonus' THEN CASE WHEN kind = 3 THEN (ln + 19) * 100 - 3 * p4 END
+    WHEN 'spend' THEN CASE WHEN p IS NOT NULL THEN greatest(0, CAST(floor(CAST(round(p * 100) AS BIGINT) * (4 * ln - 5) / (4.0 * ln) + 0.5) AS BIGINT)) END
+    WHEN 'percent' THEN CASE WHEN (l_orderkey % 2 = 0 OR last_shelf_price IS NOT NULL) AND (list_cents * (100 - 5 * ln)) % 100 <> 50 THEN (2 * list_cents * (100 - 5 * ln) + 100) // 200 END
+    WHEN 'first' THEN CAST(round(p * 100) AS BIGINT) WHEN 'history' THEN CAST(round(p * 100) AS BIGINT) END AS price_cents FROM laned)
+"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
@@ -181,6 +235,8 @@ def oracle_sql() -> dict[str, str]:
       bool_or(trusted) AS is_trusted, bool_or(outlier) AS is_outlier FROM numbered GROUP BY product_id, ep"""
     sql["promo_episodes"] = episodes
     sql["episodes_fold"] = episodes
+    sql["episodes_hashed_ids"] = _with(t) + """ SELECT product_id, count(*) AS observations, CAST(min(week) AS VARCHAR) AS first_day, min(advertised_price) AS least,
+      max(advertised_price) AS most, bool_or(is_trusted) AS is_trusted FROM star WHERE advertised_price IS NOT NULL GROUP BY product_id"""
     past_cols = """CAST(qd AS VARCHAR) AS day, n_past, h_min, h_max, b_min, b_max, round(b_avg, 6) AS b_avg, last_price, CAST(last_end AS VARCHAR) AS last_end FROM past"""
     sql["decayed_average"] = _with(t, _past("product_id, merchant")) + " SELECT product_id, merchant, " + past_cols
     sql["cross_banner_past"] = _with(t, _past("product_id")) + " SELECT product_id, " + past_cols
@@ -191,6 +247,9 @@ def oracle_sql() -> dict[str, str]:
         WHEN p > b_avg * 1.15::DOUBLE OR p > b_max THEN 'PRICE_HIKE' ELSE 'STANDARD_DEAL' END AS badge
       FROM (SELECT *, advertised_price AS p FROM obs WHERE advertised_price IS NOT NULL) o
       JOIN past ON past.product_id = o.product_id AND past.merchant = o.merchant AND past.qd = o.week"""
+    sql["evaluation_badges"] = _with(t, EVALUATED) + """ SELECT deal_id, badge, price_cents, CASE WHEN lane = 'first' THEN 0 ELSE coalesce(n_past, 0) END AS n_past,
+      CASE WHEN lane = 'history' THEN CAST(round(h.h_min * 100) AS BIGINT) ELSE price_cents END AS min_cents,
+      CASE WHEN lane = 'history' THEN CAST(round(h.h_max * 100) AS BIGINT) ELSE price_cents END AS max_cents FROM evaluated"""
     unit = "up AS (SELECT *, advertised_price / unit_size AS u FROM star WHERE advertised_price IS NOT NULL AND unit_type IS NOT NULL)"
     sql["category_benchmark"] = _with(t, unit) + """, cats AS (SELECT DISTINCT lower(category) AS cat FROM prod WHERE category IS NOT NULL),
       filed AS (SELECT lower(category) AS cat, unit_type, week, u FROM up WHERE category IS NOT NULL
@@ -235,11 +294,10 @@ def oracle_sql() -> dict[str, str]:
     sql["chip_filters"] = _with(*f) + " SELECT " + ", ".join(
         f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in CHIPS.items()) + " FROM rated"
     sql["featured_score"] = _with(*f) + f" SELECT deal_id, {SCORE} AS score FROM rated"
-    sql["unique_products"] = _with(*f) + """ SELECT 'pid_' || product_id AS product_key, arg_min(page_number, (page_number, deal_id)) AS first_page, min(current_price) AS price,
-        arg_min(deal_id, (coalesce(current_price, 1e300), page_number, deal_id)) AS deal_id
-      FROM feed WHERE product_id <> 0 GROUP BY product_id UNION ALL
-      SELECT 'name_' || substr(regexp_replace(lower(canonical_name), '[^a-z0-9]', '_', 'g'), 1, 50), arg_min(page_number, (page_number, deal_id)), min(current_price),
-        arg_min(deal_id, (coalesce(current_price, 1e300), page_number, deal_id)) FROM feed WHERE product_id = 0 GROUP BY canonical_name"""
+    sql["unique_products"] = _with(*f) + """, named AS (SELECT *, CASE WHEN product_id <> 0 THEN 'pid_' || product_id
+        ELSE 'name_' || substr(regexp_replace(lower(canonical_name), '[^a-z0-9]', '_', 'g'), 1, 50) END AS product_key FROM ranked)
+      SELECT product_key, arg_min(badge, (brank, rprice, deal_id)) AS badge, arg_min(is_front_page, (brank, rprice, deal_id)) AS is_front_page, min(current_price) AS price,
+        arg_min(deal_id, (coalesce(current_price, 1e300), brank, rprice, deal_id)) AS deal_id FROM named GROUP BY product_key"""
     sql["ratings_counts"] = _with(*f) + """, c AS (SELECT count(*) FILTER (WHERE rating = 'love') AS love, count(*) FILTER (WHERE rating = 'deal_only') AS deal_only,
         count(*) FILTER (WHERE rating = 'giveaway') AS giveaway, count(*) FILTER (WHERE rating = 'hide') AS hide, count(*) AS rated FROM rate)
       SELECT *, greatest(0, (SELECT count(DISTINCT product_id) FROM feed) - rated) AS unrated FROM c"""
@@ -251,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
     sql["digest_sections"] = _with(*f) + """ SELECT section, count(*) AS n, count(DISTINCT flyer_id) AS flyers FROM (SELECT flyer_id, CASE WHEN bno = 14 THEN 'coupons' WHEN is_front_page THEN 'front_page'
         END AS section FROM feed UNION ALL SELECT flyer_id, 'inside_hikes' FROM feed WHERE bno = 12 AND NOT is_front_page
         UNION ALL SELECT flyer_id, 'inside_lows' FROM feed WHERE bno <> 14 AND NOT is_front_page AND (bno IN (1, 2) OR is_category_best)) WHERE section IS NOT NULL GROUP BY 1"""
-    sql["deal_ranking"] = _with(*f) + """ SELECT deal_id FROM ranked ORDER BY brank, rprice, deal_id LIMIT 100"""
+    sql["deal_ranking"] = _with(*f) + """ SELECT flyer_id, deal_id, row_number() OVER (PARTITION BY flyer_id ORDER BY brank, rprice, deal_id) AS place FROM ranked"""
     sql["history_callout"] = _with(*f) + """ SELECT deal_id, CASE WHEN bno IN (1, 2) OR current_price <= historical_min THEN 'best' WHEN historical_min < current_price THEN 'range' END AS callout,
         CASE WHEN bno NOT IN (1, 2) AND historical_min < current_price AND current_price >= historical_avg * 1.05 THEN 'near_average'
              WHEN bno NOT IN (1, 2) AND historical_min < current_price AND floor((current_price - historical_min) / historical_min * 100 + 0.5) >= 25 THEN 'modest' END AS warning
@@ -288,8 +346,10 @@ def oracle_sql() -> dict[str, str]:
       SELECT deal_id, term, coalesce(a, b) AS shelf_price FROM un JOIN tm USING (flyer_id, term)"""
     sql["free_stacks"] = """SELECT c_custkey AS stack_id, greatest(0, floor(c_acctbal) % 7 - 3) AS pay, (greatest(0, floor(c_acctbal) % 7 - 3) <= 0) AS is_free FROM customer
       WHERE greatest(0, floor(c_acctbal) % 7 - 3) <= 1"""
-    sql["coupon_upsert"] = """SELECT c_nationkey AS k, arg_max(c_acctbal, c_custkey) AS discount, 1 AS n FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1
-      UNION ALL SELECT -1, sum(0.0), count(*) FROM customer WHERE c_custkey % 7 = 0"""
+    sql["coupon_upsert"] = """WITH fresh AS (SELECT c_nationkey AS k, arg_max(c_acctbal, c_custkey) AS discount FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),
+      had AS (SELECT CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_nationkey + 100 END AS INT) AS k, n_name AS account, CAST(n_nationkey AS BIGINT) AS kept_id FROM nation)
+      SELECT CAST(coalesce(f.k, h.k) AS INT) AS k, coalesce(f.discount, 0.5) AS discount, 1 AS n, account, kept_id, 0 AS without_id FROM fresh f FULL JOIN had h ON f.k = h.k
+      UNION ALL SELECT -1, sum(0.0), count(*), NULL, NULL, 0 FROM customer WHERE c_custkey % 7 = 0"""
     sql["unit_info"] = _with(t) + """ SELECT product_id, CASE WHEN canonical_name LIKE '% oz' THEN unit_size END AS size, CASE WHEN canonical_name LIKE '% oz' THEN 'oz' END AS unit FROM prod"""
     sql["episode_sessions"] = """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events),
       n AS (SELECT *, sum(s) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS g FROM e) SELECT user_id AS product_id, count(DISTINCT (event_type, g)) AS sessions FROM n GROUP BY 1"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import promo as P
@@ -111,9 +111,16 @@ def promo_episodes(s, d):
 
 
 def episodes_fold(s, d):
-    e = EP.fold_episodes(_star(s, d), ["product_id"])
-    return e.withColumns({"start_day": F.col("start_day").cast("string"), "end_day": F.col("end_day").cast("string"),
-                          "observations_count": F.col("observations_count").cast("bigint")})
+    """Episodes of every product."""
+    return promo_episodes(s, d)
+
+
+def episodes_hashed_ids(s, d):
+    """Summary of episodes whose tie-break ids are 64-bit hashes."""
+    rows = _star(s, d).withColumn("deal_id", F.xxhash64("deal_id"))
+    e = EP.cluster_episodes(rows, ["product_id"])
+    return e.groupBy("product_id").agg(F.sum("observations_count").alias("observations"), F.min("start_day").cast("string").alias("first_day"),
+                                       F.min("price").alias("least"), F.max("price").alias("most"), F.max("is_trusted").alias("is_trusted"))
 
 
 def _past(s, d, keys):
@@ -150,6 +157,19 @@ def deal_evaluation(s, d):
     return EV.evaluate(W.catalog(s, d))
 
 
+def evaluation_badges(s, d):
+    """Badge, price and past of every evaluated deal, over all lanes and history scopes.
+
+    Percent-off prices whose exact value ends in half a cent are left out: their rounding depends on the binary value.
+    """
+    e, c = EV.evaluate(W.catalog(s, d)), F.col
+    cents = lambda x: F.round(x * 100).cast("bigint")
+    half = (F.floor(c("raw_deal_id") / 10) % 16 == 5) & ((cents(c("base_price")) * (100 - 5 * c("page_number"))) % 100 == 50)
+    whole = lambda x: F.when(~F.coalesce(half, F.lit(False)), cents(x))
+    return e.select("deal_id", "badge", whole(c("current_price")).alias("price_cents"), c("past_observations_count").alias("n_past"),
+                    whole(c("historical_min")).alias("min_cents"), whole(c("historical_max")).alias("max_cents"))
+
+
 def historical_badges(s, d):
     """Badges from episodes, decayed average and past range within the same merchant."""
     st = _star(s, d).filter(F.col("advertised_price").isNotNull()).withColumn("day", day_of(F.col("valid_from")))
@@ -229,9 +249,7 @@ def featured_score(s, d):
 
 
 def unique_products(s, d):
-    u = FD.unique_products(_feed(s, d))
-    first = _feed(s, d).groupBy("product_key").agg(F.min_by("page_number", F.struct("page_number", "deal_id")).alias("first_page"))
-    return u.join(first, "product_key").select("product_key", "first_page", "price", "deal_id")
+    return FD.unique_products(_feed(s, d)).select("product_key", "badge", "is_front_page", "price", "deal_id")
 
 
 def ratings_counts(s, d):
@@ -255,7 +273,9 @@ def digest_sections(s, d):
 
 
 def deal_ranking(s, d):
-    return _feed(s, d).orderBy(*EV.deal_order()).select("deal_id").limit(100)
+    """Place of every deal in its circular."""
+    place = F.row_number().over(Window.partitionBy("flyer_id").orderBy(*EV.deal_order()))
+    return _feed(s, d).select("flyer_id", "deal_id", place.cast("bigint").alias("place"))
 
 
 def history_callout(s, d):
@@ -357,9 +377,17 @@ def coupon_upsert(s, d):
                    *(F.lit(None).cast(t).alias(n) for n, t in (
                        ("description", "string"), ("coupon_type", "string"), ("min_spend", "double"), ("category", "string"),
                        ("eligible_brand", "string"), ("is_clipped", "boolean"), ("valid_to", "string"), ("raw_node_text", "string"))))
-    out = M.upsert_coupons(s.createDataFrame([], S.COUPONS), new, F.col("ord"))
+    # the table already holds coupons of every second nation, and of some that nobody offers any more
+    had = W._read(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("coupon_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")).otherwise(
+        F.col("n_nationkey") + 100).cast("string").alias("coupon_key"), F.lit("old").alias("title"), F.lit(0.5).alias("discount_amount"),
+        F.col("n_name").alias("account_email"))
+    old = s.createDataFrame([], S.COUPONS).unionByName(had, allowMissingColumns=True).select(*s.createDataFrame([], S.COUPONS).columns)
+    out = M.upsert_coupons(old, new, F.col("ord"))
+    known = F.col("account_email").isNotNull()
     return out.groupBy(F.coalesce(F.col("coupon_key").cast("int"), F.lit(-1)).alias("k")).agg(
-        F.sum(F.when(F.col("coupon_key").isNotNull(), F.col("discount_amount")).otherwise(0.0)).alias("discount"), F.count("*").alias("n"))
+        F.sum(F.when(F.col("coupon_key").isNotNull(), F.col("discount_amount")).otherwise(0.0)).alias("discount"), F.count("*").alias("n"),
+        F.max("account_email").alias("account"), F.max(F.when(known, F.col("coupon_id"))).alias("kept_id"),
+        F.count_if(F.col("coupon_id").isNull()).alias("without_id"))
 
 
 # ------------------------------------------------------------------ text
@@ -471,8 +499,8 @@ def episode_sessions(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [
         star_history, history_trusted_ilike, flyer_deals_front, search_products_top50, latest_flyer, sync_needed, history_min_max,
-        price_badges, promo_episodes, episodes_fold, decayed_average, cross_banner_past, category_benchmark, flyer_category_min,
-        deal_evaluation, historical_badges, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
+        price_badges, promo_episodes, episodes_fold, episodes_hashed_ids, decayed_average, cross_banner_past, category_benchmark, flyer_category_min,
+        deal_evaluation, evaluation_badges, historical_badges, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
         representatives, modal_units, ad_groups, chip_filters, featured_score, unique_products, ratings_counts, stats_banner,
         department_facets, token_search, digest_sections, deal_ranking, history_callout, viewer_flags, badge_labels, compact_tags,
         history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations,

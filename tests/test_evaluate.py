@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide import schemas as S
-from pricetide.operators.episodes import cluster_episodes, fold_episodes, history_rows
+from pricetide.operators.episodes import cluster_episodes, history_rows
 from pricetide.operators.evaluate import evaluate
 from pricetide.operators.history import Catalog, star
 from pricetide.operators.past import past_stats
@@ -144,6 +144,32 @@ def test_prefix_statistics_equal_direct_computation(spark):
         assert g.b_avg == pytest.approx(want[5], abs=1e-8)
 
 
+def fold(rows):
+    """Episodes by the literal left-to-right fold over each product's rows."""
+    out, last = [], {}
+    for r in sorted(rows, key=lambda r: (r.product_id, r.day, r.seq)):
+        e = last.get(r.product_id)
+        if e and abs(r.price - e["price"]) < 0.005 and 0 <= (r.day - e["end"]).days <= 10:
+            e.update(end=r.end_day, n=e["n"] + 1, trusted=e["trusted"] or r.trusted)
+        else:
+            e = last[r.product_id] = dict(key=r.product_id, seq=r.seq, price=r.price, end=r.end_day, n=1, trusted=r.trusted)
+            out.append(e)
+    return sorted((e["key"], e["seq"], e["price"], e["n"], e["trusted"]) for e in out)
+
+
+def test_far_ends_have_finite_weights(spark):
+    """A circular that never ends weighs as one that ends on the target day."""
+    s = Store(spark)
+    s.add("p", "2026-01-05", 2.0)
+    s.add("p", "2026-01-12", 4.0, days=(dt.date(9999, 12, 31) - dt.date(2026, 1, 12)).days)
+    st = star(s.catalog())
+    asked = spark.createDataFrame([(dt.date(2026, 3, 2),)], "day date").crossJoin(st.select("product_id").distinct())
+    got = past_stats(history_rows(st, ["product_id"]), asked, ["product_id"]).collect()[0]
+    gone = 0.5 ** ((dt.date(2026, 3, 2) - dt.date(2026, 1, 11)).days / 90)
+    assert got.b_avg == pytest.approx((2.0 * gone + 4.0) / (gone + 1), abs=1e-6)
+    assert str(got.last_end) == "9999-12-31"
+
+
 def test_window_and_fold_episodes_agree(spark):
     rng = random.Random(3)
     s = Store(spark)
@@ -152,6 +178,8 @@ def test_window_and_fold_episodes_agree(spark):
         s.add(f"p{rng.randrange(4)}", d.isoformat(), rng.choice([1.0, 2.0]), promo=rng.choice(["standard", "doorbuster"]))
     st = star(s.catalog())
     a = cluster_episodes(st, ["product_id"]).select("product_id", "start_seq", "price", F.col("observations_count"), "is_trusted")
-    b = fold_episodes(st, ["product_id"]).select("product_id", "start_seq", "price", F.col("observations_count").cast("bigint"), "is_trusted")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(map(tuple, a.collect())) == fold(history_rows(st, ["product_id"]).collect())
+    hashed = st.withColumn("deal_id", F.xxhash64("deal_id"))
+    b = cluster_episodes(hashed, ["product_id"]).select("product_id", "start_seq", "price", F.col("observations_count"), "is_trusted")
+    assert sorted(map(tuple, b.collect())) == fold(history_rows(hashed, ["product_id"]).collect())
     assert history_rows(st, ["product_id"]).count() == 120
