@@ -139,9 +139,13 @@ def set_doorbuster(obs: DataFrame, on: bool, deal_id: int | None = None, flyer_i
 
 
 def update_prices(obs: DataFrame, updates: DataFrame) -> DataFrame:
-    """New effective prices by deal; null unit or base prices leave the stored ones."""
-    u = updates.select("deal_id", F.col("advertised_price").alias("n_price"), F.col("unit_price").alias("n_unit"),
-                       F.col("base_price").alias("n_base"), F.lit(True).alias("hit"))
+    """New effective prices by deal; null unit or base prices leave the stored ones.
+
+    Of several updates of one deal the largest price, then unit and base price, counts.
+    """
+    one = updates.groupBy("deal_id").agg(F.max(F.struct("advertised_price", "unit_price", "base_price")).alias("u"))
+    u = one.select("deal_id", F.col("u.advertised_price").alias("n_price"), F.col("u.unit_price").alias("n_unit"),
+                   F.col("u.base_price").alias("n_base"), F.lit(True).alias("hit"))
     return obs.join(u, "deal_id", "left").withColumns({
         "advertised_price": F.when(F.col("hit"), F.col("n_price")).otherwise(F.col("advertised_price")),
         "unit_price": F.coalesce("n_unit", "unit_price"), "base_price": F.coalesce("n_base", "base_price"),
@@ -255,10 +259,10 @@ def with_is_free(stacks: DataFrame) -> DataFrame:
 
 def append_stacks(stacks: DataFrame, new: DataFrame) -> DataFrame:
     """Add calculated stacks; missing values get the table's defaults."""
-    filled = new.fillna({"product_name": "", "retail_price": 0.0, "source_type": "FLYER_SALE", "store_coupon_discount": 0.0,
-                         "mfg_coupon_discount": 0.0, "final_out_of_pocket": 0.0, "is_clipped": False,
-                         "coupon_references": "[]"})
-    return stacks.unionByName(filled, allowMissingColumns=True)
+    defaults = {"product_name": "", "retail_price": 0.0, "source_type": "FLYER_SALE", "store_coupon_discount": 0.0,
+                "mfg_coupon_discount": 0.0, "final_out_of_pocket": 0.0, "is_clipped": False, "coupon_references": "[]"}
+    missing = {c: F.lit(None).cast(stacks.schema[c].dataType) for c in stacks.columns if c not in new.columns}
+    return stacks.unionByName(new.withColumns(missing).fillna(defaults).select(*stacks.columns))
 
 
 def clear_stacks(stacks: DataFrame) -> DataFrame:
