@@ -291,6 +291,18 @@ def oracle_sql() -> dict[str, str]:
           ELSE 20 END AS prio FROM items) GROUP BY flyer_id, group_key"""
     sql["modal_units"] = _with(*f) + """, u AS (SELECT flyer_id, group_key, unit_type, count(*) AS k, min(unit_price) AS lo, max(unit_price) AS hi FROM items WHERE unit_type IS NOT NULL GROUP BY ALL)
       SELECT flyer_id, group_key, unit_type, CAST(floor(lo * 1000 + 1e-6) AS BIGINT) AS lo, CAST(floor(hi * 1000 + 1e-6) AS BIGINT) AS hi FROM u"""
+    # one pass of absorption; in these tables no absorbed name lets a later tile qualify, so it is the whole outcome
+    sql["meal_deal_merge"] = _with(*f) + """, g AS (SELECT flyer_id, group_key, count(*) AS n, min((brank, rprice, deal_id)) AS pos FROM items GROUP BY ALL),
+      meal AS (SELECT flyer_id, group_key AS meal_key, pos AS meal_pos FROM g WHERE group_key LIKE 'meal_deal_%'),
+      own AS (SELECT DISTINCT flyer_id, group_key AS meal_key, canonical_name FROM items WHERE group_key LIKE 'meal_deal_%'),
+      score AS (SELECT i.flyer_id, i.group_key, meal_key, count(*) AS m FROM items i JOIN own USING (flyer_id, canonical_name) WHERE i.group_key NOT LIKE 'meal_deal_%' GROUP BY ALL),
+      taken AS (SELECT flyer_id, group_key, arg_min(meal_key, meal_pos) AS meal_key FROM score JOIN g USING (flyer_id, group_key) JOIN meal USING (flyer_id, meal_key)
+        WHERE m >= least(3, n) AND m / n >= 0.7 GROUP BY ALL),
+      fresh AS (SELECT flyer_id, meal_key, count(DISTINCT canonical_name) AS k FROM items JOIN taken USING (flyer_id, group_key) ANTI JOIN own USING (flyer_id, meal_key, canonical_name) GROUP BY ALL)
+      SELECT g.flyer_id, group_key, n + coalesce(k, 0) AS n FROM g ANTI JOIN taken USING (flyer_id, group_key) LEFT JOIN fresh ON fresh.flyer_id = g.flyer_id AND fresh.meal_key = g.group_key"""
+    sql["group_brands"] = _with(*f) + """ SELECT flyer_id, group_key, array_to_string(list_sort(list(DISTINCT brand)), '|') AS brands, count(DISTINCT brand) AS n_brands FROM items
+      WHERE brand IS NOT NULL GROUP BY ALL"""
+    sql["split_titles"] = _with(*f, SPLIT) + """ SELECT deal_id, canonical_name AS title FROM items JOIN decided USING (flyer_id, group_key) WHERE split"""
     sql["chip_filters"] = _with(*f) + " SELECT " + ", ".join(
         f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in CHIPS.items()) + " FROM rated"
     sql["featured_score"] = _with(*f) + f" SELECT deal_id, {SCORE} AS score FROM rated"

@@ -237,6 +237,17 @@ def ad_groups(s, d):
     return G.group_deals(W.feed_deals(s, d)).drop("pages", "brands")
 
 
+def group_brands(s, d):
+    """Every brand of every ad group."""
+    return G.group_brands(G.group_items(W.feed_deals(s, d))).select("flyer_id", "group_key", F.array_join("brands", "|").alias("brands"), "n_brands")
+
+
+def split_titles(s, d):
+    """Titles of tiles that were split: the name of their only item."""
+    apart = G.assign_groups(W.feed_deals(s, d)).filter("split").withColumn("group_key", F.col("group_id")).drop("group_id")
+    return G.group_titles(apart).join(apart.select("flyer_id", "group_key", "deal_id"), ["flyer_id", "group_key"]).select("deal_id", "title")
+
+
 def chip_filters(s, d):
     f = FD.chip_filters()
     names = ["atl", "great", "cycle", "firstseen", "hike", "front", "catbest", "bogo", "points", "favorites", "deal_picks",
@@ -501,7 +512,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         star_history, history_trusted_ilike, flyer_deals_front, search_products_top50, latest_flyer, sync_needed, history_min_max,
         price_badges, promo_episodes, episodes_fold, episodes_hashed_ids, decayed_average, cross_banner_past, category_benchmark, flyer_category_min,
         deal_evaluation, evaluation_badges, historical_badges, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
-        representatives, modal_units, ad_groups, chip_filters, featured_score, unique_products, ratings_counts, stats_banner,
+        representatives, modal_units, ad_groups, group_brands, split_titles, chip_filters, featured_score, unique_products, ratings_counts, stats_banner,
         department_facets, token_search, digest_sections, deal_ranking, history_callout, viewer_flags, badge_labels, compact_tags,
         history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations,
         merge_products, trust_marks, shelf_price_ladder, enriched_prices, free_stacks, coupon_upsert, unit_info, episode_sessions,
