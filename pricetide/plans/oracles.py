@@ -303,6 +303,10 @@ def oracle_sql() -> dict[str, str]:
     sql["group_brands"] = _with(*f) + """ SELECT flyer_id, group_key, array_to_string(list_sort(list(DISTINCT brand)), '|') AS brands, count(DISTINCT brand) AS n_brands FROM items
       WHERE brand IS NOT NULL GROUP BY ALL"""
     sql["split_titles"] = _with(*f, SPLIT) + """ SELECT deal_id, canonical_name AS title FROM items JOIN decided USING (flyer_id, group_key) WHERE split"""
+    sql["export_rows"] = _with(*f) + """ SELECT deal_id, product_id, CAST(tile AS VARCHAR) AS ad_id, CAST(NULL AS VARCHAR) AS ad_title, deal_id // 1048576 AS raw_deal_id, canonical_name AS name, brand,
+        coalesce(category, 'Other') AS category, current_price AS price, unit_price, unit_size, unit_type, page_number AS page, is_front_page, historical_min, historical_avg,
+        0.0::DOUBLE AS diff_pct_vs_avg, badge, CASE WHEN bno = 1 THEN 'New All-Time Low!' ELSE 'Past sale range' END AS analysis, promo_type, promo_detail, raw_title,
+        CAST(NULL AS VARCHAR) AS image_url, is_category_best FROM feed"""
     sql["chip_filters"] = _with(*f) + " SELECT " + ", ".join(
         f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in CHIPS.items()) + " FROM rated"
     sql["featured_score"] = _with(*f) + f" SELECT deal_id, {SCORE} AS score FROM rated"
