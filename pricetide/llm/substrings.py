@@ -19,8 +19,9 @@ with one id are one document, so they do not remove each other's words; no rows
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,47 @@ K, M = 50, 4
 HEAVY, SALTS = 2_048, 64
 #: Text in a bucket; text that a map task holds before it sends.
 BUCKET_BYTES, HELD_BYTES = 16 << 20, 24 << 20
-#: Words whose hashes a worker keeps.
-KNOWN = 2_000_000
 LAST = (1 << 63) - 1
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Hashes(dict):
-    """64-bit hash of a word, the same everywhere."""
+class Powers:
+    """Powers of an odd base modulo 2 ** 64 and of its inverse, kept for the longest stretch seen."""
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+    def __init__(self, base: int = 0x5851F42D4C957F2D):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode())
-        return found
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            both = [np.full(n + n // 2 + 1, pow(self.base, e, 1 << 64), np.uint64) for e in (1, -1)]
+            for x in both:
+                x[0] = 1
+            self.up, self.down = map(np.multiply.accumulate, both)
+        return self.up, self.down
+
+
+def joined_words(text: str | None) -> bytes:
+    """Words of a text with one space between them. Bytes split at the same six characters that end a word."""
+    return b" ".join((text or "").encode().split())
+
+
+def word_hashes(joined: bytes, powers: Powers, stretch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of joined_words(text), a stretch at a time."""
+    if not joined:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    codes = np.frombuffer(joined, np.uint8)
+    gaps = np.flatnonzero(codes == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(codes)]])
+    found = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, len(codes), stretch)), [len(starts)]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = starts[a], ends[b - 1]
+        up, down = powers.upto(int(high - low))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low])])
+        found[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * down[starts[a:b] - low]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return starts, ends, found ^ (found >> np.uint64(32))
 
 
 def minimisers(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -68,12 +94,20 @@ def minimisers(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(own[: n - k + 1], own[width - have :]) if width > have else own
 
 
-def runs(words: list[str], known: Hashes, k: int) -> Iterator[tuple[int, int, int]]:
-    """(minimiser, first window, windows) of the super-k-mers of a document."""
-    if len(words) >= k:
-        least = minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k)
-        edges = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
-        yield from zip(least[edges[:-1]].tolist(), edges[:-1].tolist(), np.diff(edges).tolist(), strict=True)
+def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, first window and number of windows of the super-k-mers of a document."""
+    if len(hashes) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = minimisers(hashes, k)
+    edges = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
+    return least[edges[:-1]], edges[:-1], np.diff(edges)
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of held with the sums of their counts, where these reach least."""
+    keys, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+    return keys[counts >= least], counts[counts >= least]
 
 
 def heavy_minimisers(rows: DataFrame, k: int, heavy: int = HEAVY) -> list[int]:
@@ -81,21 +115,21 @@ def heavy_minimisers(rows: DataFrame, k: int, heavy: int = HEAVY) -> list[int]:
     quarter of that share; what it leaves out cannot hide a minimiser with the whole share."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, total = Hashes(), Counter(), 0
+        powers, held, total = Powers(), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = [m for m, _, _ in runs(WORDS.findall(text or ""), known, k)]
-                seen.update(own)
-                total += len(own)
-            if len(seen) > 4_000_000:
-                seen = Counter({m: n for m, n in seen.items() if 16 * n * heavy >= total})
-        mine = [(m, n) for m, n in seen.items() if 4 * n * heavy >= total and n > 1]
-        columns = [pa.array([m - (1 << 63) for m, _ in mine] + [None], pa.int64()), pa.array([n for _, n in mine] + [total], pa.int64())]
+            found = [runs(word_hashes(joined_words(t), powers)[2], k)[0] for t in batch.column(0).to_pylist()]
+            total += sum(map(len, found))
+            held.append((np.concatenate([np.zeros(0, np.uint64), *found]), np.ones(sum(map(len, found)), np.int64)))
+            if sum(len(x) for x, _ in held) > 3_000_000:
+                held = [summed(held, total // (16 * heavy))]
+        seen, counts = summed(held, 1)
+        keep = (4 * counts * heavy >= total) & (counts > 1)
+        columns = [pa.array([*seen[keep].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[keep].tolist(), total], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["minimiser", "n"])
 
     sums = cut(rows.select("text").mapInArrow(counted, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")))
     total = sums.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
-    return [r.minimiser + (1 << 63) for r in sums.where((F.col("minimiser").isNotNull()) & (F.col("n") > 1) & (4 * heavy * F.col("n") >= 3 * total)).collect()]
+    return [r.minimiser % (1 << 64) for r in sums.where((F.col("minimiser").isNotNull()) & (F.col("n") > 1) & (4 * heavy * F.col("n") >= 3 * total)).collect()]
 
 
 PACKED = "bucket int, strings binary, counts binary, docs binary, keys binary, starts binary, heavy binary"
@@ -106,15 +140,16 @@ def packer(buckets: int, heavy: set[int], k: int):
         """(doc, key, text) as super-k-mers by bucket: different strings, how many places each has, and the places."""
         import zstandard
 
-        known, squeeze = Hashes(), zstandard.ZstdCompressor(level=3)
-        held: dict[int, dict[tuple[str, bool], list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        powers, squeeze = Powers(), zstandard.ZstdCompressor(level=3)
+        hot_ones = np.array(sorted(heavy), np.uint64)
+        held: dict[int, dict[tuple[bytes, bool], list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
 
         def out():
             rows = []
             for bucket, strings in held.items():
                 places = [p for own in strings.values() for p in own]
                 docs, keys, starts = (np.array(x, np.int64).tobytes() for x in zip(*places, strict=True))
-                text = squeeze.compress("\n".join(s for s, _ in strings).encode())
+                text = squeeze.compress(b"\n".join([s for s, _ in strings]))
                 rows.append((bucket, text, np.array([len(x) for x in strings.values()], np.int32).tobytes(), docs, keys, starts, np.array([h for _, h in strings], bool).tobytes()))
             held.clear()
             for at in range(0, len(rows), 64):
@@ -124,13 +159,15 @@ def packer(buckets: int, heavy: set[int], k: int):
         used = 0
         for batch in batches:
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = WORDS.findall(text or "")
-                for least, first, n in runs(words, known, k):
-                    string = " ".join(words[first : first + n + k - 1])
-                    hot = least in heavy
-                    salted = (least ^ (doc % SALTS + 1) * 0x9E3779B97F4A7C15) & LAST if hot else least
-                    held[(salted >> 7) % buckets][string, hot].append((doc, key, first))
-                    used += len(string)
+                words = joined_words(text)
+                begin, end, hashes = word_hashes(words, powers)
+                least, first, n = runs(hashes, k)
+                hot = np.isin(least, hot_ones) if len(hot_ones) else np.zeros(len(least), bool)
+                salt = np.uint64((doc % SALTS + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                bucket = ((np.where(hot, least ^ salt, least) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+                for to, a, b, f, h in zip(bucket.tolist(), begin[first].tolist(), end[first + n + k - 2].tolist(), first.tolist(), hot.tolist(), strict=True):
+                    held[to][words[a:b], h].append((doc, key, f))
+                    used += b - a
                 if used > HELD_BYTES:
                     yield from out()
                     used = 0
@@ -139,28 +176,21 @@ def packer(buckets: int, heavy: set[int], k: int):
     return pack
 
 
-def same_windows(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Group number of each window ids[start : start + k]; windows share one if and only if their words are the same."""
+def same_windows(words: bytes, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, starts: np.ndarray, k: int, powers: Powers) -> np.ndarray:
+    """Group number of each window of k words from word starts on; windows share one if and only if their text is the same."""
     with np.errstate(over="ignore"):
-        noise = (np.arange(int(ids.max()) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        noise = (noise ^ (noise >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        noise ^= noise >> np.uint64(27)
-        base = pow(0x5851F42D4C957F2D, 1, 1 << 64)
-        power = np.full(len(ids) + 1, base, np.uint64)
-        back = np.full(len(ids) + 1, pow(base, -1, 1 << 64), np.uint64)
-        power[0] = back[0] = 1
-        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(noise[ids] * power[:-1])])
-        hashes = (sums[starts + k] - sums[starts]) * back[starts]
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
+        up, down = powers.upto(len(hashes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+        codes = (sums[starts + k] - sums[starts]) * down[starts]
+    order = np.argsort(codes, kind="stable")
+    ordered = codes[order]
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    pairs = np.flatnonzero(~fresh)
-    offsets = np.arange(k)
-    for at in range(0, len(pairs), 1 << 15):  # equal hashes must mean equal words
-        own = pairs[at : at + (1 << 15)]
-        if (ids[starts[order[own]][:, None] + offsets] != ids[starts[order[own - 1]][:, None] + offsets]).any():
-            return np.unique(ids[starts[:, None] + offsets], axis=0, return_inverse=True)[1].ravel()
+    again = np.flatnonzero(~fresh)
+    mine, before = starts[order[again]], starts[order[again - 1]]
+    for a, b, c, d in zip(begin[mine].tolist(), end[mine + k - 1].tolist(), begin[before].tolist(), end[before + k - 1].tolist(), strict=True):
+        if words[a:b] != words[c:d]:  # equal hashes of different text: number the texts themselves
+            numbers: dict[bytes, int] = {}
+            return np.array([numbers.setdefault(words[x:y], len(numbers)) for x, y in zip(begin[starts].tolist(), end[starts + k - 1].tolist(), strict=True)])
     groups = np.empty(len(starts), np.int64)
     groups[order] = np.cumsum(fresh) - 1
     return groups
@@ -174,20 +204,19 @@ def sorter(k: int):
         """Spans of a bucket to remove (first to last word), and firsts of salted windows with their digest."""
         import zstandard
 
-        expand = zstandard.ZstdDecompressor()
-        strings = [s for r in rows for s in expand.decompress(r[1]).decode().split("\n")]
+        expand, powers = zstandard.ZstdDecompressor(), Powers()
+        text = b"\n".join([expand.decompress(r[1]) for r in rows])
+        sizes = np.fromiter((x.count(b" ") + 1 for x in text.split(b"\n")), np.int64)
+        words = text.replace(b"\n", b" ")
+        begin, end, hashes = word_hashes(words, powers)
         counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
         docs, keys, begins = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in (3, 4, 5))
         heavy = np.concatenate([np.frombuffer(r[6], bool) for r in rows])
-        words = " ".join(strings).split(" ")
-        numbers: dict[str, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-        sizes = np.fromiter((s.count(" ") + 1 for s in strings), np.int64, len(strings))
         windows = sizes - k + 1
         offset = np.cumsum(windows) - windows  # of a string's first window among all windows
         inside = np.arange(windows.sum()) - np.repeat(offset, windows)
         starts = np.repeat(np.cumsum(sizes) - sizes, windows) + inside
-        groups = same_windows(ids, starts, k)
+        groups = same_windows(words, begin, end, hashes, starts, k, powers)
         place = np.cumsum(counts) - counts
         least, most = np.minimum.reduceat(docs, place), np.maximum.reduceat(docs, place)
         first = np.full(groups.max() + 1, LAST, np.int64)
@@ -213,12 +242,12 @@ def sorter(k: int):
             at, window = expanded(np.flatnonzero(heavy))
             stay = docs[at] == first[window]
             at, window = at[stay], window[stay]
-            begin = begins[at] + inside[window]
-            found = [np.concatenate(x) for x in zip(found, (docs[at], keys[at], begin, begin + k - 1), strict=True)]
+            since = begins[at] + inside[window]
+            found = [np.concatenate(x) for x in zip(found, (docs[at], keys[at], since, since + k - 1), strict=True)]
             made: dict[int, bytes] = {}
             for g, s in zip(groups[window].tolist(), starts[window].tolist(), strict=True):
                 if g not in made:
-                    made[g] = hashlib.blake2b(" ".join(words[s : s + k]).encode(), digest_size=16).digest()
+                    made[g] = hashlib.blake2b(words[begin[s] : end[s + k - 1]], digest_size=16).digest()
                 digests.append(made[g])
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for a in range(0, len(digests), 1 << 14):
@@ -256,30 +285,38 @@ def repeated_spans(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def shortened(text: str | None, spans: list | None) -> tuple[str | None, int, int, str]:
-    """Text without the words of spans, numbers of words and of removed words, and digest of the kept words."""
-    words = WORDS.findall(text or "")
-    if not spans:
-        return text, len(words), 0, hashlib.sha256(" ".join(words).encode()).hexdigest()
-    drop = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
+def removed(n: int, spans: list | None) -> np.ndarray:
+    """Which of n words stand in one of the spans."""
+    drop = np.zeros(n + 1, np.int64)
+    for s in spans or ():
         drop[s["first"]] += 1
         drop[s["last"] + 1] -= 1
-    gone = (np.cumsum(drop)[:-1] > 0).tolist()
-    at, parts = 0, []
-    for found, g in zip(WORDS.finditer(text), gone, strict=True):
-        parts.append("" if g else text[at : found.end()])
-        at = found.end()
-    digest = hashlib.sha256(" ".join(w for w, g in zip(words, gone, strict=True) if not g).encode()).hexdigest()
-    return ("".join(parts) + text[at:]).strip(), len(words), sum(gone), digest
+    return np.cumsum(drop)[:n] > 0
+
+
+def shortened(text: str | None, spans: list | None) -> tuple[str | None, int, int]:
+    """Text without the words of spans, numbers of its words and of the removed ones."""
+    if not spans:
+        return text, 0, 0
+    found = list(WORDS.finditer(text))
+    gone, at, parts = removed(len(found), spans), 0, []
+    for word, g in zip(found, gone.tolist(), strict=True):
+        parts.append("" if g else text[at : word.end()])
+        at = word.end()
+    return ("".join(parts) + text[at:]).strip(), len(found), int(gone.sum())
 
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) with counts, the kept words' digest and the text without the removed words."""
+    """(doc_id, text, spans) with numbers of words and of removed words and the kept words' digest."""
     for batch in batches:
-        rows = [shortened(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()), (0, pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        rows = []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            gone = removed(len(words), spans)
+            kept = compress(words, (~gone).tolist()) if spans else words
+            rows.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def with_spans(docs: DataFrame, k: int, heavy: int, bucket_bytes: int) -> DataFrame:
@@ -287,7 +324,7 @@ def with_spans(docs: DataFrame, k: int, heavy: int, bucket_bytes: int) -> DataFr
     own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
     spans = repeated_spans(own.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), "text"), k, heavy, bucket_bytes)
     spans = spans.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    return own.join(spans, ["__doc", "__key"], "left").select(*docs.columns, "__spans")
+    return own.join(spans.hint("merge"), ["__doc", "__key"], "left").select(*docs.columns, "__spans")
 
 
 def without_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -310,14 +347,14 @@ def without_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_byte
 
 
 def remove_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of each row of (doc_id, text)."""
+    """doc_id, n_words, n_removed and kept_sha256 of each row of (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    counted = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return with_spans(own, k, heavy, bucket_bytes).mapInArrow(counted_words, counted)
 
 
 def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = f"""

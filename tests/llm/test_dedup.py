@@ -66,9 +66,27 @@ def test_hot_minimisers_are_found(spark, words):
     assert len(substrings.heavy_minimisers(docs.repartition(4), 8, 50)) > 0
 
 
-def test_colliding_hashes_are_split():
-    ids, starts = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3]), np.array([0, 3, 6])
-    assert substrings.same_windows(ids, starts, 3)[0] == substrings.same_windows(ids, starts, 3)[2] != substrings.same_windows(ids, starts, 3)[1]
+@pytest.mark.parametrize("collide", [False, True])
+def test_colliding_hashes_are_split(collide):
+    words, powers = b"a b c a b d a b c", substrings.Powers()
+    begin, end, hashes = substrings.word_hashes(words, powers)
+    hashes = np.ones_like(hashes) if collide else hashes
+    got = substrings.same_windows(words, begin, end, hashes, np.array([0, 3, 6]), 3, powers)
+    assert got[0] == got[2] != got[1]
+
+
+def test_words_are_those_of_the_contract(words):
+    draw = random.Random(1)
+    for _ in range(200):
+        text = "".join(draw.choice([*words[:9], " ", "\n", "\x0b", "\x0c", "\r", "\t", "\x1c", "\x85", "\u00a0", "\u3000", "é"]) for _ in range(30))
+        joined = substrings.joined_words(text)
+        assert joined.decode() == " ".join(WORD.findall(text))
+        for stretch in (7, 1 << 20):
+            begin, end, hashes = substrings.word_hashes(joined, substrings.Powers(), stretch)
+            own = [joined[a:b] for a, b in zip(begin, end, strict=True)]
+            assert own == joined.split() and len(set(hashes.tolist())) == len(set(own))
+            alone = {w: substrings.word_hashes(w, substrings.Powers())[2][0] for w in own}
+            assert all(alone[w] == h for w, h in zip(own, hashes, strict=True))
 
 
 def test_repeats_of_odd_rows(odd, empty, odd_rows, spark):
