@@ -34,7 +34,7 @@ from pricetide.llm.common import WORDS, cut, table
 K, M = 50, 4
 HEAVY, SALTS = 2_048, 64
 #: Text in a bucket; text that a map task holds before it sends.
-BUCKET_BYTES, HELD_BYTES = 16 << 20, 24 << 20
+BUCKET_BYTES, HELD_BYTES = 5 << 20, 16 << 20
 LAST = (1 << 63) - 1
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
