@@ -99,6 +99,58 @@ def test_perplexity_bands(spark, words, odd, empty, odd_rows):
     assert perplexity.judge(empty).count() == 0
 
 
+def plain_nats(texts, model, chars):
+    """Nats per character of each text from dictionaries."""
+    split = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
+    own = [(Counter(w), Counter(zip(["<"] + w, w + [">"], strict=True)) if w else Counter()) for w in split]
+    one, two, starts = sum((o[0] for o in own), Counter()), sum((o[1] for o in own), Counter()), sum(map(bool, split))
+    alone = max(1.0, perplexity.ALONE * chars)
+    for t, w, (mine, pairs) in zip(texts, split, own, strict=True):
+        if not w:
+            yield None
+            continue
+        q = {x: math.exp(-perplexity.nats_of(perplexity.step_of(perplexity.spelled(model, [x]))[0])) for x in mine} | {">": math.exp(-perplexity.nats_of(perplexity.END_STEP))}
+        total = sum(one.values()) + starts - len(w) - 1
+        n = {x: one[x] - mine[x] for x in mine} | {"<": starts - 1, ">": starts - 1}
+        logs = sum(math.log((n[b] + alone * q[b]) / (total + alone)) for b in [*w, ">"])
+        logs += sum(c * math.log((two[p] - c + perplexity.AFTER * q[p[1]]) / (n[p[0]] + perplexity.AFTER)) for p, c in pairs.items())
+        yield -logs / 2 / (sum(map(len, w)) + len(w) + 1)
+
+
+def test_word_model_equals_dictionaries_in_any_layout(spark, words, odd_rows, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choices(words[:90], k=draw.randint(1, 40))), "en", None, 0) for i in range(120)] + odd_rows
+    docs, texts = spark.createDataFrame(rows, DOCS).repartition(3), [r[1] for r in rows]
+    chars = sum(len(t or "") for t in texts)
+    model = perplexity.arrays(perplexity.kneser_ney(docs.select("text")))
+    want = sorted((t or "", x) for t, x in zip(texts, plain_nats(texts, model, chars), strict=True) if x is not None)
+    for shard, piece, size in ((1 << 22, 1 << 21, 512), (5_000, 2_000, 40)):
+        monkeypatch.setattr(perplexity, "SHARD", shard)
+        monkeypatch.setattr(perplexity, "PIECE", piece)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        got = perplexity.with_nats(perplexity.scored(docs, model, chars), chars).where("nats is not null").select("nats").collect()
+        assert sorted(r.nats for r in got) == pytest.approx(sorted(x for _, x in want), abs=2e-3)
+    assert perplexity.layout(50 * 10**9)[1][1] > perplexity.layout(10**9)[1][1] > 0
+
+
+def test_perplexity_reads_order_and_other_scripts(spark):
+    """Texts that walk from word to word by a rule, in Cyrillic; then with the same words in disorder."""
+    draw = random.Random(8)
+    names = ["".join(draw.choices("абвгдежзиклмнопрстуфхцчшщыэюя", k=6)) for _ in range(300)]
+    after = {w: draw.sample(names, 3) for w in names}
+
+    def walk():
+        out = [draw.choice(names)]
+        while len(out) < 100:
+            out.append(draw.choice(after[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk()), "ru", None, 0) for i in range(400)] + [(1000 + i, " ".join(draw.sample(w := walk(), len(w))), "ru", None, 0) for i in range(20)]
+    got = {r.doc_id: r for r in perplexity.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(got[i].low <= got[i].perplexity <= got[i].high for i in range(400)) > 390, sorted((got[i].low, got[i].perplexity, got[i].high) for i in range(400))[:9]
+    assert all(got[1000 + i].spelling <= got[1000 + i].spelling_high and not got[1000 + i].kept for i in range(20)) and all(got[1000 + i].perplexity > got[1000 + i].high for i in range(20))
+
+
 def labelled_corpus(spark, words, n=700):
     draw = random.Random(11)
     rows, labels = [], []
