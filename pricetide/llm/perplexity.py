@@ -12,7 +12,7 @@ and interpolated probabilities are made in joins; an n-gram that was never seen
 
 A text's perplexity is per character, of the mean nats of both orders; its spelling is that of the speller alone, which sees letters in
 disorder where the words have no count. Each of the two has a lower and an upper band for each language (null is one): the median, less or
-more WIDTH times its distance to the quartile on that side, over texts that pass the base rules; a language with fewer than FEW of them
+more WIDTHS times its distance to the quartile on that side, over texts that pass the base rules; a language with fewer than FEW of them
 takes the band of all. A text outside either is not kept.
 
 Defined results: a null text has no words and fails the base rules, as any text under 50 words; a text without perplexity (no word) is
@@ -38,7 +38,7 @@ BLANK = 41
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MARKS = "#*$%&|<>"
-WIDTH, FEW = 10.0, 100
+FEW = 100
 #: Weight of the speller after a word, and its weight without one as a share of the characters.
 AFTER, ALONE = 5.0, 1 / 64
 #: N-grams of a range of hashes; words and texts of a packed piece; words in a worker's cache.
@@ -391,6 +391,9 @@ def with_nats(rows: DataFrame, chars: int) -> DataFrame:
     return rows.withColumns({"nats": nats, "letters": F.col("letters") / (F.col("word_chars") + F.col("n_words"))}).drop("spell", "alone", "after", "before")
 
 
+#: Quartile distances of the lower and upper band: set from the tails over all texts of sf0.1 that pass the base rules, without labels, as
+#: the first whole width from 4 at which one more would spare less than 0.15 % of the texts.
+WIDTHS = {"nats": (6.0, 6.0), "letters": (8.0, 6.0)}
 #: What has bands, and the result's columns for it.
 MEASURES = {"nats": ("perplexity", "low", "high"), "letters": ("spelling", "spelling_low", "spelling_high")}
 
@@ -401,7 +404,11 @@ def judge(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     rows = with_nats(cut(scored(docs, arrays(levels), chars)), chars)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
+    return banded(rows.withColumn("base_failed", failed))
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """rows of lang, base_failed and MEASURES with each measure's value and band, and the verdict."""
     passing = rows.where(~F.col("base_failed") & F.col("nats").isNotNull())
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"{m}_q") for m in MEASURES]
     bands = passing.groupBy(F.col("lang").alias("of")).agg(*quartiles, F.count("*").alias("n")).where(F.col("n") >= FEW).drop("n")
@@ -410,7 +417,7 @@ def judge(docs: DataFrame) -> DataFrame:
     kept, shown = ~F.col("base_failed"), {}
     for m, names in MEASURES.items():
         q = F.coalesce(f"{m}_q", F.array(*map(F.lit, every[f"{m}_q"] or [0.0, float("inf"), float("inf")])))
-        low, high = q[1] - WIDTH * (q[1] - q[0]), q[1] + WIDTH * (q[2] - q[1])
+        low, high = q[1] - WIDTHS[m][0] * (q[1] - q[0]), q[1] + WIDTHS[m][1] * (q[2] - q[1])
         kept = kept & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
         shown |= dict(zip(names, map(F.exp, (F.col(m), low, high)), strict=True))
     return rows.withColumns(shown | {"kept": kept}).drop("of", "lang", *MEASURES, *[f"{m}_q" for m in MEASURES])

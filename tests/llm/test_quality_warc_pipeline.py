@@ -151,6 +151,16 @@ def test_perplexity_reads_order_and_other_scripts(spark):
     assert all(got[1000 + i].spelling <= got[1000 + i].spelling_high and not got[1000 + i].kept for i in range(20)) and all(got[1000 + i].perplexity > got[1000 + i].high for i in range(20))
 
 
+def test_bands_of_each_side_have_their_width(spark):
+    """Quartile distance 1 around 100; one text just inside and one just outside of each band."""
+    rows = [(i, "en", False, 100 + (i - 200) / 100, 100 + (i - 200) / 100) for i in range(401)]
+    edges = [(k, side, w) for k, m in enumerate(("nats", "letters")) for side, w in zip((-1, 1), perplexity.WIDTHS[m], strict=True)]
+    rows += [(1000 + 2 * j + out, "en", False, *(100 + side * (w + (0.5 if out else -0.5)) if k == of else 100.0 for of in (0, 1))) for j, (k, side, w) in enumerate(edges) for out in (0, 1)]
+    got = {r.doc_id: r.kept for r in perplexity.banded(spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, nats double, letters double")).collect()}
+    assert all(got[i] for i in range(401)) and [got[1000 + i] for i in range(8)] == [True, False] * 4
+    assert all(w < 10 for widths in perplexity.WIDTHS.values() for w in widths)
+
+
 def labelled_corpus(spark, words, n=700):
     draw = random.Random(11)
     rows, labels = [], []
