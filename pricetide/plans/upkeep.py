@@ -49,6 +49,12 @@ def product_history(s, d):
     return rows.select("deal_id", "product_id", day10(F.col("valid_from")).alias("day"))
 
 
+def product_history_all(s, d):
+    """Every product, where product_history asks for one in three."""
+    rows = H.product_history(_star(s, d), W.products(s, d).select("product_id"), trusted_only=True, merchant="e")
+    return rows.select("deal_id", "product_id", day10(F.col("valid_from")).alias("day"))
+
+
 def commodity_history(s, d):
     rows = H.commodity_history(_star(s, d), "Medium", "oz", trusted_only=True)
     return rows.select("deal_id", F.round(F.col("unit_price") * F.col("unit_size") * 100).cast("bigint").alias("cents"))
@@ -170,6 +176,7 @@ SQL = {
     "flyer_product_histories": """ SELECT product_id, count(*) AS n, min(CAST(round(advertised_price * 100) AS BIGINT)) AS least, count(DISTINCT flyer_id) AS flyers FROM obs
       WHERE product_id IN (SELECT product_id FROM obs WHERE flyer_id IN (300300, 100300, 300)) GROUP BY 1""",
     "product_history": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star WHERE product_id % 3 = 0 AND is_trusted AND merchant ILIKE '%e%'",
+    "product_history_all": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star WHERE is_trusted AND merchant ILIKE '%e%'",
     "commodity_history": """ SELECT deal_id, CAST(round(advertised_price * 100) AS BIGINT) AS cents FROM star WHERE is_trusted AND unit_type = 'oz' AND advertised_price IS NOT NULL
       AND (lower(category) = 'medium' OR (category IS NULL AND contains(' ' || lower(canonical_name) || ' ', ' medium ')))""",
     "ad_title_history": """, t AS (SELECT min(canonical_name) AS title FROM prod WHERE unit_size = 50) SELECT deal_id, CAST(round(advertised_price * 100) AS BIGINT) AS cents FROM star, t
@@ -201,7 +208,7 @@ _PLAIN = {"find_coupons", "append_stacks"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [
-        flyer_deals_one, flyer_product_histories, product_history, commodity_history, ad_title_history, flat_history, merge_observations, merge_products_stored,
+        flyer_deals_one, flyer_product_histories, product_history, product_history_all, commodity_history, ad_title_history, flat_history, merge_observations, merge_products_stored,
         merge_flyers, set_trust, set_doorbuster, update_prices, update_shelf_prices, unpriced_deals, delete_flyers, flyers_without_deals, apply_price_feed,
         find_coupons, append_stacks, rate_products,
     ]
