@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pricetide.llm import decontaminate, jaccard, language, mixing, perplexity, quality, substrings, tokens, toxicity, warc
+from pricetide.llm import decontaminate, jaccard, language, mixing, perplexity, quality, resample, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
         "op9_adaptive_jaccard": jaccard.op9_adaptive_jaccard,
         "op10_rank_order_language": language.op10_rank_order_language,
+        "op13_importance_resampling": resample.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": mixing.OP2_SQL, "op3_super_kmer_dedup": substrings.OP3_SQL, "op5_warc_archives": warc.OP5_SQL}
+    return {
+        "op2_pareto_mix": mixing.OP2_SQL,
+        "op3_super_kmer_dedup": substrings.OP3_SQL,
+        "op5_warc_archives": warc.OP5_SQL,
+        "op13_importance_resampling": resample.OP13_SQL,
+    }
