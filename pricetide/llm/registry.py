@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pricetide.llm import decontaminate, jaccard, language, mixing, perplexity, quality, resample, substrings, tokens, toxicity, warc
+from pricetide.llm import conversation_trie, decontaminate, graph_search, jaccard, language, mixing, perplexity, quality, resample, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_toxicity": toxicity.op8_compression_toxicity,
         "op9_adaptive_jaccard": jaccard.op9_adaptive_jaccard,
         "op10_rank_order_language": language.op10_rank_order_language,
+        "op11_graph_neighbours": graph_search.op11_graph_neighbours,
+        "op12_conversation_trie": conversation_trie.op12_conversation_trie,
         "op13_importance_resampling": resample.op13_importance_resampling,
     }
 
@@ -32,5 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_pareto_mix": mixing.OP2_SQL,
         "op3_super_kmer_dedup": substrings.OP3_SQL,
         "op5_warc_archives": warc.OP5_SQL,
+        "op11_graph_neighbours": graph_search.OP11_SQL,
+        "op12_conversation_trie": conversation_trie.OP12_SQL,
         "op13_importance_resampling": resample.OP13_SQL,
     }
