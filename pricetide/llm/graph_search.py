@@ -331,6 +331,8 @@ def neighbours(rows: DataFrame, wanted: int = WANTED, every: int = EVERY, beam:
                 if kind == 0:
                     held.add(dim, size, vectors, ids, ends, links)
                     continue
+                if not held.parts and not held.ready:
+                    continue  # the hash dealt this shard nothing
                 held.prepare()
                 out = held.answer(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim), wanted, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
