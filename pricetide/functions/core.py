@@ -56,6 +56,11 @@ def text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def truthy_text(col: Column) -> Column:
+    """Whether there is any text."""
+    return F.coalesce(F.length(col.cast("string")) > 0, F.lit(False))
+
+
 def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 

@@ -143,7 +143,7 @@ def with_past(deals: DataFrame, hist: DataFrame, asked: DataFrame, max_gap_days:
     is still open; otherwise every scope would carry, and re-run, the plans of all earlier ones.
     """
     own_keys, all_keys, ad_keys = ["product_id", "banner"], ["product_id"], ["parent", "banner"]
-    line = ["day", "end_day", "seq", "price", "trusted", "outlier"]
+    line = ["day", "end_day", "from_day", "seq", "price", "trusted", "outlier"]
     first = asked.select("product_id", "banner", "parent", "any_banner", "day").distinct()
     rows_1 = hist.select(*own_keys, *line).join(first.select("product_id").distinct(), "product_id", "left_semi")
     own = cut_lineage(past_stats(rows_1, first.filter("banner <> ''"), own_keys, max_gap_days))

@@ -234,7 +234,18 @@ def oracle_sql() -> dict[str, str]:
       arg_min(price, (day, seq)) AS price, CAST(arg_max(week_end, (day, seq)) AS VARCHAR) AS end_day, count(*) AS observations_count,
       bool_or(trusted) AS is_trusted, bool_or(outlier) AS is_outlier FROM numbered GROUP BY product_id, ep"""
     sql["promo_episodes"] = episodes
-    sql["episodes_fold"] = episodes
+    sql["episodes_fold"] = _with(t) + """, hard AS (SELECT CASE WHEN raw_deal_id % 3 = 0 THEN -1 ELSE product_id END AS product_id,
+        CASE WHEN raw_deal_id % 3 = 0 AND raw_deal_id % 2 = 0 THEN DATE '1995-01-02' ELSE week END AS day, CASE WHEN raw_deal_id % 5 <> 0 THEN week_end END AS fin,
+        CASE WHEN raw_deal_id % 97 = 0 THEN deal_id + 1152921504606846976 ELSE deal_id END AS seq, advertised_price AS price, is_trusted FROM obs WHERE advertised_price IS NOT NULL),
+      folds AS (SELECT product_id, list_reduce(list_prepend(
+          {'price': -1.0::DOUBLE, 'day': DATE '1900-01-01', 'fin': DATE '1900-01-01', 'episodes': 0::BIGINT, 'n': 0::BIGINT, 'longest': 0::BIGINT, 'starts': 0::BIGINT, 'sure': false, 'trusted': 0::BIGINT},
+          list({'price': price::DOUBLE, 'day': day, 'fin': fin, 'episodes': 0::BIGINT, 'n': 0::BIGINT, 'longest': 0::BIGINT, 'starts': 0::BIGINT, 'sure': is_trusted, 'trusted': 0::BIGINT} ORDER BY day, seq)),
+        lambda a, x: CASE WHEN abs(x.price - a.price) < 0.005 AND date_diff('day', a.fin, x.day) BETWEEN 0 AND 10
+          THEN {'price': x.price, 'day': x.day, 'fin': coalesce(x.fin, a.fin), 'episodes': a.episodes, 'n': a.n + 1, 'longest': greatest(a.longest, a.n + 1), 'starts': a.starts,
+                'sure': a.sure OR x.sure, 'trusted': a.trusted + CASE WHEN x.sure AND NOT a.sure THEN 1 ELSE 0 END}
+          ELSE {'price': x.price, 'day': x.day, 'fin': coalesce(x.fin, x.day), 'episodes': a.episodes + 1, 'n': 1::BIGINT, 'longest': greatest(a.longest, 1), 'starts': a.starts + date_diff('day', DATE '1970-01-01', x.day),
+                'sure': x.sure, 'trusted': a.trusted + CASE WHEN x.sure THEN 1 ELSE 0 END} END) AS f, count(*) AS observations FROM hard GROUP BY 1)
+      SELECT product_id, f.episodes AS episodes, observations, f.starts AS start_days, f.longest AS longest, f.trusted AS trusted FROM folds"""
     sql["episodes_hashed_ids"] = _with(t) + """ SELECT product_id, count(*) AS observations, CAST(min(week) AS VARCHAR) AS first_day, min(advertised_price) AS least,
       max(advertised_price) AS most, bool_or(is_trusted) AS is_trusted FROM star WHERE advertised_price IS NOT NULL GROUP BY product_id"""
     past_cols = """CAST(qd AS VARCHAR) AS day, n_past, h_min, h_max, b_min, b_max, round(b_avg, 6) AS b_avg, last_price, CAST(last_end AS VARCHAR) AS last_end FROM past"""
@@ -270,17 +281,17 @@ def oracle_sql() -> dict[str, str]:
         CASE kind WHEN 3 THEN 300 END AS points_bonus, CASE kind WHEN 6 THEN n * 1.0 END AS points_multiplier,
         CASE kind WHEN 3 THEN n + 19.0 WHEN 4 THEN n * 4.0 END AS spend_threshold, CASE kind WHEN 3 THEN 8.22 END AS est_reward_val,
         CASE kind WHEN 3 THEN round(n + 19.0 - 8.22, 2) WHEN 4 THEN CASE WHEN n * 4 > 5 THEN n * 4.0 - 5 END END AS est_net_price
-      FROM k WHERE kind IN (0, 1, 2, 3, 4, 5, 6, 8, 9, 10)"""
+      FROM k"""
     sql["effective_price"] = _with(t) + """, k AS (SELECT deal_id, kind, l_linenumber AS n, cents, CAST(round(p_retailprice * 100) AS BIGINT) AS base
         FROM obs JOIN part ON product_id = p_partkey)
       SELECT deal_id, CASE kind WHEN 0 THEN (2 * base * n + n + 1) // (2 * (n + 1)) WHEN 1 THEN cents WHEN 2 THEN 0 WHEN 3 THEN n * 100 + 1900 - 822
         WHEN 4 THEN CASE WHEN n * 4 > 5 THEN CAST(floor(base * (n * 4 - 5) / (n * 4.0) + 0.5) AS BIGINT) ELSE base END
         WHEN 5 THEN (2 * base * (100 - 5 * n) + 100) // 200 WHEN 8 THEN base - n * 100 - 25 WHEN 9 THEN cents WHEN 10 THEN base - n * 100 END AS effective_cents
-      FROM k WHERE kind IN (0, 1, 2, 3, 4, 5, 8, 9, 10)"""
+      FROM k"""
     sql["dynamic_point_value"] = _with(t) + f""" SELECT flyer_id, {exact_round('v', 4)} AS point_value FROM (
       SELECT flyer_id, round(avg((l_linenumber + 0.5::DOUBLE) / (l_linenumber * 50)), 12) AS v FROM obs WHERE kind = 2 GROUP BY 1)"""
-    sql["points_tiers"] = _with(t) + """, k AS (SELECT deal_id, l_linenumber * 50 AS pts, (l_linenumber + 0.5) / (l_linenumber * 50) AS y FROM obs WHERE kind = 2)
-      SELECT deal_id, CASE WHEN y >= 0.10 THEN 'POINTS_FREEBIE' WHEN y >= 0.0274 * 1.3 AND y >= 0.03 THEN 'POINTS_DEAL' ELSE 'POINTS_REDEMPTION' END AS tier FROM k"""
+    sql["points_tiers"] = _with(t) + """, k AS (SELECT deal_id, kind, l_linenumber * 50 AS pts, (l_linenumber + 0.5) / (l_linenumber * 50) AS y FROM obs)
+      SELECT deal_id, CASE WHEN kind <> 2 THEN NULL WHEN y >= 0.10 THEN 'POINTS_FREEBIE' WHEN y >= 0.0274 * 1.3 AND y >= 0.03 THEN 'POINTS_DEAL' ELSE 'POINTS_REDEMPTION' END AS tier FROM k"""
     f = (TILES, FEED)
     sql["group_items"] = _with(*f) + " SELECT flyer_id, group_key, deal_id, canonical_name FROM items"
     sql["group_split"] = _with(*f, SPLIT) + " SELECT flyer_id, group_key, n, split FROM decided"
@@ -347,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT flyer_id, coalesce(p, 1) AS front_page FROM (SELECT DISTINCT flyer_id FROM placed) LEFT JOIN ok USING (flyer_id)"""
     sql["overlap_purge"] = _with(t) + """ SELECT DISTINCT o.flyer_id FROM flyer o JOIN flyer n ON o.merchant = n.merchant AND o.flyer_id <> n.flyer_id AND n.is_trusted AND NOT o.is_trusted
         AND o.week_end >= n.week AND o.week <= n.week_end"""
-    sql["orphans"] = _with(t) + " SELECT product_id FROM prod WHERE product_id NOT IN (SELECT product_id FROM obs WHERE merchant = 'ASIA')"
+    sql["orphans"] = _with(t) + " SELECT product_id FROM prod WHERE product_id NOT IN (SELECT product_id FROM obs WHERE promo_type = 'doorbuster')"
     sql["upsert_observations"] = _with(t) + """ SELECT flyer_id, product_id, raw_deal_id, max(CAST(round(advertised_price * 100) AS BIGINT)) FILTER (WHERE true) AS top_cents, 1 AS n FROM
         (SELECT *, row_number() OVER (PARTITION BY flyer_id, product_id, raw_deal_id ORDER BY cents DESC) AS r FROM obs) WHERE r = 1 GROUP BY ALL"""
     sql["merge_products"] = _with(t) + """ SELECT canonical_name, arg_max(brand, (product_id)) FILTER (WHERE brand IS NOT NULL) AS brand,
@@ -385,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
     edge_l, edge_r = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
     words = " ".join(f"WHEN regexp_matches(low, '{edge_l}{k}{edge_r}') THEN '{d}'" for k, d in V.DEPARTMENT_KEYWORDS)
     sql["document_departments"] = f"""SELECT * FROM (SELECT doc_id, CASE {words} END AS department FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE department IS NOT NULL"""
-    sql["points_value"] = _with(t) + """ SELECT deal_id, l_linenumber * 50 AS pts, l_linenumber + 0.5 AS saved_value FROM obs WHERE kind = 2"""
+    sql["points_value"] = _with(t) + """ SELECT deal_id, l_linenumber * 50 AS pts, l_linenumber + 0.5 AS saved_value FROM obs"""
     sql["alcohol_flags"] = _with(*f) + " SELECT count(*) FILTER (WHERE product_id % 11 = 0) AS alcohol FROM feed"
     sql["loyalty_program"] = _with(t) + """ SELECT flyer_id, CASE WHEN flyer_id % 10 = 0 OR merchant = 'ASIA' THEN 'for U' ELSE 'Giant Choice' END AS program FROM flyer"""
     sql["json_ingest"] = _with(t, placed) + " SELECT flyer_id, page_number, count(*) AS n, count(*) AS priced FROM placed GROUP BY ALL"

@@ -111,8 +111,18 @@ def promo_episodes(s, d):
 
 
 def episodes_fold(s, d):
-    """Episodes of every product."""
-    return promo_episodes(s, d)
+    """Episodes, per product, of a history that is hard to cut: one product and one day of it hold a third of all rows, ids lie close together but
+    for a few far ones, and every fifth circular names no end."""
+    c = F.col
+    line = F.floor(c("deal_id") / 1048576)
+    hot = line % 3 == 0
+    far = F.when(line % 97 == 0, c("deal_id") + F.lit(1 << 60)).otherwise(c("deal_id"))
+    rows = _star(s, d).select(
+        F.when(hot, -1).otherwise(c("product_id")).alias("product_id"), far.alias("deal_id"), "advertised_price", "unit_price", "promo_type", "is_trusted", "recorded_at",
+        F.when(hot & (line % 2 == 0), "1995-01-02").otherwise(c("valid_from")).alias("valid_from"), F.when(line % 5 != 0, c("valid_to")).alias("valid_to"))
+    e = EP.cluster_episodes(rows, ["product_id"])
+    return e.groupBy("product_id").agg(F.count("*").alias("episodes"), F.sum("observations_count").alias("observations"), F.sum(F.unix_date("start_day")).alias("start_days"),
+                                       F.max("observations_count").alias("longest"), F.count_if("is_trusted").alias("trusted"))
 
 
 def episodes_hashed_ids(s, d):
@@ -182,17 +192,16 @@ def historical_badges(s, d):
 
 # ------------------------------------------------------------------ promotions
 def promo_extract(s, d):
-    o = P.with_promo(W.observations(s, d).filter(F.col("promo_detail").isNotNull()), ["promo_detail"])
+    o = P.with_promo(W.observations(s, d), ["promo_detail"])
     return o.select("deal_id", *(F.col(f"promo.{f}").alias(f) for f in (
         "promo_type", "qualifying_qty", "stated_unit_price", "coupon_price", "coupon_discount", "points_cost", "points_saved_val",
         "points_bonus", "points_multiplier", "spend_threshold", "est_reward_val", "est_net_price")))
 
 
 def effective_price(s, d):
-    o = W.observations(s, d).filter(F.col("promo_detail").isNotNull())
+    o = W.observations(s, d)
     base = W._read(s, d, "part").select(F.col("p_partkey").alias("product_id"), (F.round(F.col("p_retailprice") * 100) / 100.0).alias("list"))
-    o = o.join(base, "product_id").withColumn("e", only_some(let(
-        P.promo_of([F.col("promo_detail")]), lambda p: P.effective_price(p, F.col("list")))))
+    o = o.join(base, "product_id").withColumn("e", let(P.promo_of([F.col("promo_detail")]), lambda p: P.effective_price(p, F.col("list"))))
     return o.select("deal_id", F.round(F.col("e") * 100).cast("bigint").alias("effective_cents"))
 
 
@@ -201,12 +210,12 @@ def dynamic_point_value(s, d):
 
 
 def points_tiers(s, d):
-    o = P.with_promo(W.observations(s, d), ["promo_detail"]).filter(F.col("promo.promo_type") == "points_redemption")
+    o = P.with_promo(W.observations(s, d), ["promo_detail"])
     y = F.col("promo.points_saved_val") / F.col("promo.points_cost")
     pv = P.loyalty(F.lit("Giant"), F.lit(""))["point_value"]
     tier = F.when((F.col("promo.points_cost") <= 10) | (y >= 0.10), "POINTS_FREEBIE").when(
         (y >= pv * 1.3) & (y >= 0.03), "POINTS_DEAL").otherwise("POINTS_REDEMPTION")
-    return o.select("deal_id", tier.alias("tier"))
+    return o.select("deal_id", F.when(F.col("promo.promo_type") == "points_redemption", tier).alias("tier"))
 
 
 # ------------------------------------------------------------------ groups and feed
@@ -335,9 +344,9 @@ def overlap_purge(s, d):
 
 
 def orphans(s, d):
+    """Products that are left without observations when all but doorbusters are purged."""
     c = W.catalog(s, d)
-    asia = c.observations.join(c.flyers.filter("merchant = 'ASIA'"), "flyer_id", "left_semi")
-    return M.orphan_products(c.products, asia).select("product_id")
+    return M.orphan_products(c.products, c.observations.filter("promo_type = 'doorbuster'")).select("product_id")
 
 
 def upsert_observations(s, d):
@@ -477,8 +486,8 @@ def report_filters(s, d):
 
 def points_value(s, d):
     """Points, saved value and display tag of redemption offers."""
-    order, line = F.floor(F.col("raw_deal_id") / 10), F.col("raw_deal_id") % 10
-    offers = _feed(s, d).filter(order % 16 == 2).withColumn("promo_detail", F.concat(
+    line = F.col("raw_deal_id") % 10
+    offers = _feed(s, d).withColumn("promo_detail", F.concat(
         F.lit("FREE when you redeem "), (line * 50).cast("string"), F.lit(" CHOICE points SAVE UP TO $"), line.cast("string"), F.lit(".50")))
     return FD.points_value(offers).select("deal_id", "pts", "saved_value")
 

@@ -44,14 +44,13 @@ def flyer_product_histories(s, d):
 
 
 def product_history(s, d):
-    asked = W.products(s, d).filter("product_id % 3 = 0").select("product_id")
-    rows = H.product_history(_star(s, d), asked, trusted_only=True, merchant="e")
+    rows = H.product_history(_star(s, d), W.products(s, d).select("product_id"), trusted_only=True, merchant="e")
     return rows.select("deal_id", "product_id", day10(F.col("valid_from")).alias("day"))
 
 
 def product_history_all(s, d):
-    """Every product, where product_history asks for one in three."""
-    rows = H.product_history(_star(s, d), W.products(s, d).select("product_id"), trusted_only=True, merchant="e")
+    """Every product at every merchant, trusted or not."""
+    rows = H.product_history(_star(s, d), W.products(s, d).select("product_id"))
     return rows.select("deal_id", "product_id", day10(F.col("valid_from")).alias("day"))
 
 
@@ -175,8 +174,8 @@ SQL = {
     "flyer_deals_one": f" SELECT deal_id, page_number, CAST(round(advertised_price * 100) AS BIGINT) AS cents FROM star WHERE flyer_id = {ONE} AND is_front_page AND is_trusted",
     "flyer_product_histories": """ SELECT product_id, count(*) AS n, min(CAST(round(advertised_price * 100) AS BIGINT)) AS least, count(DISTINCT flyer_id) AS flyers FROM obs
       WHERE product_id IN (SELECT product_id FROM obs WHERE flyer_id IN (300300, 100300, 300)) GROUP BY 1""",
-    "product_history": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star WHERE product_id % 3 = 0 AND is_trusted AND merchant ILIKE '%e%'",
-    "product_history_all": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star WHERE is_trusted AND merchant ILIKE '%e%'",
+    "product_history": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star WHERE is_trusted AND merchant ILIKE '%e%'",
+    "product_history_all": " SELECT deal_id, product_id, CAST(week AS VARCHAR) AS day FROM star",
     "commodity_history": """ SELECT deal_id, CAST(round(advertised_price * 100) AS BIGINT) AS cents FROM star WHERE is_trusted AND unit_type = 'oz' AND advertised_price IS NOT NULL
       AND (lower(category) = 'medium' OR (category IS NULL AND contains(' ' || lower(canonical_name) || ' ', ' medium ')))""",
     "ad_title_history": """, t AS (SELECT min(canonical_name) AS title FROM prod WHERE unit_size = 50) SELECT deal_id, CAST(round(advertised_price * 100) AS BIGINT) AS cents FROM star, t

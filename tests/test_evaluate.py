@@ -150,9 +150,9 @@ def fold(rows):
     for r in sorted(rows, key=lambda r: (r.product_id, r.day, r.seq)):
         e = last.get(r.product_id)
         if e and abs(r.price - e["price"]) < 0.005 and 0 <= (r.day - e["end"]).days <= 10:
-            e.update(end=r.end_day, n=e["n"] + 1, trusted=e["trusted"] or r.trusted)
+            e.update(end=r.end_day or e["end"], n=e["n"] + 1, trusted=e["trusted"] or r.trusted)
         else:
-            e = last[r.product_id] = dict(key=r.product_id, seq=r.seq, price=r.price, end=r.end_day, n=1, trusted=r.trusted)
+            e = last[r.product_id] = dict(key=r.product_id, seq=r.seq, price=r.price, end=r.end_day or r.from_day, n=1, trusted=r.trusted)
             out.append(e)
     return sorted((e["key"], e["seq"], e["price"], e["n"], e["trusted"]) for e in out)
 
