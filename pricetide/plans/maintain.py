@@ -90,26 +90,43 @@ def delete_flyers(c: Catalog, flyer_ids: DataFrame) -> Catalog:
 
 
 def superseded_flyers(flyers: DataFrame, live: DataFrame) -> DataFrame:
-    """Untrusted circulars of a merchant that overlap a live circular of it (days inclusive).
+    """Untrusted circulars of a merchant that overlap a live circular of it (days inclusive); live has one row a circular.
 
     Days are compared as text, so a missing one is an empty text, before every other.  A live merchant may be a
-    part of an old one's name: old names meet live ones through their substrings, an equi-join of short name lists.
+    part of an old one's name: old names meet live ones through their substrings of lengths that live names have.
+
+    No old circular meets a live one. A merchant's live circulars become an index by first day: the latest end of all that begin until
+    then, and the latest of another circular (for one that is old and live itself). An old circular looks its last
+    day up; what is found must not end before its first day. Index and questions have a row a merchant and day, whatever the number of circulars.
     """
     def span(prefix: str) -> list[Column]:
         return [F.coalesce(day10(F.col(f"valid_{end}")), F.lit("")).alias(f"{prefix}_{end}") for end in ("from", "to")]
 
     old = flyers.filter(~F.col("is_trusted")).select("flyer_id", F.lower("merchant").alias("m"), *span("o"))
-    new = live.select(F.col("flyer_id").alias("live_id"), F.lower("merchant").alias("live_m"), *span("l"))
-    size = F.length("m")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
-        F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("m"), i, n))))
-    names = old.select("m").distinct().withColumn("live_m", F.explode(F.array_distinct(F.when(size > 0, parts).otherwise(F.array(F.lit(""))))))
+    new = live.select(F.col("flyer_id").alias("live_id"), F.lower("merchant").alias("live_m"), *span("l")).distinct()
+    sizes, size = new.agg(F.collect_set(F.length("live_m")).alias("sizes")), F.length("m")  # one row
+    parts = F.flatten(F.transform("sizes", lambda n: F.when(size >= n, F.transform(
+        F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col("m"), i, n))).otherwise(F.array())))
+    names = old.select("m").distinct().crossJoin(F.broadcast(sizes)).select("m",  F.explode(F.array_distinct(parts)).alias("live_m"))
     names = names.join(new.select("live_m").distinct(), "live_m", "left_semi")
-    return (
-        old.join(names, "m").join(new, "live_m")
-        .filter((F.col("flyer_id") != F.col("live_id")) & (F.col("o_to") >= F.col("l_from")) & (F.col("o_from") <= F.col("l_to")))
-        .select("flyer_id").distinct()
-    )
+
+    day = ["live_m", "l_from"]
+    end = F.struct("l_to", "live_id")
+    latest = new.groupBy(*day).agg(F.max(end).alias("a"))
+    other = new.join(latest, day).filter(F.col("live_id") != F.col("a.live_id")).groupBy(*day).agg(F.max(end).alias("b"))
+    by_day = Window.partitionBy("live_m").orderBy("l_from")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    index = latest.join(other, day, "left").withColumn("first", F.max("a").over(so_far)).withColumn("before", F.lag("first").over(by_day))
+    beaten = F.greatest("b", F.when(F.col("before").isNotNull(), F.least("a", "before")))
+    index = index.withColumn("second", F.max(beaten).over(so_far)).select("live_m", F.col("l_from").alias("on"), F.lit(0).alias("asks"), "first", "second")
+
+    old = old.join(names, "m")
+    asked = old.select("live_m", F.col("o_to").alias("on")).distinct().select("live_m", "on", F.lit(1).alias("asks"), *(
+        F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("first", "second")))
+    known = Window.partitionBy("live_m").orderBy("on", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = index.unionByName(asked).withColumns({c: F.last(c, ignorenulls=True).over(known) for c in ("first", "second")}).filter("asks = 1")
+    hit = F.when(F.col("first.live_id") == F.col("flyer_id"), F.col("second.l_to")).otherwise(F.col("first.l_to")) >= F.col("o_from")
+    return old.join(found.select("live_m", F.col("on").alias("o_to"), "first", "second"), ["live_m", "o_to"]).filter(hit).select("flyer_id").distinct()
 
 
 def resync(c: Catalog, flyer: DataFrame, deals: DataFrame, order: Column) -> Catalog:
