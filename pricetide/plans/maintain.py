@@ -89,6 +89,15 @@ def delete_flyers(c: Catalog, flyer_ids: DataFrame) -> Catalog:
     return Catalog(obs, prune_orphans(c.products, obs), c.flyers.join(gone, "flyer_id", "left_anti"))
 
 
+def names_within(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (m, live_m) of a name of names (m) that holds a name of parts (live_m), by an equi-join of the substrings of lengths that parts have."""
+    sizes, size = parts.agg(F.collect_set(F.length("live_m")).alias("sizes")), F.length("m")  # one row
+    pieces = F.flatten(F.transform("sizes", lambda n: F.when(size >= n, F.transform(
+        F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col("m"), i, n))).otherwise(F.array())))
+    found = names.select("m").distinct().crossJoin(F.broadcast(sizes)).select("m", F.explode(F.array_distinct(pieces)).alias("live_m"))
+    return found.join(parts.select("live_m").distinct(), "live_m", "left_semi")
+
+
 def superseded_flyers(flyers: DataFrame, live: DataFrame) -> DataFrame:
     """Untrusted circulars of a merchant that overlap a live circular of it (days inclusive); live has one row a circular.
 
@@ -296,13 +305,24 @@ def all_stacks(stacks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ratings, freshness, schema
-def rate_products(ratings: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (product_key, rating) changes; giving the same rating again clears it."""
-    c = changes.select("product_key", F.col("rating").alias("new"))
-    out = ratings.join(c, "product_key", "full_outer")
-    return out.select("product_key", F.when(F.col("new").isNull(), F.col("rating")).when(
-        F.col("new").eqNullSafe(F.col("rating")), None).otherwise(F.col("new")).alias("rating")).filter(
-        F.col("rating").isNotNull())
+def rate_products(ratings: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Apply (product_key, rating) changes one after the other; giving the same rating again clears it, null changes nothing. One row a key.
+
+    ``order`` names the column that orders a key's changes (else by rating). What a key ends with depends on its last change and on how many
+    equal ones stand before it without another between, and on the stored rating only if there is no other: no change is folded row by row.
+    """
+    at = F.struct(F.col(order) if order else F.lit(0), "rating")
+    c = changes.filter(F.col("rating").isNotNull() & F.col("product_key").isNotNull())
+    last = c.groupBy("product_key").agg(F.max_by("rating", at).alias("new"))
+    keyed = c.join(last, "product_key")
+    other = keyed.groupBy("product_key").agg(F.max(F.when(F.col("rating") != F.col("new"), at)).alias("other"))
+    run = keyed.join(other, "product_key").groupBy("product_key", "new", F.col("other").isNull().alias("all_equal")).agg(
+        F.count_if(F.col("other").isNull() | (at > F.col("other"))).alias("times"))
+    stored = ratings.groupBy("product_key").agg(F.max("rating").alias("rating"))
+    out = stored.join(run, "product_key", "full_outer")
+    had = F.coalesce(F.col("all_equal") & (F.col("rating") == F.col("new")), F.lit(False))
+    now = F.when((F.col("times") + F.when(had, 1).otherwise(0)) % 2 == 1, F.col("new"))
+    return out.select("product_key", F.when(F.col("new").isNull(), F.col("rating")).otherwise(now).alias("rating")).filter(F.col("rating").isNotNull())
 
 
 def sync_status(c: Catalog, stores: DataFrame, today: str | Column) -> DataFrame:
@@ -316,9 +336,10 @@ def sync_status(c: Catalog, stores: DataFrame, today: str | Column) -> DataFrame
             F.coalesce("source_type", F.lit("")).alias("source"),
             F.coalesce("deal_count", F.lit(0)).alias("deals")).alias("f"))
     latest = f.groupBy("flyer_merchant").agg(F.max("f").alias("f"))
-    pairs = stores.select("merchant").distinct().join(
-        latest, F.contains(F.lower("flyer_merchant"), F.lower("merchant")), "left")
-    best = pairs.groupBy("merchant").agg(F.max("f").alias("f"))
+    asked = stores.select("merchant").distinct()
+    names = latest.withColumn("m", F.lower("flyer_merchant")).join(names_within(latest.select(F.lower("flyer_merchant").alias("m")), asked.select(F.lower("merchant").alias("live_m"))), "m")
+    best = names.groupBy(F.col("live_m").alias("low")).agg(F.max("f").alias("f"))
+    best = asked.withColumn("low", F.lower("merchant")).join(best, "low", "left")
     v_from, v_to = F.col("f.v_from"), F.col("f.v_to")
 
     def say(*pieces: Column | str) -> Column:
@@ -349,18 +370,32 @@ def add_missing_columns(df: DataFrame, defaults: dict[str, tuple[str, object]])
 
 
 def swap_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), keep_backup: bool = False) -> None:
-    """Write beside the live table, then rename into place; the old version stays as '<path>.bak' on request."""
+    """Write beside the live table, then rename into place; the old version stays as '<path>.bak' on request.
+
+    If the second rename fails the old version is put back. Between the two, readers find no table: ``versions.VersionedTable`` has no such moment.
+    """
     spark = df.sparkSession
     staging = f"{path}.staging"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(staging)
     jvm = spark.sparkContext._jvm
     live, stage, bak = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, f"{path}.bak"))
     fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(bak):
-        fs.delete(bak, True)
-    if fs.exists(live):
-        fs.rename(live, bak)
-    fs.rename(stage, live)
+    had = fs.exists(live)
+    if had:
+        if fs.exists(bak):
+            fs.delete(bak, True)
+        if not fs.rename(live, bak):
+            raise OSError(f"{path} cannot be renamed")
+    try:
+        done = fs.rename(stage, live)
+    except Exception:
+        if had and not fs.exists(live):
+            fs.rename(bak, live)
+        raise
+    if not done:
+        if had and not fs.exists(live):
+            fs.rename(bak, live)
+        raise OSError(f"{staging} cannot be renamed to {path}")
     if not keep_backup and fs.exists(bak):
         fs.delete(bak, True)
 

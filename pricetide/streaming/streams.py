@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pricetide.operators.episodes import MAX_GAP_DAYS
+from pricetide.operators.episodes import MAX_GAP_DAYS, Fold, State
+from pricetide.plans.versions import VersionedTable
 
-EPISODES = "product_id long, price double, start_day date, end_day date, observations_count long"
-_STATE = "price double, start_day date, end_day date, n long"
+EPISODES = "product_id long, start_day date, start_seq long, price double, end_day date, observations_count long, is_trusted boolean, is_outlier boolean"
+_STATE = "price double, end int, trusted boolean, outlier boolean, start_day int, start_seq long, n long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROWS = pa.schema([("day", pa.date32()), ("end_day", pa.date32()), ("from_day", pa.date32()), ("seq", pa.int64()), ("price", pa.float64()), ("trusted", pa.bool_()), ("outlier", pa.bool_())])
 
 
 def ingest(spark: SparkSession, landing: str, schema: str, checkpoint: str,
@@ -24,36 +29,56 @@ def ingest(spark: SparkSession, landing: str, schema: str, checkpoint: str,
     )
 
 
+def ingest_into(table: VersionedTable, landing: str, schema: str, checkpoint: str, stream: str,
+                merge: Callable[[DataFrame, DataFrame], DataFrame], empty: str):
+    """Pick up new payload files and merge each micro-batch into a table exactly once, however often it is delivered; stop when caught up."""
+    return ingest(table.spark, landing, schema, checkpoint, lambda batch, i: table.merge_batch(batch, stream, i, merge, empty))
+
+
 def collapse_redelivered(deals: DataFrame, event_time: str = "recorded_at", delay: str = "14 days") -> DataFrame:
     """Tiles delivered again within the delay pass once."""
     return deals.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["flyer_id", "product_id", "raw_deal_id"])
 
 
+class RunningEpisode(StatefulProcessor):
+    """A product's current episode as value state; a micro-batch's rows of the product go on from it in one step."""
+
+    def __init__(self, max_gap_days: int):
+        self.max_gap = max_gap_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("episode", _STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        whole = pa.Table.from_pandas(batch[_ROWS.names], _ROWS, preserve_index=False).sort_by([("day", "ascending"), ("seq", "ascending")])
+        before, n_before = None, 0
+        if self.state.exists():
+            price, end, trusted, outlier, day, seq, n_before = self.state.get()
+            before = State(price, end, trusted, outlier, True, day, seq)
+        fold = Fold(whole.combine_chunks().to_batches()[0], [], self.max_gap)
+        n = whole.num_rows
+        marks = fold.run(0, n, before)
+        last = np.flatnonzero(np.append(marks["first"][1:] != marks["first"][:-1], True))  # the last row of each episode in the batch
+        counts = np.diff(last, prepend=-1)
+        ends = [(fold.after(0, int(i) + 1, before, {k: v[: i + 1] for k, v in marks.items()}), int(c) + (n_before if marks["first"][i] < 0 else 0)) for i, c in zip(last, counts, strict=True)]
+        state, total = ends[-1]
+        self.state.update((state.price, state.end, state.trusted, state.outlier, state.start_day, state.start_seq, total))
+        day = lambda x: np.datetime64(x, "D").astype(object)
+        yield pd.DataFrame([(key[0], day(s.start_day), s.start_seq, s.price, day(s.end), c, s.trusted, s.outlier) for s, c in ends], columns=[x.split()[0] for x in EPISODES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
 def running_episodes(obs: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
-    """Closed and current episodes per product as observations arrive.
+    """Episodes per product as observations arrive, by the rules of ``cluster_episodes``: sticky trust and doorbuster marks, ends that are kept.
 
-    Input: product_id, day, end_day, price, seq.  The state per product is its current episode only; every
-    batch emits the episodes it touched, so the latest row per (product, start day, price) is current.
+    Input: the columns of ``history_rows`` with product_id; a product's batches come in order of time.  Every batch emits the episodes it touched
+    as they are after it, so the last row of (product, start day, start id) is current.  Needs the RocksDB state store, which is set for the session.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = list(state.get) if state.exists else None
-        for pdf in batches:
-            touched = []
-            for row in pdf.sort_values(["day", "seq"]).itertuples():
-                gap = None if current is None else (row.day - current[2]).days
-                if current is not None and abs(row.price - current[0]) < 0.005 and 0 <= gap <= max_gap_days:
-                    current = [current[0], current[1], row.end_day, current[3] + 1]
-                else:
-                    if current is not None:
-                        touched.append((key[0], *current))
-                    current = [row.price, row.day, row.end_day, 1]
-            touched.append((key[0], *current))
-            yield pd.DataFrame(touched, columns=["product_id", "price", "start_day", "end_day", "observations_count"])
-        state.update(tuple(current))
-
-    return obs.groupBy("product_id").applyInPandasWithState(
-        advance, EPISODES, _STATE, "update", GroupStateTimeout.NoTimeout)
+    obs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return obs.select("product_id", *_ROWS.names).groupBy("product_id").transformWithStateInPandas(RunningEpisode(max_gap_days), EPISODES, "Update", "None")
 
 
 def session_episodes(obs: DataFrame, event_time: str = "ts", gap: str = "10 days") -> DataFrame:

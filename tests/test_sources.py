@@ -150,10 +150,9 @@ def test_export_round_trip(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    src = write(tmp_path, "in", {"product_id": 1, "day": "2026-08-05", "end_day": "2026-08-11", "price": 0.37, "seq": 1},
-                {"product_id": 1, "day": "2026-08-12", "end_day": "2026-08-18", "price": 0.37, "seq": 2},
-                {"product_id": 1, "day": "2026-08-19", "end_day": "2026-08-25", "price": 0.69, "seq": 3})
-    schema = "product_id bigint, day date, end_day date, price double, seq bigint"
+    rows = [("2026-08-05", "2026-08-11", 0.37, 1), ("2026-08-12", "2026-08-18", 0.37, 2), ("2026-08-19", "2026-08-25", 0.69, 3)]
+    src = write(tmp_path, "in", *[{"product_id": 1, "day": x, "end_day": y, "from_day": x, "price": p, "seq": i, "trusted": True, "outlier": False} for x, y, p, i in rows])
+    schema = "product_id bigint, day date, end_day date, from_day date, price double, seq bigint, trusted boolean, outlier boolean"
     q = T.running_episodes(spark.readStream.schema(schema).json(src)).writeStream.format("memory").queryName("eps").outputMode(
         "update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
