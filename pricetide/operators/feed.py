@@ -240,16 +240,18 @@ def viewer_search(items: DataFrame, groups: DataFrame, titles: DataFrame, query:
 
 # ------------------------------------------------------------------ ratings and products
 def unique_products(feed: DataFrame) -> DataFrame:
-    """One row per product key: attributes of its first deal, price of its cheapest."""
+    """One row per product key: attributes of its first deal, price of its cheapest.
+
+    The position is computed once a row; the two winners of a key are found on narrow rows and read by their ids.
+    """
     c = F.col
-    pos = F.struct(*deal_order())
-    return feed.groupBy("product_key").agg(
-        F.min_by(F.struct("product_id", F.col("canonical_name").alias("name"), text(c("brand")).alias("brand"),
-                          F.coalesce(blank(c("category")), F.lit("Other")).alias("category"), "department", "unit_type",
-                          "badge", "is_front_page"), pos).alias("a"),
-        F.min_by(F.struct(c("current_price").alias("price"), "unit_price", "deal_id"),
-                 F.struct(F.coalesce(c("current_price"), F.lit(float("inf"))), pos)).alias("p"),
-    ).select("product_key", "a.*", "p.*")
+    rows = feed.select(
+        "product_key", "deal_id", "product_id", c("canonical_name").alias("name"), text(c("brand")).alias("brand"), F.coalesce(blank(c("category")), F.lit("Other")).alias("category"),
+        "department", "unit_type", "badge", "is_front_page", c("current_price").alias("price"), "unit_price", F.struct(*deal_order()).alias("at"))
+    cheap = F.struct(F.coalesce(c("price"), F.lit(float("inf"))).alias("least"), "at", "price", "unit_price", "deal_id")
+    first = F.struct("at", "product_id", "name", "brand", "category", "department", "unit_type", "badge", "is_front_page")
+    best = rows.groupBy("product_key").agg(F.min(first).alias("a"), F.min(cheap).alias("p"))
+    return best.select("product_key", *(f"a.{x}" for x in ("product_id", "name", "brand", "category", "department", "unit_type", "badge", "is_front_page")), "p.price", "p.unit_price", "p.deal_id")
 
 
 def product_preferences(products: DataFrame, ratings: DataFrame, query: str = "", status: str = "all",

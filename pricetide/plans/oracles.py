@@ -364,13 +364,19 @@ def oracle_sql() -> dict[str, str]:
     sql["merge_products"] = _with(t) + """ SELECT canonical_name, arg_max(brand, (product_id)) FILTER (WHERE brand IS NOT NULL) AS brand,
         arg_max(category, (product_id)) FILTER (WHERE category IS NOT NULL) AS category, arg_max(unit_type, product_id) FILTER (WHERE unit_type IS NOT NULL) AS unit_type FROM prod GROUP BY 1"""
     sql["trust_marks"] = _with(t, latest) + " SELECT is_trusted, count(*) AS n FROM (SELECT CASE WHEN flyer_id IN (SELECT flyer_id FROM latest) THEN is_trusted ELSE false END AS is_trusted FROM obs) GROUP BY 1"
-    sql["shelf_price_ladder"] = _with(t) + """, pr AS (SELECT *, coalesce(base_price, advertised_price) AS hp FROM star WHERE base_price > 0 OR advertised_price > 0),
+    ladder = """, pr AS (SELECT *, coalesce(base_price, advertised_price) AS hp FROM star WHERE base_price > 0 OR advertised_price > 0),
       bp AS (SELECT product_id, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1), bn AS (SELECT canonical_name, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1),
       un AS (SELECT s.deal_id, s.flyer_id, s.page_number, last_shelf_price, coalesce(bp.p, bn.p) AS own, coalesce(brand, array_to_string(list_filter(str_split(
                regexp_replace(s.canonical_name, '\\b\\d+ oz.*', ''), ' '), lambda x: x <> '')[1:2], ' ')) AS term
              FROM star s LEFT JOIN bp USING (product_id) LEFT JOIN bn ON bn.canonical_name = s.canonical_name WHERE advertised_price IS NULL),
-      tm AS (SELECT flyer_id, term, arg_min(last_shelf_price, (page_number, deal_id)) FILTER (WHERE last_shelf_price > 0) AS a, arg_min(own, (page_number, deal_id)) FILTER (WHERE own IS NOT NULL) AS b FROM un GROUP BY ALL)
-      SELECT deal_id, term, coalesce(a, b) AS shelf_price FROM un JOIN tm USING (flyer_id, term)"""
+      tm AS (SELECT flyer_id, term, arg_min(last_shelf_price, (page_number, deal_id)) FILTER (WHERE last_shelf_price > 0) AS a, arg_min(own, (page_number, deal_id)) FILTER (WHERE own IS NOT NULL) AS b FROM un GROUP BY ALL),
+      ladder AS (SELECT deal_id, term, coalesce(a, b) AS shelf_price FROM un JOIN tm USING (flyer_id, term))"""
+    sql["shelf_price_ladder"] = _with(t) + ladder + " SELECT deal_id, term, shelf_price FROM ladder"
+    sql["enriched_prices"] = _with(t) + ladder + """, k AS (SELECT deal_id, kind, l_linenumber AS n, cents, CAST(round(shelf_price * 100) AS BIGINT) AS base FROM obs JOIN ladder USING (deal_id) WHERE shelf_price > 0)
+      SELECT deal_id, CASE kind WHEN 0 THEN (2 * base * n + n + 1) // (2 * (n + 1)) WHEN 1 THEN cents WHEN 2 THEN 0 WHEN 3 THEN n * 100 + 1900 - 822
+        WHEN 4 THEN CASE WHEN n * 4 > 5 THEN CAST(floor(base * (n * 4 - 5) / (n * 4.0) + 0.5) AS BIGINT) ELSE base END
+        WHEN 5 THEN (2 * base * (100 - 5 * n) + 100) // 200 WHEN 8 THEN base - n * 100 - 25 WHEN 9 THEN cents WHEN 10 THEN base - n * 100 END AS advertised_cents, base AS base_cents
+      FROM k WHERE kind IN (0, 1, 2, 3, 4, 5, 8, 9, 10)"""
     sql["free_stacks"] = """SELECT c_custkey AS stack_id, greatest(0, floor(c_acctbal) % 7 - 3) AS pay, (greatest(0, floor(c_acctbal) % 7 - 3) <= 0) AS is_free FROM customer
       WHERE greatest(0, floor(c_acctbal) % 7 - 3) <= 1"""
     sql["coupon_upsert"] = """WITH fresh AS (SELECT c_nationkey AS k, arg_max(c_acctbal, c_custkey) AS discount FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),

@@ -377,7 +377,8 @@ def shelf_price_ladder(s, d):
 
 
 def enriched_prices(s, d):
-    return M.enrich_prices(M.shelf_price_ladder(W.catalog(s, d)))
+    e = M.enrich_prices(M.shelf_price_ladder(W.catalog(s, d)))
+    return e.select("deal_id", *(F.round(F.col(f"{x}_price") * 100).cast("bigint").alias(f"{x}_cents") for x in ("advertised", "base")))
 
 
 def free_stacks(s, d):

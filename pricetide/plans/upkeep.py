@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide import schemas as S
-from pricetide.functions.core import day10
+from pricetide.functions.core import checkpoint_dir, day10
 from pricetide.operators import history as H
 from pricetide.plans import maintain as M
 from pricetide.plans import views as W
 from pricetide.plans.oracles import TILES, _with
+from pricetide.plans.versions import VersionedTable
 
 #: Circulars are numbered by region and week; these exist at every scale.
 ONE, SOME = 300300, [300300, 100300, 300]
@@ -135,12 +137,26 @@ def flyers_without_deals(s, d):
 
 
 def apply_price_feed(s, d):
-    open_deals = M.shelf_price_ladder(W.catalog(s, d))
+    """Products with even ids have no price of their own, past or stored; a feed names two prices for each term."""
+    c, own = W.catalog(s, d), F.col("product_id") % 2 == 1
+    obs = c.observations.withColumns({x: F.when(own, F.col(x)) for x in ("advertised_price", "base_price")})
+    open_deals = M.shelf_price_ladder(H.Catalog(obs, c.products.withColumn("last_shelf_price", F.when(own, F.col("last_shelf_price"))), c.flyers))
     feed = open_deals.select("term").distinct().select("term", F.length("term").cast("double").alias("price"))
     out = M.apply_price_feed(open_deals, feed.unionByName(feed.withColumn("price", F.lit(1.0))))
     return out.select("deal_id", "term", "shelf_price")
 
 
+def merge_batches(s, d):
+    """Three batches of tiles, some delivered again, merged into a versioned table: every part's last tile of its last batch."""
+    tiles = W._tiles(s, d).select(F.col("l_partkey").alias("product_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("raw_deal_id"), "cents", (F.col("l_linenumber") % 3).alias("batch"))
+    table = VersionedTable(s, f"{checkpoint_dir(s)}/merge-{uuid.uuid4()}")
+    columns = "product_id long, raw_deal_id long, cents long, batch long"
+    for i in (0, 1, 0, 2, 1, 2):
+        batch = tiles.filter(F.col("batch") == i).select(*(F.col(c).cast("long").alias(c) for c in ("product_id", "raw_deal_id", "cents", "batch")))
+        table.merge_batch(batch, "tiles", i, lambda old, new: M.merge_rows(old, M.last_per_key(new, ["product_id"], F.struct("raw_deal_id", "cents")), ["product_id"]), columns)
+    return table.read().withColumn("versions", F.lit(table.version().number))
+
+
 def _coupons(s, d) -> DataFrame:
     c = W._read(s, d, "customer").select(
         F.col("c_custkey").alias("coupon_id"), F.col("c_name").alias("coupon_key"), F.when(F.col("c_custkey") % 2 == 0, "STORE_COUPON").otherwise("MFG_COUPON").alias("coupon_type"),
@@ -164,10 +180,12 @@ def append_stacks(s, d):
 
 
 def rate_products(s, d):
-    r = W.ratings(s, d)
-    new = r.filter("length(product_key) % 2 = 0").unionByName(W.products(s, d).filter("product_id % 5 = 0").select(
-        F.concat(F.lit("pid_"), "product_id").alias("product_key"), F.lit("love").alias("rating")).join(r, "product_key", "left_anti"))
-    return M.rate_products(r, new).select("product_key", "rating")
+    """Changes of stored and new ratings, up to three of a product, in the order of at."""
+    r, p, key = W.ratings(s, d), W.products(s, d), F.concat(F.lit("pid_"), "product_id").alias("product_key")
+    seventh = p.filter("product_id % 7 = 0").select(key, F.lit("hide").alias("rating"), "product_id")
+    new = r.filter("length(product_key) % 2 = 0").withColumn("at", F.lit(1)).unionByName(p.filter("product_id % 5 = 0").select(key, F.lit("love").alias("rating"), F.lit(1).alias("at")))
+    new = new.unionByName(seventh.select("product_key", "rating", F.lit(2).alias("at"))).unionByName(seventh.filter("product_id % 2 = 0").select("product_key", "rating", F.lit(3).alias("at")))
+    return M.rate_products(r, new, "at")
 
 
 SQL = {
@@ -201,15 +219,29 @@ SQL = {
     "find_coupons": """ SELECT c_custkey AS coupon_id, c_custkey % 9 * 0.5::DOUBLE AS discount_amount FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey <> 2 AND c_custkey % 9 * 0.5 >= 1.0""",
     "append_stacks": """ SELECT coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, '') AS product_name, 'FLYER_SALE' AS source_type, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey - 10.0::DOUBLE ELSE 0 END <= 0 AS is_free,
         2 * count(*) AS n, 2 * sum(CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey - 10.0::DOUBLE ELSE 0 END) AS pay FROM supplier GROUP BY 1, 3""",
+    "apply_price_feed": """, s2 AS (SELECT * REPLACE (CASE WHEN product_id % 2 = 1 THEN advertised_price END AS advertised_price, CASE WHEN product_id % 2 = 1 THEN base_price END AS base_price,
+        CASE WHEN product_id % 2 = 1 THEN last_shelf_price END AS last_shelf_price) FROM star), pr AS (SELECT *, coalesce(base_price, advertised_price) AS hp FROM s2 WHERE base_price > 0 OR advertised_price > 0),
+      bp AS (SELECT product_id, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1), bn AS (SELECT canonical_name, arg_max(hp, deal_id) AS p FROM pr GROUP BY 1),
+      un AS (SELECT s.deal_id, s.flyer_id, last_shelf_price, coalesce(bp.p, bn.p) AS own, coalesce(brand, array_to_string(list_filter(str_split(regexp_replace(s.canonical_name, '\\b\\d+ oz.*', ''), ' '), lambda x: x <> '')[1:2], ' ')) AS term
+        FROM s2 s LEFT JOIN bp USING (product_id) LEFT JOIN bn ON bn.canonical_name = s.canonical_name WHERE advertised_price IS NULL),
+      shut AS (SELECT DISTINCT flyer_id, term FROM un WHERE last_shelf_price > 0 OR own IS NOT NULL)
+      SELECT deal_id, term, length(term)::DOUBLE AS shelf_price FROM un ANTI JOIN shut USING (flyer_id, term)""",
+    "merge_batches": """ SELECT product_id, arg_max(raw_deal_id, (batch, raw_deal_id, cents)) AS raw_deal_id, arg_max(cents, (batch, raw_deal_id, cents)) AS cents, max(batch) AS batch, 3 AS versions
+      FROM (SELECT *, (l_linenumber % 3)::BIGINT AS batch FROM obs) GROUP BY 1""",
+    "rate_products": """WITH s0 AS (SELECT p_partkey AS p, 'pid_' || p_partkey AS product_key, CASE WHEN p_partkey % 5 <> 0 THEN ['love', 'deal_only', 'giveaway', 'hide'][p_partkey % 4 + 1] END AS r FROM part),
+      s1 AS (SELECT p, product_key, CASE WHEN p % 5 = 0 THEN 'love' WHEN length(product_key) % 2 = 0 THEN NULL ELSE r END AS r FROM s0),
+      s2 AS (SELECT p, product_key, CASE WHEN p % 7 <> 0 THEN r WHEN r = 'hide' THEN NULL ELSE 'hide' END AS r FROM s1),
+      s3 AS (SELECT p, product_key, CASE WHEN p % 14 <> 0 THEN r WHEN r = 'hide' THEN NULL ELSE 'hide' END AS r FROM s2)
+      SELECT product_key, r AS rating FROM s3 WHERE r IS NOT NULL""",
 }
-_PLAIN = {"find_coupons", "append_stacks"}
+_PLAIN = {"find_coupons", "append_stacks", "rate_products"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [
         flyer_deals_one, flyer_product_histories, product_history, product_history_all, commodity_history, ad_title_history, flat_history, merge_observations, merge_products_stored,
         merge_flyers, set_trust, set_doorbuster, update_prices, update_shelf_prices, unpriced_deals, delete_flyers, flyers_without_deals, apply_price_feed,
-        find_coupons, append_stacks, rate_products,
+        find_coupons, append_stacks, rate_products, merge_batches,
     ]
     return {f.__name__: f for f in fns}
 
