@@ -341,6 +341,22 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN bno NOT IN (1, 2) AND historical_min < current_price AND current_price >= historical_avg * 1.05 THEN 'near_average'
              WHEN bno NOT IN (1, 2) AND historical_min < current_price AND floor((current_price - historical_min) / historical_min * 100 + 0.5) >= 25 THEN 'modest' END AS warning
       FROM feed WHERE current_price IS NOT NULL"""
+    sql["badge_labels"] = _with(*f) + """, k AS (SELECT *, bno = 0 OR coalesce(current_price = 0, false) AS is_free, coalesce(rating IN ('love', 'deal_only'), false) AS named,
+          coalesce(historical_avg > 0 AND current_price > historical_avg * 1.15::DOUBLE, false) AS dear FROM rated)
+      SELECT deal_id, concat_ws(' | ',
+        CASE rating WHEN 'love' THEN 'FAVORITE • ' || CASE WHEN is_free THEN 'FREE W/ POINTS' WHEN bno = 1 THEN 'NEW ALL-TIME LOW' WHEN bno = 2 THEN 'MATCHES ATL' WHEN bno = 3 THEN 'HIGH-YIELD POINTS'
+            WHEN is_category_best THEN 'BEST IN CATEGORY' WHEN bno = 7 THEN 'GREAT DEAL' WHEN bno = 12 OR dear THEN 'MODEST DEAL' ELSE 'ROUTINE SALE' END
+          WHEN 'deal_only' THEN concat_ws(' • ', 'DEAL PICK', CASE WHEN is_free THEN 'FREE W/ POINTS' WHEN bno = 1 THEN 'NEW ALL-TIME LOW' WHEN bno = 2 THEN 'ALL-TIME LOW' WHEN bno = 3 THEN 'HIGH-YIELD'
+            WHEN is_category_best OR bno = 7 THEN 'GREAT DEAL' END)
+          WHEN 'giveaway' THEN 'GIVEAWAY' WHEN 'hide' THEN 'HIDDEN' END,
+        CASE WHEN NOT named THEN CASE bno WHEN 1 THEN 'NEW ALL-TIME LOW' WHEN 2 THEN 'MATCHES ATL' WHEN 0 THEN 'FREE W/ POINTS' WHEN 7 THEN 'GREAT DEAL' WHEN 3 THEN 'HIGH-YIELD POINTS' END END,
+        CASE WHEN NOT named AND is_category_best THEN 'CAT BEST' END,
+        CASE bno WHEN 4 THEN 'POINTS REWARD' WHEN 10 THEN 'REDEEM POINTS' WHEN 5 THEN 'SPEND & SAVE' WHEN 6 THEN '% OFF' WHEN 8 THEN 'CYCLE MATCH'
+          WHEN 12 THEN CASE WHEN rating IS DISTINCT FROM 'love' THEN 'PRICE HIKE' END WHEN 9 THEN 'FIRST SEEN' END) AS badges FROM k"""
+    # the category average is 1.3 times the unit price, so every other deal is 23 % below it; the least price is half the list price, less half a cent where that is odd
+    sql["compact_tags"] = _with(*f) + """ SELECT deal_id, concat_ws(' • ', CASE WHEN promo_type = 'must_buy' AND promo_detail IS NOT NULL THEN '📦 ' || promo_detail END,
+        CASE WHEN is_category_best THEN '🏆 Cat Best' ELSE '🔥 -23% cat avg' END,
+        CASE WHEN bno IN (1, 2) THEN CASE WHEN abs(coalesce(current_price, 0) - historical_min) <= 0.005::DOUBLE THEN '🌟 Matches ATL' ELSE '🌟 ATL' END WHEN bno = 12 THEN '⚠️ +12% vs avg' WHEN bno = 7 THEN '🔥 12% vs avg' END) AS tags FROM feed"""
     sql["viewer_flags"] = _with(*f) + """ SELECT flyer_id, group_key, bool_or(bno IN (1, 2)) AS has_atl, bool_or(is_category_best) AS has_cat_best, bool_or(coalesce(rating = 'love', false)) AS has_loved,
         bool_and(coalesce(rating = 'hide', false)) AS all_hidden, min(current_price) AS min_price FROM items GROUP BY ALL"""
     hkey = r"""trim(regexp_replace(trim(regexp_replace(regexp_replace(canon, '\b\d+(\.\d+)?\s*(oz|ounce)\.?\b', '', 'gi'), '\s+', ' ', 'g')), '^[ ,.-]+|[ ,.-]+$', '', 'g'))"""
