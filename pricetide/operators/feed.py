@@ -223,6 +223,52 @@ def viewer_groups(items: DataFrame) -> DataFrame:
     }).drop("mode", "dearest", "head", "new_low", "same_low", "has_zero")
 
 
+def member_bits(items: DataFrame) -> DataFrame:
+    """One bitmap a group: bit i is set if any member passes the i-th chip; the next one, if any member isn't rated hidden.
+
+    The bitmap is summed by map-side ``bit_or``, whatever the size of a group; every chip on groups is then a test of one number.
+    """
+    tests = [*chip_filters().values(), ~F.col("rating").eqNullSafe("hide")]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests)])
+    return items.groupBy(*GROUP).agg(F.bit_or(mask).alias("members"))
+
+
+def chip_bit(chip: str) -> Column:
+    """Whether any member passes a chip."""
+    return F.getbit("members", F.lit(list(chip_filters()).index(chip)))
+
+
+def all_hidden() -> Column:
+    return F.getbit("members", F.lit(len(chip_filters()))) == 0
+
+
+def group_sort(name: str = "featured") -> list[Column]:
+    """Orders of ad groups; groups without a price come last."""
+    c = F.col
+    ties = [c("flyer_id"), c("group_key")]
+    return {
+        "unit_price_asc": [F.coalesce(c("min_unit_price"), F.lit(999999.0)), *ties],
+        "price_asc": [F.coalesce(c("min_price"), F.lit(999999.0)), *ties],
+        "price_desc": [F.desc(F.coalesce(c("max_price"), F.lit(-1.0))), *ties],
+        "page_asc": [F.coalesce(truthy(c("page")), F.lit(1)), *ties],
+        "name_asc": [F.lower(text(c("title"))), *ties],
+        "featured": [F.desc("featured"), F.coalesce(truthy(c("page")), F.lit(1)), *ties],
+    }[name]
+
+
+def group_feed(items: DataFrame, groups: DataFrame, titles: DataFrame, department: str | None = None, chip: str = "all", query: str = "",
+               sort: str | None = "featured") -> DataFrame:
+    """Filtered and sorted list of ad groups: a chip or department that any member has; groups of hidden products only show when searched for or asked for."""
+    found = viewer_search(items, groups, titles, query) if query.strip() else groups.join(titles.select(*GROUP, "title"), GROUP, "left")
+    out = found.join(member_bits(items), GROUP).filter(chip_bit(chip) == 1)
+    if department:
+        out = out.join(items.filter(F.col("department") == department).select(*GROUP).distinct(), GROUP, "left_semi")
+    if chip != "hidden" and not query.strip():
+        out = out.filter(~all_hidden())
+    out = out.drop("members")
+    return out.orderBy(*group_sort(sort)) if sort else out
+
+
 def viewer_search(items: DataFrame, groups: DataFrame, titles: DataFrame, query: str) -> DataFrame:
     """Groups whose header, one item, or all items together contain every search token."""
     c = F.col

@@ -341,6 +341,30 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN bno NOT IN (1, 2) AND historical_min < current_price AND current_price >= historical_avg * 1.05 THEN 'near_average'
              WHEN bno NOT IN (1, 2) AND historical_min < current_price AND floor((current_price - historical_min) / historical_min * 100 + 0.5) >= 25 THEN 'modest' END AS warning
       FROM feed WHERE current_price IS NOT NULL"""
+    chips = {"all": "true", "beat": CHIPS["great"]} | CHIPS
+    sql["group_chips"] = _with(*f) + " SELECT chip, count(*) AS groups, sum(flyer_id)::BIGINT AS flyers FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS chip, flyer_id, group_key FROM items GROUP BY ALL HAVING bool_or(coalesce({cond}, false))" + ("" if name == "hidden" else " AND NOT bool_and(coalesce(rating = 'hide', false))")
+        for name, cond in chips.items()) + ") GROUP BY 1"
+    sql["group_departments"] = _with(*f) + f""" SELECT flyer_id, group_key, count(*) AS n_items FROM (SELECT *, {DEPT} AS dept FROM items) GROUP BY ALL
+      HAVING bool_or(is_category_best) AND bool_or(dept = 'Health & Beauty') AND NOT bool_and(coalesce(rating = 'hide', false))"""
+    place = lambda key, order: f"row_number() OVER (PARTITION BY flyer_id ORDER BY {order}, {key})"
+    sql["flat_sorts"] = _with(*f) + ", k AS (SELECT *, " + SCORE + " AS score FROM rated WHERE rating IS DISTINCT FROM 'hide') SELECT flyer_id, deal_id, " + ", ".join(
+        f"{place('deal_id', order)}::INT AS {name}" for name, order in {
+            "unit_price_asc": "coalesce(unit_price, 999999)", "price_asc": "coalesce(current_price, 999999)", "price_desc": "coalesce(current_price, -1) DESC",
+            "page_asc": "page_number", "name_asc": "lower(canonical_name)", "featured": "score DESC, page_number"}.items()) + " FROM k"
+    sql["group_sorts"] = _with(*f) + """, units AS (SELECT flyer_id, group_key, unit_type, count(*) AS k, min((brank, rprice, deal_id)) AS p, min(unit_price) AS lo FROM items WHERE unit_type IS NOT NULL GROUP BY ALL),
+      mode AS (SELECT flyer_id, group_key, arg_min(lo, (-k, p)) AS lo FROM units GROUP BY ALL),
+      g AS (SELECT flyer_id, group_key, min(current_price) AS a, max(current_price) AS b, arg_min(page_number, (brank, rprice, deal_id)) AS page, any_value(lo) AS lo,
+          30 + CASE WHEN bool_or(bno = 0) OR (group_key LIKE 'meal_deal_%' AND bool_or(coalesce(current_price = 0, false))) THEN 500 WHEN bool_or(bno = 1) THEN 300 WHEN bool_or(bno = 2) THEN 200
+            WHEN bool_or(bno = 3) THEN 180 WHEN bool_or(is_category_best) THEN 150 WHEN bool_or(bno = 7) THEN 120 WHEN bool_or(promo_type <> 'standard' OR promo_detail IS NOT NULL) THEN 80 ELSE 0 END
+          + CASE WHEN bool_or(is_front_page) THEN 40 ELSE 0 END
+          + CASE WHEN bool_or(coalesce(rating = 'love', false)) THEN 350
+              WHEN bool_or(coalesce(rating = 'deal_only', false)) THEN CASE WHEN bool_or(coalesce(rating = 'deal_only', false) AND (bno IN (0, 1, 2, 7) OR is_category_best OR promo_type <> 'standard')) THEN 150 ELSE -50 END
+              WHEN bool_or(coalesce(rating = 'giveaway', false)) THEN CASE WHEN bool_or(coalesce(rating = 'giveaway', false) AND (current_price IS NULL OR current_price <= 0.25 OR bno = 0)) THEN 200 ELSE -200 END ELSE 0 END AS score
+        FROM items LEFT JOIN mode USING (flyer_id, group_key) GROUP BY flyer_id, group_key)
+      SELECT flyer_id, group_key, """ + ", ".join(f"{place('group_key', order)}::INT AS {name}" for name, order in {
+        "unit_price_asc": "coalesce(lo, 999999)", "price_asc": "coalesce(a, 999999)", "price_desc": "coalesce(b, -1) DESC", "page_asc": "page",
+        "name_asc": "lower(group_key)", "featured": "score DESC, page"}.items()) + " FROM g"
     sql["badge_labels"] = _with(*f) + """, k AS (SELECT *, bno = 0 OR coalesce(current_price = 0, false) AS is_free, coalesce(rating IN ('love', 'deal_only'), false) AS named,
           coalesce(historical_avg > 0 AND current_price > historical_avg * 1.15::DOUBLE, false) AS dear FROM rated)
       SELECT deal_id, concat_ws(' | ',

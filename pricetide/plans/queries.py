@@ -498,6 +498,45 @@ def viewer_search(s, d):
     return FD.viewer_search(items, FD.viewer_groups(items), G.group_titles(items), "ring economy").select("flyer_id", "group_key", "title")
 
 
+def _groups(s, d):
+    items = FD.viewer_items(_feed(s, d))
+    return items, FD.viewer_groups(items)
+
+
+def group_chips(s, d):
+    """Groups that each chip shows, and a sum that tells them apart."""
+    items, groups = _groups(s, d)
+    bits = FD.member_bits(items)
+    shown = [F.struct(F.lit(chip).alias("chip"), ((FD.chip_bit(chip) == 1) & (F.lit(chip == "hidden") | ~FD.all_hidden())).alias("shown")) for chip in FD.chip_filters()]
+    rows = groups.select("flyer_id", "group_key").join(bits, ["flyer_id", "group_key"]).select("flyer_id", F.explode(F.array(*shown)).alias("x"))
+    return rows.filter("x.shown").groupBy("x.chip").agg(F.count("*").alias("groups"), F.sum("flyer_id").alias("flyers"))
+
+
+def group_departments(s, d):
+    """Groups with a category best and a member of one department, hidden ones left out."""
+    items, groups = _groups(s, d)
+    out = FD.group_feed(items, groups, groups.select("flyer_id", "group_key", F.lit("").alias("title")), department="Health & Beauty", chip="catbest", sort=None)
+    return out.select("flyer_id", "group_key", "n_items")
+
+
+def group_sorts(s, d):
+    """Places of every group of a circular in each order."""
+    from pyspark.sql import Window
+
+    groups = _groups(s, d)[1].withColumn("title", F.col("group_key"))
+    names = ("unit_price_asc", "price_asc", "price_desc", "page_asc", "name_asc", "featured")
+    return groups.select("flyer_id", "group_key", *(F.row_number().over(Window.partitionBy("flyer_id").orderBy(*FD.group_sort(n))).alias(n) for n in names))
+
+
+def flat_sorts(s, d):
+    """Places of every deal of a circular in each order, hidden products left out."""
+    from pyspark.sql import Window
+
+    feed = FD.flat_feed(_feed(s, d), sort=None)
+    names = ("unit_price_asc", "price_asc", "price_desc", "page_asc", "name_asc", "featured")
+    return feed.select("flyer_id", "deal_id", *(F.row_number().over(Window.partitionBy("flyer_id").orderBy(*FD.flat_sort(n))).alias(n) for n in names))
+
+
 def product_preferences(s, d):
     u = FD.unique_products(_feed(s, d))
     return FD.product_preferences(u, W.ratings(s, d), query="ring", sort="rated_first").select("product_key", "name", "rating")
@@ -524,7 +563,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         deal_evaluation, evaluation_badges, historical_badges, promo_extract, effective_price, dynamic_point_value, points_tiers, group_items, group_split,
         representatives, modal_units, ad_groups, group_brands, split_titles, chip_filters, featured_score, unique_products, ratings_counts, stats_banner,
         department_facets, token_search, digest_sections, deal_ranking, history_callout, viewer_flags, badge_labels, compact_tags,
-        history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations,
+        history_group_key, grouped_timeline, page_assignment, front_page_detect, overlap_purge, orphans, upsert_observations, group_chips, group_departments, group_sorts, flat_sorts,
         merge_products, trust_marks, shelf_price_ladder, enriched_prices, free_stacks, coupon_upsert, unit_info, episode_sessions,
         disaggregate, title_tokens, clean_titles, categories, document_departments, alcohol_flags, loyalty_program, json_ingest,
         meal_deal_merge, report_filters, points_value, viewer_search, product_preferences, export_rows,
