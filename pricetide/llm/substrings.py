@@ -5,10 +5,10 @@ minimiser form a super-k-mer, which travels as one packed string (compressed wit
 Equal windows have equal minimisers, so each bucket alone can sort its windows, compare them word by word, and find for every window the
 smallest document that has it. A task sends equal super-k-mers once, with the places where they stand.
 
-Hot minimisers: a first pass finds those with more than a HEAVY-th of all super-k-mers (so at most HEAVY, a bounded list for broadcast).
-Their super-k-mers are dealt by minimiser and a salt of the document; a salted bucket decides what it can, and sends for each different
-window one row of its smallest document to be compared over the salts by digest. A passage held by a third of all rows is thus sorted in
-SALTS parts and merged from at most SALTS rows.
+Hot minimisers: a first pass finds those that would fill a bucket by themselves (at most HOT, a bounded list for broadcast). Their super-k-mers
+are dealt by minimiser and a salt of the document, as many salts as their share fills buckets. A salted bucket decides what it can; for each
+different window it sends the digest and place of its smallest document, packed by the part that compares digests over the salts. A passage
+held by a third of all rows is thus sorted in many buckets, and a window of it is compared once for each of them.
 
 What comes back are word spans, joined to the documents by id and text hash.
 
@@ -19,6 +19,7 @@ with one id are one document, so they do not remove each other's words; no rows
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import compress
@@ -32,7 +33,8 @@ from pricetide.llm.common import WORDS, cut, table
 
 #: Words of a window and of a minimiser.
 K, M = 50, 4
-HEAVY, SALTS = 2_048, 64
+#: Hot minimisers at most; salts for each bucket that a hot minimiser would fill.
+HOT, SALTS = 1 << 18, 4
 #: Text in a bucket; text that a map task holds before it sends.
 BUCKET_BYTES, HELD_BYTES = 5 << 20, 16 << 20
 LAST = (1 << 63) - 1
@@ -110,8 +112,8 @@ def summed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.nd
     return keys[counts >= least], counts[counts >= least]
 
 
-def heavy_minimisers(rows: DataFrame, k: int, heavy: int = HEAVY) -> list[int]:
-    """Minimisers with a heavy-th of all super-k-mers or more (some with three quarters of that). A task sends those of its own that have a
+def heavy_minimisers(rows: DataFrame, k: int, heavy: int) -> dict[int, float]:
+    """Minimisers with a heavy-th of all super-k-mers or more (some with three quarters of that), and their shares. A task sends those of its own that have a
     quarter of that share; what it leaves out cannot hide a minimiser with the whole share."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +131,20 @@ def heavy_minimisers(rows: DataFrame, k: int, heavy: int = HEAVY) -> list[int]:
 
     sums = cut(rows.select("text").mapInArrow(counted, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")))
     total = sums.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
-    return [r.minimiser % (1 << 64) for r in sums.where((F.col("minimiser").isNotNull()) & (F.col("n") > 1) & (4 * heavy * F.col("n") >= 3 * total)).collect()]
+    return {r.minimiser % (1 << 64): r.n / total for r in sums.where((F.col("minimiser").isNotNull()) & (F.col("n") > 1) & (4 * heavy * F.col("n") >= 3 * total)).collect()}
 
 
 PACKED = "bucket int, strings binary, counts binary, docs binary, keys binary, starts binary, heavy binary"
 
 
-def packer(buckets: int, heavy: set[int], k: int):
+def packer(buckets: int, heavy: dict[int, int], k: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc, key, text) as super-k-mers by bucket: different strings, how many places each has, and the places."""
         import zstandard
 
         powers, squeeze = Powers(), zstandard.ZstdCompressor(level=3)
         hot_ones = np.array(sorted(heavy), np.uint64)
+        salts = np.array([heavy[x] for x in sorted(heavy)], np.uint64)
         held: dict[int, dict[tuple[bytes, bool], list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
 
         def out():
@@ -162,9 +165,13 @@ def packer(buckets: int, heavy: set[int], k: int):
                 words = joined_words(text)
                 begin, end, hashes = word_hashes(words, powers)
                 least, first, n = runs(hashes, k)
-                hot = np.isin(least, hot_ones) if len(hot_ones) else np.zeros(len(least), bool)
-                salt = np.uint64((doc % SALTS + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-                bucket = ((np.where(hot, least ^ salt, least) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+                hot, mixed = np.zeros(len(least), bool), least
+                if len(hot_ones):
+                    at = np.minimum(np.searchsorted(hot_ones, least), len(hot_ones) - 1)
+                    hot = hot_ones[at] == least
+                    drawn = np.uint64((doc * 0x9E3779B97F4A7C15 % (1 << 64)) >> 20) % salts[at] + np.uint64(1)
+                    mixed = np.where(hot, least ^ drawn * np.uint64(0x9E3779B97F4A7C15), least)
+                bucket = ((mixed >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
                 for to, a, b, f, h in zip(bucket.tolist(), begin[first].tolist(), end[first + n + k - 2].tolist(), first.tolist(), hot.tolist(), strict=True):
                     held[to][words[a:b], h].append((doc, key, f))
                     used += b - a
@@ -196,12 +203,21 @@ def same_windows(words: bytes, begin: np.ndarray, end: np.ndarray, hashes: np.nd
     return groups
 
 
-SPANS = "doc long, key long, first int, last int, digest binary"
+SPANS = "doc long, key long, first int, last int, part int, windows binary"
+NAMES = [x.split()[0] for x in SPANS.split(", ")]
+#: A salted window: two halves of its digest, document, text's key, first word.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("first", "<i4")])
 
 
-def sorter(k: int):
-    def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Spans of a bucket to remove (first to last word), and firsts of salted windows with their digest."""
+def span_rows(docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(docs), 1 << 14):
+        own = [pa.array(x[at : at + (1 << 14)], kind) for x, kind in ((docs, pa.int64()), (keys, pa.int64()), (firsts, pa.int32()), (lasts, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.int32()), pa.nulls(len(own[0]), pa.binary())], names=NAMES)
+
+
+def sorter(k: int, parts: int):
+    def spans(rows: list[tuple], salted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Spans of a bucket to remove (first to last word); adds the firsts of hot windows to salted."""
         import zstandard
 
         expand, powers = zstandard.ZstdDecompressor(), Powers()
@@ -237,51 +253,95 @@ def sorter(k: int):
         edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
         final = np.concatenate([edge[1:] - 1, [len(at) - 1]]) if len(at) else edge
         found = [docs[at[edge]], keys[at[edge]], begins[at[edge]] + inside[window[edge]], begins[at[edge]] + inside[window[final]] + k - 1]
-        digests: list[bytes | None] = [None] * len(edge)
+        yield from span_rows(*found)
         if heavy.any():
             at, window = expanded(np.flatnonzero(heavy))
             stay = docs[at] == first[window]
             at, window = at[stay], window[stay]
-            since = begins[at] + inside[window]
-            found = [np.concatenate(x) for x in zip(found, (docs[at], keys[at], since, since + k - 1), strict=True)]
             made: dict[int, bytes] = {}
             for g, s in zip(groups[window].tolist(), starts[window].tolist(), strict=True):
                 if g not in made:
                     made[g] = hashlib.blake2b(words[begin[s] : end[s + k - 1]], digest_size=16).digest()
-                digests.append(made[g])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        for a in range(0, len(digests), 1 << 14):
-            z = slice(a, a + (1 << 14))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c[z], kind) for c, kind in zip(found, kinds, strict=True)], pa.array(digests[z], pa.binary())], names=["doc", "key", "first", "last", "digest"])
+            own = np.empty(len(at), WINDOW)
+            digests = np.frombuffer(b"".join(made[g] for g in groups[window].tolist()), np.uint64).reshape(-1, 2)
+            own["a"], own["b"], own["doc"], own["key"], own["first"] = digests[:, 0], digests[:, 1], docs[at], keys[at], begins[at] + inside[window]
+            salted.append(own)
+
+    def packed(salted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Hot windows by the part that compares them."""
+        own = np.concatenate(salted)
+        salted.clear()
+        part = (own["a"] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        own, part = own[order], part[order]
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for at in range(0, len(edge), 64):
+            ends = np.append(edge, len(own))[at + 1 : at + 65]
+            rows = [own[a:b].tobytes() for a, b in zip(edge[at : at + 64].tolist(), ends.tolist(), strict=True)]
+            none = [pa.nulls(len(rows), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(part[edge[at : at + 64]]), pa.array(rows, pa.binary())], names=NAMES)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        salted: list[np.ndarray] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
-                    yield from spans(held)
+                    yield from spans(held, salted)
                     held = []
+                    if sum(map(len, salted)) * WINDOW.itemsize > HELD_BYTES:
+                        yield from packed(salted)
                 held.append(row)
         if held:
-            yield from spans(held)
+            yield from spans(held, salted)
+        if any(map(len, salted)):
+            yield from packed(salted)
 
     return sort
 
 
-def repeated_spans(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc, key, spans) of documents that lose words: spans of word numbers, first to last; docs has doc, key and text."""
+def comparer(k: int):
+    def later(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Spans of the windows that a smaller document has too."""
+        own = np.concatenate([np.frombuffer(x, WINDOW) for x in rows])
+        own = own[np.lexsort((own["doc"], own["b"], own["a"]))]
+        fresh = np.concatenate([[True], (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])])
+        least = own["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        own = own[own["doc"] > least]
+        own = own[np.lexsort((own["first"], own["key"], own["doc"]))]
+        if len(own):
+            edge = np.concatenate([[True], (own["doc"][1:] != own["doc"][:-1]) | (own["key"][1:] != own["key"][:-1]) | (own["first"][1:] > own["first"][:-1] + k)])
+            at = np.flatnonzero(edge)
+            yield from span_rows(own["doc"][at], own["key"][at], own["first"][at], own["first"][np.append(at[1:] - 1, len(own) - 1)] + k - 1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for now, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != part and held:
+                    yield from later(held)
+                    held = []
+                part = now
+                held.append(windows)
+        if held:
+            yield from later(held)
+
+    return compare
+
+
+def repeated_spans(docs: DataFrame, k: int = K, heavy: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc, key, spans) of documents that lose words: spans of word numbers, first to last; docs has doc, key and text. A minimiser is hot from
+    a heavy-th of all super-k-mers on, by default from what fills a bucket."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-3 * total // bucket_bytes))
-    hot = set(heavy_minimisers(docs, k, heavy))
+    shares = heavy_minimisers(docs, k, heavy or min(HOT, buckets))
+    hot = {x: max(2, math.ceil(SALTS * share * buckets)) for x, share in shares.items()}
     packed = docs.select("doc", "key", "text").mapInArrow(packer(buckets, hot, k), PACKED)
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorter(k), SPANS)
-    spans = found
+    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorter(k, buckets), SPANS)
     if hot:
-        spans = cut(found)
-        salted = spans.where("digest is not null")
-        firsts = salted.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-        later = salted.join(firsts, "digest").where("doc > least")
-        spans = spans.where("digest is null").select("doc", "key", "first", "last").unionByName(later.select("doc", "key", "first", "last"))
+        spans = cut(spans)
+        salted = spans.where("part is not null").select("part", "windows").repartition("part").sortWithinPartitions("part").mapInArrow(comparer(k), SPANS)
+        spans = spans.where("part is null").unionByName(salted)
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -319,15 +379,15 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def with_spans(docs: DataFrame, k: int, heavy: int, bucket_bytes: int) -> DataFrame:
-    """docs and __spans, the spans of words that go."""
-    own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    spans = repeated_spans(own.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), "text"), k, heavy, bucket_bytes)
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    return own.join(spans.hint("merge"), ["__doc", "__key"], "left").select(*docs.columns, "__spans")
+def with_spans(docs: DataFrame, k: int, heavy: int | None, bucket_bytes: int) -> DataFrame:
+    """docs and, as last column, the spans of words that go."""
+    doc, key, spans = (f"{'_' * (1 + max(map(len, docs.columns)))}{x}" for x in ("doc", "key", "spans"))  # no column of docs is called so
+    own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key: F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = repeated_spans(own.select(F.col(doc).alias("doc"), F.col(key).alias("key"), "text"), k, heavy, bucket_bytes).withColumnsRenamed({"doc": doc, "key": key, "spans": spans})
+    return own.join(found.hint("merge"), [doc, key], "left").select(*docs.columns, spans)
 
 
-def without_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = K, heavy: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with texts cut (and n_chars counted again where a text changed); rows that lose their last word go."""
     place, schema = docs.columns.index("text"), docs.schema
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -346,7 +406,7 @@ def without_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_byte
     return with_spans(docs, k, heavy, bucket_bytes).mapInArrow(edited, schema)
 
 
-def remove_repeats(docs: DataFrame, k: int = K, heavy: int = HEAVY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, heavy: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = "doc_id long, n_words long, n_removed long, kept_sha256 string"
