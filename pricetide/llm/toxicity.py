@@ -34,10 +34,10 @@ from pricetide.llm.common import fold, labelled, sampled, table
 #: Words of a window, words from one window to the next.
 WINDOW, STRIDE = 12, 11
 #: Documents of the fitting sample (by hash of the id, about so many of each kind).
-TOXIC, ORDINARY = 2_000, 4_000
-#: Kinds looked for, rounds; kinds as alike as SAME are one, those with less than this share of the sample are dropped.
-KINDS, REFINED, SAME, LEAST_SHARE = 8, 6, 0.8, 0.02
-DIRECTIONS = 4_096
+TOXIC, ORDINARY = 1_500, 3_000
+#: Texts of the sample that are grouped. Kinds looked for, rounds; kinds as alike as SAME are one, those with less than this share of the sample are dropped.
+GROUPED, KINDS, REFINED, SAME, LEAST_SHARE = 1_500, 8, 6, 0.8, 0.02
+DIRECTIONS = 2_048
 #: Ordinary words at first, words added in a round of mining, rounds, words of a mined piece.
 WORDS, MINED, ROUNDS, PIECE = 500, 600, 6, 6
 #: A toxic string: its letters, contexts at least, times its ordinary rate at least, standard deviations of its contrast.
@@ -110,7 +110,7 @@ def direction(windows: list[bytes]) -> np.ndarray:
     """A text's letter trigrams as a direction."""
     b = np.frombuffer(b"".join(windows), np.uint8).astype(np.uint32)
     key = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
-    v = np.sqrt(np.bincount((key >> np.uint32(20)).astype(np.int64) % DIRECTIONS, minlength=DIRECTIONS).astype(np.float32))
+    v = np.sqrt(np.bincount((key >> np.uint32(16)).astype(np.int64) % DIRECTIONS, minlength=DIRECTIONS).astype(np.float32))
     return v / max(1e-9, float(np.linalg.norm(v)))
 
 
@@ -120,7 +120,7 @@ def nearest(centres: np.ndarray, windows: list[bytes]) -> int:
 
 def kinds(texts: list[list[bytes]]) -> np.ndarray:
     """Centres of the kinds of text in a sample: far ones first, then refined; like ones joined, rare ones dropped."""
-    x = np.stack([direction(t) for t in texts])
+    x = np.stack([direction(t) for t in texts[:: max(1, len(texts) // GROUPED)]])
     centres = [x.sum(0)]
     for _ in range(KINDS - 1):
         near = np.max([x @ (c / np.linalg.norm(c)) for c in centres], 0)
@@ -140,15 +140,19 @@ def kinds(texts: list[list[bytes]]) -> np.ndarray:
 
 
 def contexts(texts: list[list[bytes]]) -> Counter:
-    """For each word, how many different words come before it."""
-    pairs: set[tuple[str, str]] = set()
+    """For each word, how many different words come before it (none counts too, in a text of one window)."""
+    numbers: dict[bytes, int] = {b"": 0}
+    held, size = [np.zeros(0, np.int64)], 0
     for windows in texts:
         for window in windows:
-            words = window.decode().split()
-            pairs.update(zip(words, words[1:], strict=False))
-            if len(windows) == 1:
-                pairs.add(("", words[0]))
-    return Counter(word for _, word in pairs)
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in window.split(b" ") if w], np.int64)
+            before = own[:-1] if len(windows) > 1 else np.concatenate([[0], own[:-1]])
+            held.append(before << 32 | own[len(own) - len(before) :])
+            size += len(before)
+        if size > 1 << 21:
+            held, size = [np.unique(np.concatenate(held))], 0
+    counts = np.bincount(np.unique(np.concatenate(held)) & 0xFFFFFFFF, minlength=len(numbers))
+    return Counter({w.decode(): n for w, n in zip(numbers, counts.tolist(), strict=True) if n})
 
 
 class Strings:
@@ -156,9 +160,9 @@ class Strings:
 
     def __init__(self, words: list[str]):
         self.sizes = np.array([len(w) + 2 for w in words], np.int64)
-        self.codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.word = np.repeat(np.arange(len(words)), self.sizes)
-        self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.codes))  # letters from here to the word's end
+        self.codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
+        self.left = (np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.codes))).astype(np.int32)  # letters from here to the word's end
 
     def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the strings of k letters, and their words."""
@@ -255,8 +259,12 @@ def rising_shares(evidence: list[float], labels: list[int]) -> tuple[np.ndarray,
 
 def fit(rows: list[tuple[int | None, str | None, int]]) -> Model:
     """Model of (doc_id, text, toxic) rows; what calibrates it are dictionaries of half of them, at work on the other half."""
-    rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    cut = [(w, label) for w, label in ((cut_windows(t), x) for _, t, x in rows) if w]
+    rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]), reverse=True)
+    cut = []
+    while rows:  # texts go as their windows come
+        _, text, label = rows.pop()
+        if windows := cut_windows(text):
+            cut.append((windows, label))
     if not cut:
         return Model(np.zeros((0, DIRECTIONS), np.float32), [], np.zeros((0, len(EDGES) + 1)), *rising_shares([], []))
     centres = kinds([w for w, _ in cut])
