@@ -111,9 +111,10 @@ def set_doorbuster(s, d):
 
 def update_prices(s, d):
     o = W.observations(s, d)
-    new = o.filter("raw_deal_id % 4 = 1").select("deal_id", (F.col("page_number") * 1.25).alias("advertised_price"), F.lit(None).cast("double").alias("unit_price"),
+    tile = ["raw_deal_id", "product_id"]  # deal ids of parts beyond 2^20 meet those of the next tile
+    new = o.filter("raw_deal_id % 4 = 1").select(*tile, (F.col("page_number") * 1.25).alias("advertised_price"), F.lit(None).cast("double").alias("unit_price"),
                                                  F.when(F.col("page_number") > 3, 9.5).alias("base_price"))
-    return M.update_prices(o, new).select("deal_id", _cents("advertised_price").alias("cents"), _cents("base_price").alias("base"))
+    return M.update_prices(o, new, tile).select("deal_id", _cents("advertised_price").alias("cents"), _cents("base_price").alias("base"))
 
 
 def update_shelf_prices(s, d):
