@@ -55,3 +55,14 @@ def test_meal_deals_and_names_at_many_prices(spark):
     out = absorb_meal_deals(rows)
     assert [tuple(r) for r in out.groupBy("group_key", "canonical_name").count().collect()] == [("meal_deal_p1", "roast", 1)]
     assert time.perf_counter() - start < 45
+
+
+def test_intermediates_are_columns_and_pinned_ones_keep_partitions(spark):
+    from pricetide.functions.core import cut_lineage, pinned
+
+    rows = spark.range(0, 200_000, 1, 4).select("id", F.lit("a name that every row repeats").alias("name"), F.lit("0001-01-01").cast("date").alias("day"), F.struct(F.lit(None).cast("double").alias("p")).alias("s"))
+    out = cut_lineage(rows)
+    assert out.schema.simpleString() == rows.schema.simpleString() and out.exceptAll(rows).isEmpty() and out.count() == 200_000
+    assert out.inputFiles() and all(x.endswith(".parquet") for x in out.inputFiles())
+    kept = pinned(rows.repartition(7).sortWithinPartitions("id")).withColumn("part", F.spark_partition_id())
+    assert kept.select("part").distinct().count() == 7
