@@ -66,3 +66,18 @@ def test_intermediates_are_columns_and_pinned_ones_keep_partitions(spark):
     assert out.inputFiles() and all(x.endswith(".parquet") for x in out.inputFiles())
     kept = pinned(rows.repartition(7).sortWithinPartitions("id")).withColumn("part", F.spark_partition_id())
     assert kept.select("part").distinct().count() == 7
+
+
+def test_departments_once_for_each_text(spark):
+    """Missing texts, stored departments and repeated names; every deal comes back once."""
+    from pricetide.functions.text import shopper_department
+    from pricetide.operators.feed import with_departments
+
+    texts = ["department", "category", "canonical_name", "brand", "raw_title", "ad_title"]
+    rows = [(i, *r) for i, r in enumerate([
+        (None, None, "Whole Milk", None, None, None), (None, None, "Whole Milk", None, None, None), (None, None, "Whole Milk", "", None, None), ("Deli", None, "Whole Milk", None, None, None),
+        (None, "Odd", None, None, None, "Ribeye"), (None, None, None, None, None, None), (" ", "Odd", "x", "y", "z", None), (" ", "Odd", "x", "y", "z", None)])]
+    deals = spark.createDataFrame(rows, "deal_id int, " + ", ".join(f"{x} string" for x in texts))
+    want = deals.withColumn("department", shopper_department(*(F.col(x) for x in texts)))
+    got = with_departments(deals)
+    assert got.columns == deals.columns and sorted(got.collect(), key=lambda r: r.deal_id) == sorted(want.collect(), key=lambda r: r.deal_id)
