@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import vocab as V
-from pricetide.functions.core import blank, cap, fixed, has, hit, money, num, text, truthy
+from pricetide.functions.core import blank, cap, fixed, has, hit, money, num, once_per, text, truthy
 from pricetide.functions.promo import promo_of  # noqa: F401  (re-exported for callers that build feeds)
 from pricetide.functions.text import (
     is_alcohol, is_basket_coupon, is_placeholder, product_key, shopper_department,
@@ -65,11 +65,7 @@ def special_promo(kind: Column) -> Column:
 
 def with_departments(deals: DataFrame) -> DataFrame:
     """Shopper department of every deal. Its text rules take most of a feed's time, so they run once for each distinct text, not once for each deal."""
-    texts = ["department", "category", "canonical_name", "brand", "raw_title", "ad_title"]
-    named = deals.select(*(F.col(x).alias(f"of_{x}") for x in texts)).distinct()
-    named = named.withColumn("shown", shopper_department(*(F.col(f"of_{x}") for x in texts)))
-    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"of_{x}")) for x in texts])
-    return deals.join(named, same).withColumn("department", F.col("shown")).drop("shown", *(f"of_{x}" for x in texts))
+    return once_per(deals, ["department", "category", "canonical_name", "brand", "raw_title", "ad_title"], "department", shopper_department)
 
 
 def with_feed_columns(deals: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
