@@ -35,3 +35,14 @@ def test_rules_run_once_for_each_text_in_many_tasks(spark):
     out = once_per(df, ["t", "u"], "of_both", lambda t, u: F.concat_ws("-", t, u))
     assert sorted((r.t or "", r.u or "", r.of_both) for r in out.collect()) == [("", "", ""), ("a", "", "a"), ("a", "", "a"), ("b", "x", "b-x")]
     assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan(FD.with_departments(W.feed_deals(spark, SF).withColumn("department", F.lit(None).cast("string"))))
+
+
+def test_running_range_asks_for_days_without_a_price_and_is_dealt_by_key(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01", 2.0), (1, "2024-01-02", None), (1, "2024-01-03", 1.0), (1, "2024-01-04", None), (2, "2024-01-01", None), (2, "2024-01-02", 5.0)],
+                                 "k long, d string, price double").withColumn("day", F.col("d").cast("date"))
+    for tasks in (None, 7):
+        out = PS.running_range(rows, ["k"], tasks)
+        planned = plan(out)
+        assert sorted((r.k, str(r.day), r.n_past, r.sum_cents, r.min_cents, r.max_cents) for r in out.collect()) == [
+            (1, "2024-01-02", 1, 200, 200, 200), (1, "2024-01-03", 1, 200, 200, 200), (1, "2024-01-04", 2, 300, 100, 200)]
+    assert planned.count("Exchange") == 1 and ", 7), REPARTITION_BY_NUM" in planned
