@@ -288,15 +288,17 @@ def viewer_search(items: DataFrame, groups: DataFrame, titles: DataFrame, query:
 
 
 # ------------------------------------------------------------------ ratings and products
-def unique_products(feed: DataFrame) -> DataFrame:
+def unique_products(feed: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per product key: attributes of its first deal, price of its cheapest.
 
-    The position is computed once a row; the two winners of a key are found on narrow rows and read by their ids.
+    The position is computed once a row. With tasks, rows are dealt by key to that many, which then bound what one of them sorts; otherwise
+    every task first finds the winners of its own rows.
     """
     c = F.col
     rows = feed.select(
         "product_key", "deal_id", "product_id", c("canonical_name").alias("name"), text(c("brand")).alias("brand"), F.coalesce(blank(c("category")), F.lit("Other")).alias("category"),
         "department", "unit_type", "badge", "is_front_page", c("current_price").alias("price"), "unit_price", F.struct(*deal_order()).alias("at"))
+    rows = rows.repartition(tasks, "product_key") if tasks else rows
     cheap = F.struct(F.coalesce(c("price"), F.lit(float("inf"))).alias("least"), "at", "price", "unit_price", "deal_id")
     first = F.struct("at", "product_id", "name", "brand", "category", "department", "unit_type", "badge", "is_front_page")
     best = rows.groupBy("product_key").agg(F.min(first).alias("a"), F.min(cheap).alias("p"))

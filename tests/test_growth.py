@@ -46,3 +46,11 @@ def test_running_range_asks_for_days_without_a_price_and_is_dealt_by_key(spark):
         assert sorted((r.k, str(r.day), r.n_past, r.sum_cents, r.min_cents, r.max_cents) for r in out.collect()) == [
             (1, "2024-01-02", 1, 200, 200, 200), (1, "2024-01-03", 1, 200, 200, 200), (1, "2024-01-04", 2, 300, 100, 200)]
     assert planned.count("Exchange") == 1 and ", 7), REPARTITION_BY_NUM" in planned
+
+
+def test_product_winners_do_not_depend_on_how_rows_are_dealt(spark):
+    feed = FD.with_feed_columns(W.feed_deals(spark, SF), W.ratings(spark, SF))
+    dealt = FD.unique_products(feed, 9)
+    assert ", 9), REPARTITION_BY_NUM" in plan(dealt)
+    a, b = dealt.collect(), FD.unique_products(feed).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b)) and a
