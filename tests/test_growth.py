@@ -54,3 +54,19 @@ def test_product_winners_do_not_depend_on_how_rows_are_dealt(spark):
     assert ", 9), REPARTITION_BY_NUM" in plan(dealt)
     a, b = dealt.collect(), FD.unique_products(feed).collect()
     assert sorted(map(str, a)) == sorted(map(str, b)) and a
+
+
+def test_items_carry_only_the_columns_wanted(spark):
+    items = G.group_items(W.feed_deals(spark, SF), wanted=["badge", "page_number"])
+    assert set(items.columns) == {*G.GROUP, "canonical_name", "cents", "badge", "page_number", "pos"}
+    narrow = G.split_flags(G.group_items(W.feed_deals(spark, SF), wanted=G.SPLIT_COLS))
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, G.split_flags(G.group_items(W.feed_deals(spark, SF))).collect()))
+
+
+def test_names_without_a_listed_word_skip_the_cluster_patterns(spark):
+    rows = [(1, "ad_1", n, "A or B", "standard") for n in ("Beef Chop", "pork pie")] + [(1, "ad_2", n, "A or B", "standard") for n in ("red ring", "big ring")]
+    items = spark.createDataFrame(rows, "flyer_id long, group_key string, canonical_name string, raw_title string, promo_type string").withColumns(
+        {"promo_detail": F.lit(None).cast("string"), "qualifying_qty": F.lit(1), **{c: F.lit(None).cast("string") for c in ("brand", "category", "unit_type")}, "pos": F.col("canonical_name")})
+    out = G.split_flags(items)
+    planned = plan(out)
+    assert {r.group_key: r.split for r in out.collect()} == {"ad_1": True, "ad_2": False} and "listed" in planned
