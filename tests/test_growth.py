@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pricetide.functions.core import once_per
 from pricetide.operators import feed as FD
 from pricetide.operators import grouping as G
-from pricetide.operators import history as H
 from pricetide.operators import past as PS
 from pricetide.plans import views as W
 
