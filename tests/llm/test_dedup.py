@@ -141,6 +141,27 @@ def test_links_of_odd_rows(odd, empty, odd_rows):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_frequent_shingles_show_in_a_full_sketch():
+    """Cells of a large corpus hold many shingles by chance; those of a few more documents than are paired still count as frequent."""
+    total = np.random.default_rng(3).poisson(5, jaccard.SLAB)
+    total[:500] += jaccard.GROUP
+    logs = jaccard.logs_of(total)
+    assert (logs[:500] > 0).all() and (logs[500:] > 0).mean() < 0.001
+    total = np.random.default_rng(3).poisson(100, jaccard.SLAB)
+    total[:500] += 4 * jaccard.GROUP
+    logs = jaccard.logs_of(total)
+    assert (logs[:500] > 0).all() and (logs[500:] > 0).mean() < 0.01
+
+
+def test_only_doubtful_texts_travel(odd, spark):
+    """Of the rows of docs, those that a bitmap of ids may hold and the others: each row is in one of both, with all its columns."""
+    bits = spark.sparkContext.broadcast(jaccard.bitmap(spark.createDataFrame([(4,), (7,), (99,)], "node long")))
+    inside, outside = (jaccard.among(odd, "doc_id", bits, x) for x in (True, False))
+    assert inside.columns == outside.columns == odd.columns
+    assert [r.doc_id for r in inside.orderBy("doc_id").collect()] == [4, 7, 7]
+    assert inside.unionByName(outside).exceptAll(odd).isEmpty() and odd.exceptAll(inside.unionByName(outside)).isEmpty()
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 200) for i in range(30)]
     got = {r.node: r.component for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
