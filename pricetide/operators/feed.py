@@ -5,6 +5,7 @@ Works on any table with the evaluation columns (see ``evaluate``); ratings are a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -165,8 +166,30 @@ def featured_score() -> Column:
 
 
 # ------------------------------------------------------------------ groups in the viewer
-def viewer_items(feed: DataFrame) -> DataFrame:
-    return absorb_meal_deals(group_items(feed, viewer=True))
+def viewer_items(feed: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    return absorb_meal_deals(group_items(feed, viewer=True, wanted=wanted))
+
+
+#: Columns of items that a search and the titles read, besides the keys, the name and the position.
+SEARCH_COLS = ["brand", "department", "category", "promo_detail", "promo_type", "raw_title", "ad_title"]
+
+
+def _first(col: str, cond: Column | None = None) -> Column:
+    """Value of the first item by position, of those that meet cond."""
+    return F.min_by(col, F.col("pos") if cond is None else F.when(cond, F.col("pos")))
+
+
+def header_fields() -> list[Column]:
+    """What a group's header shows besides its title and brands."""
+    return [
+        F.coalesce(_first("promo_detail", blank(F.col("promo_detail")).isNotNull()), F.lit("")).alias("promo_detail"),
+        F.coalesce(blank(_first("category")), F.lit("Other")).alias("category"), _first("department").alias("department"),
+    ]
+
+
+def search_headers(items: DataFrame) -> DataFrame:
+    """One row per ad group with the columns that a search reads, for items that hold SEARCH_COLS only."""
+    return items.groupBy(*GROUP).agg(*header_fields())
 
 
 def viewer_groups(items: DataFrame) -> DataFrame:
@@ -179,7 +202,7 @@ def viewer_groups(items: DataFrame) -> DataFrame:
     def rated(r: str) -> Column:
         return c("rating") == r
 
-    first = lambda col, cond=None: F.min_by(col, c("pos") if cond is None else F.when(cond, c("pos")))
+    first = _first
     units = (
         items.filter(blank(c("unit_type")).isNotNull()).groupBy(*GROUP, "unit_type")
         .agg(F.count("*").alias("k"), F.min("pos").alias("p"), F.min("unit_price").alias("lo"), F.max("unit_price").alias("hi"))
@@ -188,7 +211,7 @@ def viewer_groups(items: DataFrame) -> DataFrame:
     g = items.groupBy(*GROUP).agg(
         F.count("*").alias("n_items"),
         F.min("current_price").alias("min_price"), F.max("current_price").alias("max_price"),
-        F.coalesce(first("promo_detail", blank(c("promo_detail")).isNotNull()), F.lit("")).alias("promo_detail"),
+        *header_fields(),
         F.coalesce(first("promo_type", special_promo(c("promo_type"))), F.lit("standard")).alias("promo_type"),
         some(c("is_new_atl")).alias("has_new_atl"), some(c("is_match_atl")).alias("has_match_atl"),
         some(c("is_atl")).alias("has_atl"), some(c("is_great") | c("is_atl")).alias("has_great"),
@@ -202,7 +225,6 @@ def viewer_groups(items: DataFrame) -> DataFrame:
         F.min(F.coalesce(rated("hide"), F.lit(False))).alias("all_hidden"), some(rated("hide")).alias("has_hidden"),
         some(c("is_front_page")).alias("is_front_page"), some(c("current_price") == 0).alias("has_zero"),
         F.coalesce(truthy(first("page_number")), F.lit(1)).alias("page"),
-        F.coalesce(blank(first("category")), F.lit("Other")).alias("category"), first("department").alias("department"),
         F.min_by("deal_id", F.when(c("current_price") > 0, F.struct(-c("current_price"), c("pos")))).alias("dearest"),
         first("deal_id").alias("head"), first("deal_id", c("is_new_atl")).alias("new_low"),
         first("deal_id", c("is_match_atl")).alias("same_low"),
