@@ -60,10 +60,12 @@ class Model:
 
 
 def compressor(dictionary: bytes):
+    """From a window of 2**15 bytes on, the library finds matches in another way, with other sizes, and it takes the smallest window that holds the dictionary.
+    So a limit below keeps both dictionaries of a kind comparable whatever their sizes; all of a larger dictionary stays in reach of a short text."""
     import zstandard as zs
 
     plan = zs.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+        window_log=14, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=plan)
 

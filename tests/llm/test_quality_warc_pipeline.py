@@ -200,6 +200,20 @@ def test_toxicity_held_out(spark, words, odd, empty, odd_rows):
     assert len({r.score for r in toxicity.score(odd, toxicity.trained(empty, labels)).collect()}) == 1
 
 
+def test_distances_do_not_depend_on_the_sizes_of_dictionaries():
+    """Ordinary windows save nothing and toxic words do, in dictionaries below, around and beyond 16 KB; there the compression library changes its ways."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8)))
+    for size in (12_000, 15_500, 15_700, 17_000, 40_000):
+        words, marked = [], [f"quxxy{word()}" for _ in range(50)]
+        while len(plain := f" {' '.join(words)} ".encode()) < size:
+            words += [word() for _ in range(20)]
+        distances = toxicity.Distances(plain, "".join(f" {w} " for w in marked).encode() + plain)
+        window = lambda *end: f" {' '.join([*draw.choices(words, k=12 - len(end)), *end])} ".encode()  # noqa: E731, B023
+        assert (distances.saved([window() for _ in range(200)]) != 0).mean() < 0.05
+        assert (distances.saved([window(draw.choice(marked)) for _ in range(200)]) > 0).all()
+
+
 def test_toxic_stems_that_build_new_words_in_two_languages(spark):
     """Insults are stems with endings that don't repeat; each language must be caught, though one has most of the labels."""
     draw = random.Random(3)
