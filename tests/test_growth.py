@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.core import once_per
 from pricetide.operators import feed as FD
 from pricetide.operators import grouping as G
+from pricetide.operators import history as H
 from pricetide.operators import past as PS
 from pricetide.plans import views as W
 
@@ -69,3 +70,15 @@ def test_names_without_a_listed_word_skip_the_cluster_patterns(spark):
     out = G.split_flags(items)
     planned = plan(out)
     assert {r.group_key: r.split for r in out.collect()} == {"ad_1": True, "ad_2": False} and "listed" in planned
+
+
+def test_timeline_without_titles_makes_one_pass(spark):
+    runs = H.grouped_timeline(H.star(W.catalog(spark, SF)))
+    assert "min_by" not in plan(runs.select("group_key", "flyer_id", "min_price", "varieties"))
+    titled = runs.select("group_key", "title").collect()
+    assert titled and all(r.title is not None for r in titled) and len(titled) == runs.select("group_key").count()
+
+
+def test_stages_stay_below_the_methods_that_the_jvm_compiles(spark):
+    W.observations(spark, SF)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == W.METHOD_BYTES <= 8000
