@@ -82,3 +82,10 @@ def test_timeline_without_titles_makes_one_pass(spark):
 def test_stages_stay_below_the_methods_that_the_jvm_compiles(spark):
     W.observations(spark, SF)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == W.METHOD_BYTES <= 8000
+
+
+def test_assigned_items_carry_only_the_columns_wanted(spark):
+    every, some = G.assign_groups(W.feed_deals(spark, SF)), G.assign_groups(W.feed_deals(spark, SF), wanted=G.TITLE_COLS)
+    assert set(some.columns) == {*G.GROUP, "canonical_name", "cents", "pos", "deal_id", "split", "group_id", *G.SPLIT_COLS, *G.TITLE_COLS} < set(every.columns)
+    same = [c for c in some.columns if c != "pos"]
+    assert sorted(map(str, some.select(same).collect())) == sorted(map(str, every.select(same).collect()))
