@@ -4,7 +4,8 @@ The model has words (lower-case, exact in any script) of orders 1 and 2 above a
 corpus. Each order is a Dirichlet mixture, P(b | a) = (n(ab) + k q(b)) / (n(a) + k), where q spells b and n leaves out the text that is
 judged. So a text's nats are sums of terms that need the count of one n-gram each, and scoring is one shuffle: a task packs its n-grams
 as sorted hashes with their texts, one piece for each range of hashes; a range holds about SHARD n-grams, adds up their counts and sends
-each text's terms back to the text's batch. Hashes have so many bits that about one of 1,000 unseen n-grams meets another's at most.
+each text's terms back to the text's batch. An n-gram is known by its hash and the step of its last word's nats, which travels anyway and tells
+17 words or 30 pairs apart (on sf0.1), so both together have so many bits that about one of 1,000 unseen n-grams meets another at most.
 
 The speller is a modified Kneser-Ney model of characters, folded to SYMBOLS classes, of order ORDER: at most SYMBOLS ** ORDER entries
 (64 MB as sorted arrays, broadcast), and only for words and pairs that no other text has. Continuation counts, three discounts an order
@@ -175,25 +176,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, bytes of equal weight together, without those that are all 0."""
+    """Arrays of whole numbers, without bytes that are all 0. Bytes of equal weight are compressed together, and apart from others, as these are as good as random."""
     out = []
     for a in arrays:
         planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
         used = max((k + 1 for k in range(8) if planes[k].any()), default=0)
-        out += [np.array([len(a), used], "<i8").tobytes(), planes[:used].tobytes()]
-    raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        parts = [pa.compress(pa.py_buffer(planes[k]), codec="zstd", asbytes=True) for k in range(used)]
+        out += [np.array([len(a), used, *map(len, parts)], "<i4").tobytes(), *parts]
+    return b"".join(out)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 0
-    while at < len(raw):
-        n, used = np.frombuffer(raw, "<i8", 2, at)
+    while at < len(data):
+        n, used = np.frombuffer(data, "<i4", 2, at).tolist()
+        sizes, at = np.frombuffer(data, "<i4", used, at + 8).tolist(), at + 8 + 4 * used
         planes = np.zeros((8, n), np.uint8)
-        planes[:used] = np.frombuffer(raw, np.uint8, n * used, at + 16).reshape(used, n)
+        for k, size in enumerate(sizes):
+            planes[k] = np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+            at += size
         out.append(np.ascontiguousarray(planes.T).view("<u8").reshape(-1))
-        at += 16 + int(n * used)
     return out
 
 
@@ -230,13 +232,14 @@ PIECES = "shard long, batch long, data binary"
 
 
 def layout(chars: int) -> tuple[int, tuple[int, int]]:
-    """Bits of a hash, and of its range for orders 1 and 2, for a corpus of so many characters."""
+    """Bits of a hash (at least 32: in a small corpus, steps may tell few n-grams apart), and of its range for orders 1 and 2, for a corpus of so many characters."""
     ranges = max(0, int(chars // 6 // SHARD).bit_length())
-    return min(44, max(chars, 1).bit_length() + 8), (max(0, ranges - 1), ranges)
+    return min(44, max(32, chars.bit_length() + 4)), (max(0, ranges - 1), ranges)
 
 
 def postings(texts: list[tuple[np.ndarray, np.ndarray]], chars: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, piece) of the words and pairs of up to TEXTS texts, each (hashes, steps) of its words; a piece has n-grams by hash and text."""
+    """(shard, piece) of the words and pairs of up to TEXTS texts, each (hashes, steps) of its words. A piece has each n-gram once,
+    with its step and how many texts it has, and the texts: the first of each n-gram, then the distances to the others."""
     bits, ranges = layout(chars)
     doc_bits = TEXTS.bit_length() - 1
     for order in (1, 2):
@@ -248,15 +251,18 @@ def postings(texts: list[tuple[np.ndarray, np.ndarray]], chars: int) -> Iterator
             b = np.concatenate([x for h, _ in some for x in (h, np.array([END]))])
             keys, steps = a ^ mixed(b + START), np.concatenate([x for _, q in some for x in (q, np.array([END_STEP], np.uint8))])
         docs = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(h) + (order - 1) * (len(h) > 0) for h, _ in texts])
-        rows = (mixed(keys) >> np.uint64(64 - bits)) << np.uint64(doc_bits + 8) | docs << np.uint64(8) | steps.astype(np.uint64)
+        rows = (mixed(keys) >> np.uint64(64 - bits)) << np.uint64(doc_bits + 8) | steps.astype(np.uint64) << np.uint64(doc_bits) | docs
         rows.sort()
         first, times = firsts(rows)
         rows = rows[first]
         own = rows >> np.uint64(bits - ranges[order - 1] + doc_bits + 8)
         starts, lengths = firsts(own)
         for i, j in zip(starts, starts + lengths, strict=True):
-            part = rows[i:j] >> np.uint64(8)
-            yield 2 * int(own[i]) + order - 1, packed(np.concatenate([part[:1], np.diff(part)]), rows[i:j] & np.uint64(255), times[i:j] - 1)
+            part, where = rows[i:j] >> np.uint64(doc_bits), rows[i:j] & np.uint64(TEXTS - 1)
+            begin, many = firsts(part)
+            grams = part[begin] >> np.uint64(8)
+            gaps = np.delete(np.diff(where, prepend=where[:1]), begin)
+            yield 2 * int(own[i]) + order - 1, packed(np.concatenate([grams[:1], np.diff(grams)]), many - 1, part[begin] & np.uint64(255), where[begin], gaps, times[i:j] - 1)
 
 
 def firsts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,17 +276,24 @@ def terms(order: int, pieces: list[tuple[int, bytes]], weight: float) -> Iterato
 
     A piece is open at a time: an n-gram that all texts have adds one entry a piece to what is held.
     """
-    doc_bits = np.uint64(TEXTS.bit_length() - 1)
 
     def opened(data: bytes) -> tuple[np.ndarray, ...]:
-        deltas, steps, times = unpacked(data)
-        rows = np.cumsum(deltas, dtype=np.uint64)
-        return rows, steps, times.astype(np.int64) + 1, *firsts(rows >> doc_bits)
+        deltas, more, steps, first, gaps, times = unpacked(data)
+        many = more.astype(np.int64) + 1
+        begin = np.cumsum(many) - many
+        docs = np.zeros(len(times), np.int64)
+        rest = np.ones(len(times), bool)
+        rest[begin] = False
+        docs[begin], docs[rest] = first, gaps
+        docs = np.cumsum(docs)
+        docs -= np.repeat(docs[begin] - first.astype(np.int64), many)
+        grams = np.repeat(np.cumsum(deltas, dtype=np.uint64) << np.uint64(8) | steps, many)
+        return grams, docs, np.repeat(steps, many), times.astype(np.int64) + 1, *firsts(grams)
 
     own_keys, own_counts = [], []
     for _, data in pieces:
-        rows, _, times, starts, _ = opened(data)
-        own_keys.append(rows[starts] >> doc_bits)
+        grams, _, _, times, starts, _ = opened(data)
+        own_keys.append(grams[starts])
         own_counts.append(np.add.reduceat(times, starts))
     keys, counts = np.concatenate(own_keys), np.concatenate(own_counts)
     by = np.argsort(keys, kind="stable")
@@ -289,10 +302,9 @@ def terms(order: int, pieces: list[tuple[int, bytes]], weight: float) -> Iterato
     totals[by] = np.repeat(np.add.reduceat(counts[by], starts), lengths)
     at = 0
     for (batch, data), own in zip(pieces, own_keys, strict=True):
-        rows, steps, times, _, lengths = opened(data)
+        _, docs, steps, times, _, lengths = opened(data)
         others = np.repeat(totals[at : at + len(own)], lengths) - times
         at += len(own)
-        docs = (rows & np.uint64(TEXTS - 1)).astype(np.int64)
         values = [np.where(others > 0, times * np.logaddexp(0, np.log(np.maximum(others, 1) / weight) + nats_of(steps)), 0.0)]
         if order == 1:
             values.append(times * np.log(others + AFTER))

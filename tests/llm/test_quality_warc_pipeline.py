@@ -117,6 +117,21 @@ def plain_nats(texts, model, chars):
         yield -logs / 2 / (sum(map(len, w)) + len(w) + 1)
 
 
+def test_pieces_hold_an_ngram_once_and_tell_equal_hashes_apart_by_their_steps():
+    draw = np.random.default_rng(4)
+    assert [x.tolist() for x in perplexity.unpacked(perplexity.packed(np.arange(0), np.array([0, 7, 1 << 40]), np.zeros(3, int)))] == [[], [0, 7, 1 << 40], [0, 0, 0]]
+    own = draw.integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    texts = [(own[x], (20 + own[x] % np.uint64(30)).astype(np.uint8)) for x in (draw.zipf(1.3, 200) % 30_000 for _ in range(2000))]
+    pieces = list(perplexity.postings(texts, 10**9))
+    assert 8 * sum(len(data) for _, data in pieces) / (401 * len(texts)) < 11  # 12.6 with an n-gram's hash, text and step in every row
+    same = [(np.array([5], np.uint64), np.array([step], np.uint8)) for step in (30, 30, 40)]
+    (words,) = [data for shard, data in perplexity.postings(same, 1000) if shard % 2 == 0]
+    ((_, found),) = perplexity.terms(1, [(0, words)], 10.0)
+    which, gains, _ = perplexity.unpacked(found)
+    gains = dict(zip(np.cumsum(which).tolist(), gains.tolist(), strict=True))
+    assert gains[0] == gains[1] > 0 == gains[2]
+
+
 def test_word_model_equals_dictionaries_in_any_layout(spark, words, odd_rows, monkeypatch):
     draw = random.Random(4)
     rows = [(i, " ".join(draw.choices(words[:90], k=draw.randint(1, 40))), "en", None, 0) for i in range(120)] + odd_rows
