@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,6 +142,17 @@ def test_links_of_odd_rows(odd, empty, odd_rows):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_texts_of_a_large_cluster_travel_once_and_packed(spark, words):
+    """360 near copies of a text of 500 words stay one block: their texts went to two places each when it held 2^17 shingles."""
+    classes = spark.range(360).select(F.col("id").alias("rep"), F.lit(500).alias("n"), F.lit(1).cast("long").alias("copies"))
+    groups = classes.select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("component"))
+    near = jaccard.places(groups, classes).collect()
+    assert len(near) == 360 and {r.side for r in near} == {2} and len({r.key for r in near}) == 1
+    text = " ".join(words[i % len(words)] for i in range(0, 7000, 7)) + " Ü\n"
+    rows = jaccard.packed(spark.createDataFrame([(1, text), (2, None)], "node long, text string")).collect()
+    assert [zlib.decompress(r.text).decode() for r in rows] == [text, ""] and len(rows[0].text) < len(text) / 2
+
+
 def test_frequent_shingles_show_in_a_full_sketch():
     """Cells of a large corpus hold many shingles by chance; those of a few more documents than are paired still count as frequent."""
     total = np.random.default_rng(3).poisson(5, jaccard.SLAB)
