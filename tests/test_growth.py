@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pricetide.functions.core import once_per
@@ -9,7 +13,9 @@ from pricetide.operators import feed as FD
 from pricetide.operators import grouping as G
 from pricetide.operators import history as H
 from pricetide.operators import past as PS
+from pricetide.plans import queries as Q
 from pricetide.plans import views as W
+from tests.test_evaluate import _direct_past
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +54,38 @@ def test_running_range_asks_for_days_without_a_price_and_is_dealt_by_key(spark):
     assert planned.count("Exchange") == 1 and ", 7), REPARTITION_BY_NUM" in planned
 
 
+def test_past_travels_once_by_key(spark):
+    """Sums, targets and spans meet in one shuffle by key (twelve exchanges and a written table before), and the star is read once for both."""
+    rows = spark.createDataFrame([(1, "2024-01-01", 2.0, 1)], "k long, d string, price double, seq long").select(
+        "k", "price", "seq", F.col("d").cast("date").alias("day"), F.col("d").cast("date").alias("end_day"), F.lit(True).alias("trusted"), F.lit(False).alias("outlier"))
+    found = plan(PS.past_stats(rows, rows.select("k", "day"), ["k"]))
+    assert found.count("Window") == 0 and found.count("REPARTITION_BY_COL") == 1
+    assert "lineitem" not in plan(Q.decayed_average(spark, SF)) and "lineitem" not in plan(Q.historical_badges(spark, SF))
+
+
+@pytest.mark.parametrize("ends", [[0], [0, 6, 20, 400]])
+def test_past_of_keys_that_fill_batches(spark, ends):
+    """A key with most rows, keys of one row, null keys and circulars that end on their day or never within reach; batches of seven rows."""
+    rng, rows = random.Random(len(ends)), []
+    for seq in range(400):
+        key = rng.choice([1, 1, 1, None, rng.randrange(2, 60)])
+        day = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(300))
+        rows.append(dict(key=key, day=day, end=day + dt.timedelta(days=rng.choice(ends)), seq=seq, price=rng.choice([1.0, 1.5, 2.0]), trusted=rng.random() < 0.7, outlier=rng.random() < 0.2))
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "key int, day date, end_day date, seq bigint, price double, trusted boolean, outlier boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r.key, r.day): r for r in PS.past_stats(df, df.select("key", "day"), ["key"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key, day in {(r["key"], r["day"]) for r in rows}:
+        want = _direct_past([r for r in rows if r["key"] == key], day)
+        g = got.get((key, day))
+        assert (g is None) == (want is None)
+        if want:
+            assert (g.n_past, g.h_min, g.h_max) == want[:3] and g.b_avg == pytest.approx(want[5], abs=1e-8)
+            assert key is None or (g.b_min, g.b_max) == want[3:5]  # spans join by key
+
+
 def test_product_winners_do_not_depend_on_how_rows_are_dealt(spark):
     feed = FD.with_feed_columns(W.feed_deals(spark, SF), W.ratings(spark, SF))
     dealt = FD.unique_products(feed, 9)
