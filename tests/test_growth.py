@@ -127,3 +127,15 @@ def test_assigned_items_carry_only_the_columns_wanted(spark):
     assert set(some.columns) == {*G.GROUP, "canonical_name", "cents", "pos", "deal_id", "split", "group_id", *G.SPLIT_COLS, *G.TITLE_COLS} < set(every.columns)
     same = [c for c in some.columns if c != "pos"]
     assert sorted(map(str, some.select(same).collect())) == sorted(map(str, every.select(same).collect()))
+
+
+def test_groups_are_made_of_the_columns_they_read(spark):
+    """The same groups from items that carry no other text: all columns of a deal travelled with its items before."""
+    deals, feed = W.feed_deals(spark, SF), FD.with_feed_columns(W.feed_deals(spark, SF), W.ratings(spark, SF))
+    whole, rolled = G.rollup_groups(G.assign_groups(deals)), G.group_deals(deals)
+    assert sorted(map(str, rolled.collect())) == sorted(map(str, whole.collect()))
+    items, every = FD.viewer_items(feed, FD.VIEW_COLS), FD.viewer_items(feed)
+    assert set(items.columns) == {*G.GROUP, "canonical_name", "cents", "pos", *FD.VIEW_COLS} < set(every.columns)
+    for made in (FD.viewer_groups, FD.member_bits):
+        assert sorted(map(str, made(items).collect())) == sorted(map(str, made(every).collect()))
+    assert "historical_min" not in plan(Q.viewer_flags(spark, SF))
